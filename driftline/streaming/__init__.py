@@ -1,0 +1,6 @@
+"""Streaming use.
+
+There are no stream-specific operators. The stateless projections in
+``driftline.sources`` (row normalisation, reject routing, observation mapping)
+accept a streaming DataFrame as they are; ``tests/test_sources.py`` runs one.
+"""
