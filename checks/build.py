@@ -173,7 +173,7 @@ def moving_candidates(spark, sf):
 )
 def seed_pairs(spark, sf):
     dets = data.detections(spark, sf)
-    seeds = T.seed_pairs(T.moving_candidates(dets, 1.5), data.frames_of(dets))
+    seeds = T.seed_pairs(T.prepare(dets, data.frames_of(dets)))
     return seeds.select(*T.SEED_KEY, F.round("separation", 4).alias("separation"))
 
 
@@ -186,9 +186,8 @@ def seed_pairs(spark, sf):
 )
 def seed_extensions(spark, sf):
     dets = data.detections(spark, sf)
-    frm = data.frames_of(dets)
-    cand = T.moving_candidates(dets, 1.5)
-    ext = T.extensions(T.seed_pairs(cand, frm), cand, frm)
+    cand = T.prepare(dets, data.frames_of(dets))
+    ext = T.extensions(T.seed_pairs(cand), cand)
     return ext.select(
         *T.SEED_KEY, "frame_no", F.col("nearest.det_no").alias("nearest_det"), "within_reach"
     )

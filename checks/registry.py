@@ -19,19 +19,17 @@ def cte(name: str, sql: str) -> None:
 
 def with_ctes(final: str) -> str:
     """Put every table expression that ``final`` needs in front of it."""
-    needed: list[str] = []
-
-    def visit(text: str) -> None:
-        for name in CTES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(CTES[name])
-                if name not in needed:
-                    needed.append(name)
-
-    visit(final)
+    names = list(CTES)
+    needed: set[str] = set()
+    text = final
+    # An expression only uses ones named before it.
+    for name in reversed(names):
+        if re.search(rf"\b{name}\b", text):
+            needed.add(name)
+            text += CTES[name]
     if not needed:
         return final.strip()
-    ordered = [f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in needed]
+    ordered = [f"{n} AS MATERIALIZED (\n{CTES[n]}\n)" for n in names if n in needed]
     return "WITH " + ",\n".join(ordered) + "\n" + final.strip()
 
 

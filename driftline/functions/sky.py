@@ -1,324 +1,298 @@
-"""Spherical geometry as Column expressions.
+"""Spherical geometry as Spark SQL expressions.
 
+Every function takes SQL operands (column names, field paths, sub-expressions
+or numbers) and returns SQL text for ``F.expr`` / ``selectExpr``. Text keeps
+planning cheap, works inside lambdas, and stays within whole-stage codegen.
 Positions are degrees, separations arcseconds, time differences minutes.
-Everything stays in built-in expressions, so whole-stage codegen applies.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-ARCSEC = 3600.0
 # Mean obliquity of the ecliptic at J2000, degrees.
 OBLIQUITY_J2000 = 84381.406 / 3600.0
 
 
-def _c(value) -> Column:
-    """A column for a name, a number or a column."""
-    if isinstance(value, Column):
-        return value
-    if isinstance(value, str):
-        return F.col(value)
-    return F.lit(float(value))
+def sql(value) -> str:
+    """An operand as SQL text; numbers become DOUBLE literals."""
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, (int, float)):
+        return f"{float(value)!r}D"
+    return f"({value})"
 
 
-def wrap360(angle) -> Column:
+def wrap360(angle) -> str:
     """Angle folded into [0, 360)."""
-    folded = F.pmod(_c(angle), F.lit(360.0))
-    return F.when(folded >= 360.0, F.lit(0.0)).otherwise(folded)
+    folded = f"pmod({angle}, 360D)"
+    return f"(CASE WHEN {folded} >= 360D THEN 0D ELSE {folded} END)"
 
 
-def angle_difference(a, b) -> Column:
+def angle_difference(a, b) -> str:
     """a - b folded into [-180, 180)."""
-    return F.pmod(_c(a) - _c(b) + 180.0, F.lit(360.0)) - 180.0
+    return f"(pmod({sql(a)} - {sql(b)} + 180D, 360D) - 180D)"
 
 
-def separation(ra1, dec1, ra2, dec2) -> Column:
+def separation(ra1, dec1, ra2, dec2) -> str:
     """Great-circle distance (Vincenty form: exact at all scales), arcsec."""
-    d1, d2 = F.radians(_c(dec1)), F.radians(_c(dec2))
-    dra = F.radians(_c(ra2) - _c(ra1))
-    a = F.cos(d2) * F.sin(dra)
-    b = F.cos(d1) * F.sin(d2) - F.sin(d1) * F.cos(d2) * F.cos(dra)
-    c = F.sin(d1) * F.sin(d2) + F.cos(d1) * F.cos(d2) * F.cos(dra)
-    return F.degrees(F.atan2(F.sqrt(a * a + b * b), c)) * ARCSEC
+    d1, d2 = f"radians({sql(dec1)})", f"radians({sql(dec2)})"
+    dra = f"radians({sql(ra2)} - {sql(ra1)})"
+    a = f"cos({d2}) * sin({dra})"
+    b = f"cos({d1}) * sin({d2}) - sin({d1}) * cos({d2}) * cos({dra})"
+    c = f"sin({d1}) * sin({d2}) + cos({d1}) * cos({d2}) * cos({dra})"
+    return f"(degrees(atan2(hypot({a}, {b}), {c})) * 3600D)"
 
 
-def separation_haversine(ra1, dec1, ra2, dec2) -> Column:
+def separation_haversine(ra1, dec1, ra2, dec2) -> str:
     """Great-circle distance (haversine form), arcsec."""
-    d1, d2 = F.radians(_c(dec1)), F.radians(_c(dec2))
-    s1 = F.sin((d2 - d1) / 2.0)
-    s2 = F.sin(F.radians(_c(ra2) - _c(ra1)) / 2.0)
-    h = s1 * s1 + F.cos(d1) * F.cos(d2) * s2 * s2
-    h = F.least(F.greatest(h, F.lit(0.0)), F.lit(1.0))
-    return F.degrees(2.0 * F.asin(F.sqrt(h))) * ARCSEC
-
-
-def position_angle_radians(ra1, dec1, ra2, dec2) -> Column:
-    """Bearing from point 1 to point 2, east of north, radians."""
-    d1, d2 = F.radians(_c(dec1)), F.radians(_c(dec2))
-    dra = F.radians(_c(ra2) - _c(ra1))
-    east = F.sin(dra) * F.cos(d2)
-    north = F.cos(d1) * F.sin(d2) - F.sin(d1) * F.cos(d2) * F.cos(dra)
-    return F.atan2(east, north)
-
-
-def position_angle(ra1, dec1, ra2, dec2) -> Column:
-    """Bearing from point 1 to point 2 in [0, 360) degrees."""
-    return wrap360(F.degrees(position_angle_radians(ra1, dec1, ra2, dec2)))
-
-
-def offset_position(ra, dec, bearing_radians, distance_arcsec) -> tuple[Column, Column]:
-    """(ra, dec) at a bearing and signed distance from a point."""
-    d0 = F.radians(_c(dec))
-    r = F.radians(_c(distance_arcsec) / ARCSEC)
-    b = _c(bearing_radians)
-    sin_dec = F.sin(d0) * F.cos(r) + F.cos(d0) * F.sin(r) * F.cos(b)
-    dlon = F.atan2(F.sin(b) * F.sin(r) * F.cos(d0), F.cos(r) - F.sin(d0) * sin_dec)
-    clipped = F.least(F.greatest(sin_dec, F.lit(-1.0)), F.lit(1.0))
-    return wrap360(_c(ra) + F.degrees(dlon)), F.degrees(F.asin(clipped))
-
-
-def motion_vector(ra1, dec1, ra2, dec2, minutes) -> dict[str, Column]:
-    """Rate and bearing of a motion; a non-positive time step is an error."""
-    dt = _c(minutes)
-    checked = F.when(dt > 0, dt).otherwise(
-        F.raise_error(F.lit("the second time must be later than the first")).cast("double")
-    )
+    d1, d2 = f"radians({sql(dec1)})", f"radians({sql(dec2)})"
+    s1 = f"sin(({d2} - {d1}) / 2D)"
+    s2 = f"sin(radians({sql(ra2)} - {sql(ra1)}) / 2D)"
+    h = f"{s1} * {s1} + cos({d1}) * cos({d2}) * {s2} * {s2}"
+    return f"(degrees(2D * asin(sqrt(least(greatest({h}, 0D), 1D)))) * 3600D)"
+
+
+def bearing(ra1, dec1, ra2, dec2) -> str:
+    """Direction from point 1 to point 2, east of north, radians."""
+    d1, d2 = f"radians({sql(dec1)})", f"radians({sql(dec2)})"
+    dra = f"radians({sql(ra2)} - {sql(ra1)})"
+    north = f"cos({d1}) * sin({d2}) - sin({d1}) * cos({d2}) * cos({dra})"
+    return f"atan2(sin({dra}) * cos({d2}), {north})"
+
+
+def position_angle(ra1, dec1, ra2, dec2) -> str:
+    """Direction from point 1 to point 2 in [0, 360) degrees."""
+    return wrap360(f"degrees({bearing(ra1, dec1, ra2, dec2)})")
+
+
+def offset_position(ra, dec, direction, distance) -> tuple[str, str]:
+    """(ra, dec) at a direction (radians) and signed distance (arcsec)."""
+    d0 = f"radians({sql(dec)})"
+    r = f"radians({sql(distance)} / 3600D)"
+    b = sql(direction)
+    up = f"(sin({d0}) * cos({r}) + cos({d0}) * sin({r}) * cos({b}))"
+    dlon = f"atan2(sin({b}) * sin({r}) * cos({d0}), cos({r}) - sin({d0}) * {up})"
+    new_ra = wrap360(f"({sql(ra)} + degrees({dlon}))")
+    return new_ra, f"degrees(asin(least(greatest({up}, -1D), 1D)))"
+
+
+def motion_vector(ra1, dec1, ra2, dec2, minutes) -> dict[str, str]:
+    """Rate and direction of a motion; a non-positive time step is an error."""
+    message = "the second time must be later than the first"
+    dt = f"(CASE WHEN {sql(minutes)} > 0 THEN {sql(minutes)} ELSE raise_error('{message}') END)"
+    dt = f"CAST({dt} AS DOUBLE)"
     sep = separation(ra1, dec1, ra2, dec2)
     return {
-        "time_delta_minutes": checked,
+        "time_delta_minutes": dt,
         "separation_arcsec": sep,
-        "rate_arcsec_per_min": sep / checked,
+        "rate_arcsec_per_min": f"({sep} / {dt})",
         "position_angle_deg": position_angle(ra1, dec1, ra2, dec2),
     }
 
 
-def predict(ra1, dec1, ra2, dec2, minutes_between, minutes_after) -> tuple[Column, Column]:
+def predict(ra1, dec1, ra2, dec2, minutes_between, minutes_after) -> tuple[str, str]:
     """Position after moving on along the great circle 1 -> 2 at its rate.
 
     ``minutes_after`` counts from point 2 and may be negative.
     """
-    heading = position_angle_radians(ra2, dec2, ra1, dec1) + math.pi
-    distance = separation(ra1, dec1, ra2, dec2) * _c(minutes_after) / _c(minutes_between)
+    heading = f"({bearing(ra2, dec2, ra1, dec1)} + pi())"
+    distance = (
+        f"({separation(ra1, dec1, ra2, dec2)} * {sql(minutes_after)} / {sql(minutes_between)})"
+    )
     return offset_position(ra2, dec2, heading, distance)
 
 
-def sky_offsets(ra, dec, ra0, dec0) -> tuple[Column, Column]:
+def sky_offsets(ra, dec, ra0, dec0) -> tuple[str, str]:
     """(east, north) in arcsec in the frame rotated onto an origin."""
-    d, d0 = F.radians(_c(dec)), F.radians(_c(dec0))
-    dra = F.radians(_c(ra) - _c(ra0))
-    x, y, z = F.cos(d) * F.cos(dra), F.cos(d) * F.sin(dra), F.sin(d)
-    along = x * F.cos(d0) + z * F.sin(d0)
-    up = z * F.cos(d0) - x * F.sin(d0)
-    up = F.least(F.greatest(up, F.lit(-1.0)), F.lit(1.0))
-    return F.degrees(F.atan2(y, along)) * ARCSEC, F.degrees(F.asin(up)) * ARCSEC
+    d, d0 = f"radians({sql(dec)})", f"radians({sql(dec0)})"
+    dra = f"radians({sql(ra)} - {sql(ra0)})"
+    along = f"cos({d}) * cos({dra}) * cos({d0}) + sin({d}) * sin({d0})"
+    up = f"sin({d}) * cos({d0}) - cos({d}) * cos({dra}) * sin({d0})"
+    east = f"(degrees(atan2(cos({d}) * sin({dra}), {along})) * 3600D)"
+    return east, f"(degrees(asin(least(greatest({up}, -1D), 1D))) * 3600D)"
 
 
-def gnomonic(ra, dec, ra0, dec0) -> tuple[Column, Column]:
+def gnomonic(ra, dec, ra0, dec0) -> tuple[str, str]:
     """Tangent-plane coordinates (radians) about a centre."""
-    d, d0 = F.radians(_c(dec)), F.radians(_c(dec0))
-    dra = F.radians(_c(ra) - _c(ra0))
-    depth = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(dra)
-    xi = F.cos(d) * F.sin(dra) / depth
-    eta = (F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(dra)) / depth
+    d, d0 = f"radians({sql(dec)})", f"radians({sql(dec0)})"
+    dra = f"radians({sql(ra)} - {sql(ra0)})"
+    depth = f"(sin({d0}) * sin({d}) + cos({d0}) * cos({d}) * cos({dra}))"
+    xi = f"(cos({d}) * sin({dra}) / {depth})"
+    eta = f"((cos({d0}) * sin({d}) - sin({d0}) * cos({d}) * cos({dra})) / {depth})"
     return xi, eta
 
 
-def gnomonic_inverse(xi, eta, ra0, dec0) -> tuple[Column, Column]:
+def gnomonic_inverse(xi, eta, ra0, dec0) -> tuple[str, str]:
     """(ra, dec) of tangent-plane coordinates (radians) about a centre."""
-    x, y = _c(xi), _c(eta)
-    d0 = F.radians(_c(dec0))
-    # The direction of the plane point is (1, x, y) in the tangent frame.
-    norm = F.sqrt(1.0 + x * x + y * y)
-    ra = F.degrees(F.atan2(x, F.cos(d0) - y * F.sin(d0))) + _c(ra0)
-    return wrap360(ra), F.degrees(F.asin((F.sin(d0) + y * F.cos(d0)) / norm))
+    x, y = sql(xi), sql(eta)
+    d0 = f"radians({sql(dec0)})"
+    ra = wrap360(f"(degrees(atan2({x}, cos({d0}) - {y} * sin({d0}))) + {sql(ra0)})")
+    norm = f"sqrt(1D + {x} * {x} + {y} * {y})"
+    return ra, f"degrees(asin((sin({d0}) + {y} * cos({d0})) / {norm}))"
 
 
-def unit_vector(ra, dec) -> tuple[Column, Column, Column]:
-    r, d = F.radians(_c(ra)), F.radians(_c(dec))
-    return F.cos(d) * F.cos(r), F.cos(d) * F.sin(r), F.sin(d)
+def unit_vector(ra, dec) -> tuple[str, str, str]:
+    r, d = f"radians({sql(ra)})", f"radians({sql(dec)})"
+    return f"(cos({d}) * cos({r}))", f"(cos({d}) * sin({r}))", f"sin({d})"
 
 
-def vector_position(x, y, z) -> tuple[Column, Column]:
+def vector_position(x, y, z) -> tuple[str, str]:
     """(ra, dec) of a direction that need not have unit length."""
-    x, y, z = _c(x), _c(y), _c(z)
-    return wrap360(F.degrees(F.atan2(y, x))), F.degrees(F.atan2(z, F.sqrt(x * x + y * y)))
+    x, y, z = sql(x), sql(y), sql(z)
+    return wrap360(f"degrees(atan2({y}, {x}))"), f"degrees(atan2({z}, hypot({x}, {y})))"
 
 
-def mean_position_array(points) -> tuple[Column, Column]:
-    """Spherical mean of an array of structs with ``ra`` and ``dec``."""
-    pts = _c(points)
+def array_sum(values) -> str:
+    return f"aggregate({values}, 0D, (acc, v) -> acc + v)"
 
-    def total(pick):
-        parts = F.transform(pts, lambda p: unit_vector(p["ra"], p["dec"])[pick])
-        return F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
 
-    return vector_position(total(0), total(1), total(2))
+def mean_position_array(points) -> tuple[str, str]:
+    """Spherical mean of an array of structs with ``ra`` and ``dec``."""
+    parts = unit_vector("p.ra", "p.dec")
+    return vector_position(*[array_sum(f"transform({points}, p -> {v})") for v in parts])
 
 
-def extrapolate(ra, dec, ra_rate_per_hour, dec_rate_per_hour, minutes) -> tuple[Column, Column]:
+def extrapolate(ra, dec, ra_rate_per_hour, dec_rate_per_hour, minutes) -> tuple[str, str]:
     """Linear sky motion from hourly rates (arcsec), small offsets."""
-    hours = _c(minutes) / 60.0
-    new_dec = _c(dec) + _c(dec_rate_per_hour) * hours / ARCSEC
-    shift = _c(ra_rate_per_hour) * hours / ARCSEC / F.cos(F.radians(_c(dec)))
-    return wrap360(_c(ra) + shift), new_dec
+    hours = f"({sql(minutes)} / 60D)"
+    new_dec = f"({sql(dec)} + {sql(dec_rate_per_hour)} * {hours} / 3600D)"
+    shift = f"{sql(ra_rate_per_hour)} * {hours} / 3600D / cos(radians({sql(dec)}))"
+    return wrap360(f"({sql(ra)} + {shift})"), new_dec
 
 
-def predicted_motion(ra_rate_per_hour, dec_rate_per_hour) -> tuple[Column, Column]:
-    """(arcsec/min, bearing in degrees) of hourly rates."""
-    east, north = _c(ra_rate_per_hour), _c(dec_rate_per_hour)
-    return F.hypot(east, north) / 60.0, wrap360(F.degrees(F.atan2(east, north)))
+def predicted_motion(ra_rate_per_hour, dec_rate_per_hour) -> tuple[str, str]:
+    """(arcsec/min, direction in degrees) of hourly rates."""
+    east, north = sql(ra_rate_per_hour), sql(dec_rate_per_hour)
+    return f"(hypot({east}, {north}) / 60D)", wrap360(f"degrees(atan2({east}, {north}))")
 
 
-def ecliptic_latitude(ra, dec) -> Column:
+def ecliptic_latitude(ra, dec) -> str:
     """Latitude above the J2000 mean ecliptic, degrees."""
     eps = math.radians(OBLIQUITY_J2000)
     _, y, z = unit_vector(ra, dec)
-    return F.degrees(F.asin(z * math.cos(eps) - y * math.sin(eps)))
+    return f"degrees(asin({z} * {math.cos(eps)!r}D - {y} * {math.sin(eps)!r}D))"
 
 
-def pairwise_displacements(points) -> Column:
+def pair_separations(points) -> str:
     """Separations (arcsec) of all pairs of an array of (ra, dec) structs."""
-    pts = _c(points)
-    rows = F.transform(
-        pts,
-        lambda p, i: F.transform(
-            F.filter(pts, lambda q, j: j > i),
-            lambda q: separation(p["ra"], p["dec"], q["ra"], q["dec"]),
-        ),
-    )
-    return F.flatten(rows)
+    inner = f"transform(slice({points}, i + 2, size({points})), q -> "
+    inner += separation("p.ra", "p.dec", "q.ra", "q.dec") + ")"
+    return f"flatten(transform({points}, (p, i) -> {inner}))"
 
 
-def baseline_eligible(points, tolerance_arcsec, factor: float = 2.0) -> Column:
+def baseline_eligible(points, tolerance, factor: float = 2.0) -> str:
     """Every pair of positions is at least ``factor`` tolerances apart."""
-    limit = _c(tolerance_arcsec) * factor
-    return F.forall(pairwise_displacements(points), lambda s: s >= limit)
+    return f"forall({pair_separations(points)}, s -> s >= {sql(tolerance)} * {factor!r}D)"
 
 
 # --- polygons: arrays of struct<x double, y double> ------------------------
 
 
-def project_points(points, ra0, dec0, projection=gnomonic) -> Column:
+def project_points(points, ra0, dec0, projection=gnomonic) -> str:
     """Plane coordinates of an array of (ra, dec) structs."""
-
-    def one(p):
-        x, y = projection(p["ra"], p["dec"], ra0, dec0)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(_c(points), one)
+    x, y = projection("p.ra", "p.dec", ra0, dec0)
+    return f"transform({points}, p -> named_struct('x', {x}, 'y', {y}))"
 
 
-def sort_around_centre(points) -> Column:
+def sort_around_centre(points) -> str:
     """Polygon corners ordered by angle about their mean."""
-    pts = _c(points)
-    count = F.size(pts)
-    mx = F.aggregate(F.transform(pts, lambda p: p["x"]), F.lit(0.0), lambda a, v: a + v) / count
-    my = F.aggregate(F.transform(pts, lambda p: p["y"]), F.lit(0.0), lambda a, v: a + v) / count
-    keyed = F.transform(
-        pts,
-        lambda p: F.struct(
-            F.atan2(p["y"] - my, p["x"] - mx).alias("angle"), p["x"].alias("x"), p["y"].alias("y")
-        ),
-    )
-    return F.transform(
-        F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
+    mx = f"({array_sum(f'transform({points}, p -> p.x)')} / size({points}))"
+    my = f"({array_sum(f'transform({points}, p -> p.y)')} / size({points}))"
+    keyed = (
+        f"transform({points}, p -> named_struct('a', atan2(p.y - {my}, p.x - {mx}),"
+        " 'x', p.x, 'y', p.y))"
     )
+    return f"transform(array_sort({keyed}), p -> named_struct('x', p.x, 'y', p.y))"
 
 
-def polygon_edges(points) -> Column:
+def polygon_edges(points) -> str:
     """Array of struct<x1,y1,x2,y2> closing the polygon."""
-    pts = _c(points)
-    following = F.concat(F.slice(pts, 2, F.size(pts) - 1), F.slice(pts, 1, 1))
-    return F.zip_with(
-        pts,
-        following,
-        lambda a, b: F.struct(
-            a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
-        ),
+    following = f"concat(slice({points}, 2, size({points})), slice({points}, 1, 1))"
+    return (
+        f"zip_with({points}, {following}, (a, b) -> "
+        "named_struct('x1', a.x, 'y1', a.y, 'x2', b.x, 'y2', b.y))"
     )
 
 
-def point_in_polygon(x, y, points) -> Column:
-    """Even-odd rule: an edge counts when it straddles y right of x."""
-    px, py = _c(x), _c(y)
-    crossed = F.filter(
-        polygon_edges(points),
-        lambda e: ((e["y1"] > py) != (e["y2"] > py))
-        & (px < e["x1"] + (py - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])),
+def point_in_polygon(x, y, edges) -> str:
+    """Even-odd rule over an edge array: an edge counts when it straddles y
+    right of x. The edges may be a column, computed once per polygon."""
+    x, y = sql(x), sql(y)
+    crossed = (
+        f"filter({edges}, e -> ((e.y1 > {y}) != (e.y2 > {y})) AND "
+        f"{x} < e.x1 + ({y} - e.y1) * (e.x2 - e.x1) / (e.y2 - e.y1))"
     )
-    return F.size(crossed) % 2 == 1
-
+    return f"(size({crossed}) % 2 = 1)"
 
-def in_footprint(ra, dec, corners, sort_corners: bool = True) -> Column:
-    """Position inside the quadrilateral; corner order does not matter.
 
-    Tangent plane at the spherical mean of the corners.
-    """
+def footprint_columns(corners: str) -> list[str]:
+    """``selectExpr`` columns describing a footprint for ``in_footprint``:
+    its centre and its plane edges (corner order does not matter)."""
     ra0, dec0 = mean_position_array(corners)
-    plane = project_points(corners, ra0, dec0)
-    if sort_corners:
-        plane = sort_around_centre(plane)
-    x, y = gnomonic(ra, dec, ra0, dec0)
-    return point_in_polygon(x, y, plane)
+    plane = sort_around_centre("fp_plane")
+    return [
+        f"{ra0} AS fp_ra",
+        f"{dec0} AS fp_dec",
+        f"{project_points(corners, 'fp_ra', 'fp_dec')} AS fp_plane",
+        f"{plane} AS fp_sorted",
+        f"{polygon_edges('fp_sorted')} AS fp_edges",
+    ]
+
+
+def in_footprint(ra, dec) -> str:
+    """Position inside the footprint of ``footprint_columns``."""
+    return point_in_polygon(*gnomonic(ra, dec, "fp_ra", "fp_dec"), "fp_edges")
+
+
+def offset_footprint_columns(corners: str, ra0: str, dec0: str) -> list[str]:
+    """Footprint in sky offsets about the frame centre, corners as given."""
+    return [
+        f"{project_points(corners, ra0, dec0, sky_offsets)} AS of_plane",
+        f"{polygon_edges('of_plane')} AS of_edges",
+    ]
 
 
-def in_footprint_offsets(ra, dec, ra0, dec0, corners) -> Column:
-    """Position inside the quadrilateral in sky offsets about the frame
-    centre, with the corners in their given order."""
-    plane = project_points(corners, ra0, dec0, sky_offsets)
-    x, y = sky_offsets(ra, dec, ra0, dec0)
-    return point_in_polygon(x, y, plane)
+def in_offset_footprint(ra, dec, ra0, dec0) -> str:
+    """Position inside the footprint of ``offset_footprint_columns``."""
+    return point_in_polygon(*sky_offsets(ra, dec, ra0, dec0), "of_edges")
 
 
-def polygon_area(points) -> Column:
+def polygon_area(edges) -> str:
     """Shoelace area in the units of the coordinates."""
-    terms = F.transform(
-        polygon_edges(points), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
-    )
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, v: a + v)) * 0.5
+    terms = f"transform({edges}, e -> e.x1 * e.y2 - e.x2 * e.y1)"
+    return f"(abs({array_sum(terms)}) * 0.5D)"
 
 
-def edge_distance(ra, dec, corners) -> Column:
+def edge_distance(ra, dec, corners) -> str:
     """Distance (arcsec, tangent plane at the point) to the nearest edge."""
     plane = sort_around_centre(project_points(corners, ra, dec))
-
-    def to_edge(e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = (-e["x1"] * dx - e["y1"] * dy) / (dx * dx + dy * dy)
-        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        return F.hypot(e["x1"] + t * dx, e["y1"] + t * dy)
-
-    return F.degrees(F.array_min(F.transform(polygon_edges(plane), to_edge))) * ARCSEC
+    t = (
+        "least(greatest((-e.x1 * (e.x2 - e.x1) - e.y1 * (e.y2 - e.y1)) / "
+        "(pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2)), 0D), 1D)"
+    )
+    reach = f"hypot(e.x1 + {t} * (e.x2 - e.x1), e.y1 + {t} * (e.y2 - e.y1))"
+    return f"(degrees(array_min(transform({polygon_edges(plane)}, e -> {reach}))) * 3600D)"
 
 
-def display_pixel(ra, dec, geometry: dict) -> tuple[Column, Column]:
+def display_pixel(ra, dec, g: dict) -> tuple[str, str]:
     """Display pixel of a sky position from a linear tangent-plane geometry.
 
-    ``geometry`` names columns (or gives numbers) for ``crval1, crval2,
-    crpix1, crpix2, cd11, cd12, cd21, cd22, width, height`` and the boolean
-    ``transposed, flip_x, flip_y``. Null when the position is not on the
-    projected hemisphere. Distortion terms are not modelled.
+    ``g`` gives SQL operands for ``crval1, crval2, crpix1, crpix2, cd11, cd12,
+    cd21, cd22, width, height`` and the booleans ``transposed, flip_x,
+    flip_y``. Null when the position is behind the plane. Distortion terms
+    are not modelled.
     """
-    g = {k: _c(v) if not isinstance(v, bool) else F.lit(v) for k, v in geometry.items()}
-    xi, eta = gnomonic(ra, dec, g["crval1"], g["crval2"])
-    xi, eta = F.degrees(xi), F.degrees(eta)
-    det = g["cd11"] * g["cd22"] - g["cd12"] * g["cd21"]
-    px = (g["cd22"] * xi - g["cd12"] * eta) / det + g["crpix1"] - 1.0
-    py = (g["cd11"] * eta - g["cd21"] * xi) / det + g["crpix2"] - 1.0
-    a = F.when(g["transposed"], py).otherwise(px)
-    b = F.when(g["transposed"], px).otherwise(py)
-    wide = F.when(g["transposed"], g["height"]).otherwise(g["width"])
-    high = F.when(g["transposed"], g["width"]).otherwise(g["height"])
-    x = F.when(g["flip_x"], wide - 1.0 - a).otherwise(a)
-    y = F.when(g["flip_y"], high - 1.0 - b).otherwise(b)
-    ahead = separation(ra, dec, g["crval1"], g["crval2"]) < 90.0 * ARCSEC
-    return F.when(ahead, x), F.when(ahead, y)
-
-
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    v = {k: sql(x) for k, x in g.items()}
+    xi, eta = (f"degrees({t})" for t in gnomonic(ra, dec, g["crval1"], g["crval2"]))
+    det = f"({v['cd11']} * {v['cd22']} - {v['cd12']} * {v['cd21']})"
+    px = f"(({v['cd22']} * {xi} - {v['cd12']} * {eta}) / {det} + {v['crpix1']} - 1D)"
+    py = f"(({v['cd11']} * {eta} - {v['cd21']} * {xi}) / {det} + {v['crpix2']} - 1D)"
+    t = v["transposed"]
+    a, b = f"if({t}, {py}, {px})", f"if({t}, {px}, {py})"
+    wide = f"if({t}, {v['height']}, {v['width']})"
+    high = f"if({t}, {v['width']}, {v['height']})"
+    x = f"if({v['flip_x']}, {wide} - 1D - {a}, {a})"
+    y = f"if({v['flip_y']}, {high} - 1D - {b}, {b})"
+    ahead = f"{separation(ra, dec, g['crval1'], g['crval2'])} < 324000D"
+    return f"(CASE WHEN {ahead} THEN {x} END)", f"(CASE WHEN {ahead} THEN {y} END)"

@@ -13,81 +13,71 @@ cells are left to the adaptive skew join, which splits them by map output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.sky import ARCSEC, separation
+from driftline.functions.sky import separation
 
 # Guards the cell arithmetic against rounding at cell borders.
-_PAD = 1.0 + 1e-9
+_PAD = "1.000000001D"
 
 
-def _radius(radius) -> Column:
-    if isinstance(radius, str):
-        return F.col(radius)
-    return radius if isinstance(radius, Column) else F.lit(float(radius))
-
-
-def _zone_height(radius, factor: float) -> Column:
-    return F.greatest(_radius(radius), F.lit(1.0)) * (factor / ARCSEC)
-
+def _radius(radius) -> str:
+    """The radius as SQL, at least one arcsecond (cells never vanish)."""
+    return f"greatest({radius}, 1D)" if isinstance(radius, str) else f"{max(float(radius), 1.0)!r}D"
 
-def _reach(zone: Column, height: Column, radius: Column) -> Column:
-    """Half-width in RA (degrees) of a circle that meets the zone; null where
-    no finite width works (near a pole)."""
-    border = F.greatest(F.abs(zone * height - 90.0), F.abs((zone + 1.0) * height - 90.0))
-    limit = border + radius / ARCSEC
-    x = F.sin(F.radians(radius / ARCSEC) / 2.0) / F.cos(F.radians(limit))
-    return F.when((limit < 90.0) & (x < 0.5), F.degrees(2.0 * F.asin(x)) * _PAD)
 
+def _grid(radius, factor: float) -> list[str]:
+    """The zone's reach in RA, cell count and cell width. Each is a column of
+    its own that the next one refers to, so that expressions do not nest.
 
-def _cell_count(reach: Column, factor: float) -> Column:
-    n = F.floor(360.0 / (reach * factor)).cast("double")
-    return F.when(reach.isNull() | (n < 3.0), F.lit(1.0)).otherwise(n)
-
-
-def _known(key: Column) -> Column:
-    """Never null, so that no null check on the key is pushed down through
-    (and thereby repeats) the expressions it is made of."""
-    return F.coalesce(key, F.lit(-1).cast("long"))
+    The reach is null where no finite width works (near a pole): one cell.
+    """
+    r = _radius(radius)
+    h = f"({r} * {factor / 3600.0!r}D)"
+    limit = f"(greatest(abs(_zone * {h} - 90D), abs((_zone + 1) * {h} - 90D)) + {r} / 3600D)"
+    x = f"(sin(radians({r} / 3600D) / 2D) / cos(radians({limit})))"
+    cells = f"floor(360D / (_reach * {float(factor)!r}D))"
+    return [
+        f"CASE WHEN {limit} < 90D AND {x} < 0.5D THEN degrees(2D * asin({x})) * {_PAD} END AS _reach",
+        f"CASE WHEN _reach IS NULL OR {cells} < 3 THEN 1L ELSE {cells} END AS _n",
+        "360D / _n AS _width",
+    ]
 
 
-def _grid(df: DataFrame, radius, factor: float) -> DataFrame:
-    """Add the zone's reach ``_reach``, cell count ``_n`` and cell width
-    ``_width``. Separate steps keep the expressions from nesting."""
-    r = F.greatest(_radius(radius), F.lit(1.0))
-    zone = F.col("_zone").cast("double")
-    df = df.withColumn("_reach", _reach(zone, _zone_height(radius, factor), r))
-    df = df.withColumn("_n", _cell_count(F.col("_reach"), factor))
-    return df.withColumn("_width", 360.0 / F.col("_n"))
+# The keys are never null, so that no null check is pushed down through (and
+# thereby repeats) the expressions they are made of.
 
 
 def with_cell(df: DataFrame, ra: str, dec: str, radius, factor: float) -> DataFrame:
     """One zone and cell per row."""
-    height = _zone_height(radius, factor)
-    df = df.withColumn("_zone", _known(F.floor((F.col(dec) + 90.0) / height)))
-    df = _grid(df, radius, factor)
-    cell = F.least(F.floor(F.col(ra) / F.col("_width")), F.col("_n").cast("long") - 1)
-    return df.withColumn("_cell", _known(cell)).drop("_reach", "_n", "_width")
+    columns = df.columns
+    h = f"({_radius(radius)} * {factor / 3600.0!r}D)"
+    return df.selectExpr(
+        "*",
+        f"coalesce(floor(({dec} + 90D) / {h}), -1L) AS _zone",
+        *_grid(radius, factor),
+        f"coalesce(least(floor({ra} / _width), _n - 1L), -1L) AS _cell",
+    ).select(*columns, "_zone", "_cell")
 
 
 def with_touched_cells(df: DataFrame, ra: str, dec: str, radius, factor: float) -> DataFrame:
     """One row per zone and cell the circle around the row touches."""
-    height = _zone_height(radius, factor)
-    span = F.greatest(_radius(radius), F.lit(1.0)) * (_PAD / ARCSEC)
-    low = F.floor((F.col(dec) - span + 90.0) / height)
-    high = F.floor((F.col(dec) + span + 90.0) / height)
-    df = df.withColumn("_zone", F.explode(F.sequence(low, high)))
-    df = _grid(df, radius, factor)
-    first = F.floor((F.col(ra) - F.col("_reach")) / F.col("_width"))
-    last = F.floor((F.col(ra) + F.col("_reach")) / F.col("_width"))
-    whole = F.col("_n") <= 1.0
-    zero = F.lit(0).cast("long")
-    cells = F.sequence(F.when(whole, zero).otherwise(first), F.when(whole, zero).otherwise(last))
-    df = df.withColumn("_cell", F.explode(cells))
-    cell = F.pmod(F.col("_cell"), F.col("_n").cast("long"))
-    return df.withColumns({"_cell": _known(cell), "_zone": _known(F.col("_zone"))}).drop(
-        "_reach", "_n", "_width"
+    columns = df.columns
+    r = _radius(radius)
+    h = f"({r} * {factor / 3600.0!r}D)"
+    low = f"floor(({dec} - {r} * {_PAD} / 3600D + 90D) / {h})"
+    high = f"floor(({dec} + {r} * {_PAD} / 3600D + 90D) / {h})"
+    out = df.selectExpr("*", f"explode(sequence({low}, {high})) AS _zone")
+    out = out.selectExpr(
+        "*",
+        *_grid(radius, factor),
+        f"if(_n <= 1, 0L, floor(({ra} - _reach) / _width)) AS _first",
+        f"if(_n <= 1, 0L, floor(({ra} + _reach) / _width)) AS _last",
+    )
+    out = out.selectExpr(*columns, "_zone", "_n", "explode(sequence(_first, _last)) AS _cell")
+    return out.selectExpr(
+        *columns, "coalesce(_zone, -1L) AS _zone", "coalesce(pmod(_cell, _n), -1L) AS _cell"
     )
 
 
@@ -99,7 +89,7 @@ def cell_join(
     left_pos: tuple[str, str] = ("ra", "dec"),
     right_pos: tuple[str, str] = ("ra2", "dec2"),
     how: str = "inner",
-    extra=None,
+    extra: str | None = None,
     cell_factor: float = 4.0,
     name: str = "separation",
 ) -> DataFrame:
@@ -108,25 +98,25 @@ def cell_join(
     Apart from ``on``, the two sides must not share column names. ``radius``
     is a number or the name of a column of both sides that is fixed by ``on``.
     The right side is copied to its touched cells: give the smaller side
-    there. ``extra`` is a further condition on the columns of both sides.
+    there. ``extra`` is a further SQL condition on the columns of both sides.
     ``how`` is ``inner``, ``left_semi`` or ``left_anti``.
     """
     lcol = with_cell(left, *left_pos, radius, cell_factor)
     rcol = with_touched_cells(right, *right_pos, radius, cell_factor)
-    renamed = {k: f"_r_{k}" for k in [*on, "_zone", "_cell"]}
+    keys = [*on, "_zone", "_cell"]
+    renamed = {k: f"_r_{k}" for k in keys}
     if isinstance(radius, str):
         renamed[radius] = f"_r_{radius}"
     rcol = rcol.withColumnsRenamed(renamed)
-    r = F.col(radius) if isinstance(radius, str) else _radius(radius)
-    cond = (F.col("_zone") == F.col("_r__zone")) & (F.col("_cell") == F.col("_r__cell"))
-    for key in on:
-        cond = cond & (F.col(key) == F.col(f"_r_{key}"))
-    near = F.abs(F.col(left_pos[1]) - F.col(right_pos[1])) * ARCSEC <= r * _PAD
+    r = radius if isinstance(radius, str) else f"{float(radius)!r}D"
     exact = separation(*left_pos, *right_pos)
-    cond = cond & near & (exact <= r)
-    if extra is not None:
-        cond = cond & extra
-    joined = lcol.join(rcol, cond, how)
+    # The declination test is cheap and removes most cell mates.
+    terms = [f"{k} = _r_{k}" for k in keys]
+    terms.append(f"abs({left_pos[1]} - {right_pos[1]}) * 3600D <= {r} * {_PAD}")
+    terms.append(f"{exact} <= {r}")
+    if extra:
+        terms.append(extra)
+    joined = lcol.join(rcol, F.expr(" AND ".join(terms)), how)
     if how != "inner":
         return joined.drop("_zone", "_cell")
-    return joined.withColumn(name, exact).drop("_zone", "_cell", *renamed.values())
+    return joined.withColumn(name, F.expr(exact)).drop("_zone", "_cell", *renamed.values())

@@ -31,6 +31,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions, also when they are few bytes:
+    for rows that each start a lot of work (adaptive coalescing would merge
+    them into a single task)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _asc(order) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order]
 

@@ -9,16 +9,14 @@ Input tables (all keyed by ``build_id``):
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.config import DEFAULT, BuildConfig
-from driftline.functions.sky import offset_position, position_angle_radians, sky_offsets, wrap360
+from driftline.functions.sky import array_sum, bearing, offset_position, sky_offsets, wrap360
 from driftline.operators.celljoin import cell_join
 from driftline.operators.guards import require
-from driftline.operators.ordered import row_numbers
+from driftline.operators.ordered import cut_lineage, row_numbers, spread
 
 BUILT = "built"
 REJECTED = "rejected"
@@ -45,7 +43,7 @@ def moving_candidates(detections: DataFrame, tolerance: float) -> DataFrame:
         tolerance,
         on=["build_id"],
         how="left_anti",
-        extra=F.col("frame_no") != F.col("frame2"),
+        extra="frame_no <> frame2",
         cell_factor=8.0,
     )
 
@@ -58,7 +56,7 @@ def stationary_detections(detections: DataFrame, tolerance: float) -> DataFrame:
         tolerance,
         on=["build_id"],
         how="left_semi",
-        extra=F.col("frame_no") != F.col("frame2"),
+        extra="frame_no <> frame2",
         cell_factor=8.0,
     )
 
@@ -82,14 +80,10 @@ def check_frames(frames: DataFrame) -> DataFrame:
     per_build = frames.groupBy("build_id").agg(
         F.array_sort(F.collect_list(F.struct("frame_no", "minutes"))).alias("sequence")
     )
-    times = F.transform("sequence", lambda f: f["minutes"])
-    later = F.forall(
-        F.zip_with(
-            F.slice(times, 2, F.size(times) - 1),
-            F.slice(times, 1, F.size(times) - 1),
-            lambda b, a: F.struct((b > a).alias("ok")),
-        ),
-        lambda s: s["ok"],
+    times = "transform(sequence, f -> f.minutes)"
+    later = F.expr(
+        f"forall(zip_with(slice({times}, 2, size(sequence)), {times}, (b, a) -> b > a), ok -> "
+        "coalesce(ok, true))"
     )
     per_build = require(
         per_build, F.size("sequence") >= 2, "stationary matching needs at least two frames"
@@ -100,46 +94,45 @@ def check_frames(frames: DataFrame) -> DataFrame:
 # --- seeds and extension ----------------------------------------------------
 
 
-def frame_pairs(frames: DataFrame, max_rate: float) -> DataFrame:
-    """Ordered frame pairs of each build with their seed radius (arcsec)."""
-    seq = F.col("sequence")
-    pairs = check_frames(frames).select(
-        "build_id", F.explode(seq).alias("a"), seq.alias("others")
-    )
-    pairs = pairs.select("build_id", "a", F.explode("others").alias("b")).where(
-        F.col("a.frame_no") < F.col("b.frame_no")
-    )
-    dt = F.col("b.minutes") - F.col("a.minutes")
-    return pairs.select(
-        "build_id",
-        F.col("a.frame_no").alias("frame_a"),
-        F.col("b.frame_no").alias("frame_b"),
-        F.col("a.minutes").alias("minutes_a"),
-        F.col("b.minutes").alias("minutes_b"),
-        (dt * max_rate).alias("seed_radius"),
+def with_sequence(candidates: DataFrame, frames: DataFrame) -> DataFrame:
+    """Candidates with their build's frames (``sequence``) and own time.
+
+    Everything the linking needs, so frames are joined once and not again for
+    seeds and predictions.
+    """
+    joined = candidates.select("build_id", "frame_no", "det_no", "ra", "dec").join(
+        check_frames(frames), "build_id"
     )
+    own = "filter(sequence, f -> f.frame_no = frame_no)[0].minutes AS minutes"
+    return joined.selectExpr("*", own)
 
 
-def _in_pair(candidates: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
-    """Candidates once per pair in which their frame is the given side."""
-    renamed = candidates.select(
+SEED_KEY = ["build_id", "frame_a", "det_a", "frame_b", "det_b"]
+
+
+def _side(sequenced: DataFrame, own: str, other: str, max_rate: float) -> DataFrame:
+    """Candidates once per partner frame: later ones for side a, earlier for b."""
+    later = ">" if own == "a" else "<"
+    partners = f"filter(sequence, f -> f.frame_no {later} frame_no)"
+    wide = sequenced.selectExpr("*", f"explode({partners}) AS p")
+    return wide.selectExpr(
         "build_id",
-        F.col("frame_no").alias(f"frame_{side}"),
-        F.col("det_no").alias(f"det_{side}"),
-        F.col("ra").alias(f"ra_{side}"),
-        F.col("dec").alias(f"dec_{side}"),
+        f"frame_no AS frame_{own}",
+        f"p.frame_no AS frame_{other}",
+        f"det_no AS det_{own}",
+        f"ra AS ra_{own}",
+        f"dec AS dec_{own}",
+        f"minutes AS minutes_{own}",
+        f"abs(p.minutes - minutes) * {float(max_rate)!r}D AS seed_radius",
+        *(["sequence"] if own == "a" else []),
     )
-    return renamed.join(pairs, ["build_id", f"frame_{side}"])
 
 
-def seed_pairs(candidates: DataFrame, frames: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
+def seed_pairs(sequenced: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
     """Candidate pairs of two frames whose implied rate is within the limit."""
-    pairs = frame_pairs(frames, config.max_rate_arcsec_per_min)
-    first = _in_pair(candidates, pairs, "a")
-    second = _in_pair(candidates, pairs, "b").drop("minutes_a", "minutes_b")
     return cell_join(
-        first,
-        second,
+        _side(sequenced, "a", "b", config.max_rate_arcsec_per_min),
+        _side(sequenced, "b", "a", config.max_rate_arcsec_per_min),
         "seed_radius",
         on=["build_id", "frame_a", "frame_b"],
         left_pos=("ra_a", "dec_a"),
@@ -148,48 +141,39 @@ def seed_pairs(candidates: DataFrame, frames: DataFrame, config: BuildConfig = D
     )
 
 
-SEED_KEY = ["build_id", "frame_a", "det_a", "frame_b", "det_b"]
-
-
-def _member(frame, det, minutes, ra, dec) -> Column:
-    return F.struct(
-        F.col(frame).alias("frame_no"),
-        F.col(det).alias("det_no"),
-        F.col(minutes).alias("minutes"),
-        F.col(ra).alias("ra"),
-        F.col(dec).alias("dec"),
+def _member(frame, det, minutes, ra, dec) -> str:
+    return (
+        f"named_struct('frame_no', {frame}, 'det_no', {det}, 'minutes', {minutes},"
+        f" 'ra', {ra}, 'dec', {dec})"
     )
 
 
-def seed_predictions(seeds: DataFrame, frames: DataFrame) -> DataFrame:
+def seed_predictions(seeds: DataFrame) -> DataFrame:
     """Where each seed should be in every other frame of its build."""
-    others = check_frames(frames).select("build_id", "sequence")
-    wide = seeds.join(others, "build_id").withColumn("o", F.explode("sequence")).drop("sequence")
-    wide = wide.where(
-        (F.col("o.frame_no") != F.col("frame_a")) & (F.col("o.frame_no") != F.col("frame_b"))
-    )
-    wide = wide.withColumns(
-        {
-            "heading": position_angle_radians("ra_b", "dec_b", "ra_a", "dec_a") + math.pi,
-            "distance": F.col("separation")
-            * (F.col("o.minutes") - F.col("minutes_b"))
-            / (F.col("minutes_b") - F.col("minutes_a")),
-        }
+    others = "filter(sequence, f -> f.frame_no <> frame_a AND f.frame_no <> frame_b)"
+    wide = seeds.selectExpr(
+        *SEED_KEY,
+        _member("frame_a", "det_a", "minutes_a", "ra_a", "dec_a") + " AS first",
+        _member("frame_b", "det_b", "minutes_b", "ra_b", "dec_b") + " AS second",
+        f"{bearing('ra_b', 'dec_b', 'ra_a', 'dec_a')} + pi() AS heading",
+        "separation / (minutes_b - minutes_a) AS rate",
+        f"explode({others}) AS o",
     )
-    ra, dec = offset_position("ra_b", "dec_b", F.col("heading"), F.col("distance"))
-    return wide.select(
+    wide = wide.selectExpr("*", "rate * (o.minutes - second.minutes) AS distance")
+    ra, dec = offset_position("second.ra", "second.dec", "heading", "distance")
+    return wide.selectExpr(
         *SEED_KEY,
-        _member("frame_a", "det_a", "minutes_a", "ra_a", "dec_a").alias("first"),
-        _member("frame_b", "det_b", "minutes_b", "ra_b", "dec_b").alias("second"),
-        F.col("o.frame_no").alias("frame_no"),
-        F.col("o.minutes").alias("minutes"),
-        ra.alias("pred_ra"),
-        dec.alias("pred_dec"),
+        "first",
+        "second",
+        "o.frame_no AS frame_no",
+        "o.minutes AS minutes",
+        f"{ra} AS pred_ra",
+        f"{dec} AS pred_dec",
     )
 
 
 def extensions(
-    seeds: DataFrame, candidates: DataFrame, frames: DataFrame, config: BuildConfig = DEFAULT
+    seeds: DataFrame, sequenced: DataFrame, config: BuildConfig = DEFAULT
 ) -> DataFrame:
     """Nearest candidate to each prediction, with the number within reach.
 
@@ -197,11 +181,11 @@ def extensions(
     pairs with a hit appear. The hits are hashed on the seed alone, so the
     grouping per frame and the later grouping per seed share one shuffle.
     """
-    targets = candidates.select(
+    targets = sequenced.select(
         "build_id", "frame_no", "det_no", F.col("ra").alias("c_ra"), F.col("dec").alias("c_dec")
     )
     hits = cell_join(
-        seed_predictions(seeds, frames),
+        seed_predictions(seeds),
         targets,
         config.search_radius_arcsec,
         on=["build_id", "frame_no"],
@@ -210,15 +194,9 @@ def extensions(
         cell_factor=8.0,
         name="distance",
     ).repartition(*SEED_KEY)
-    nearest = F.min_by(
-        F.struct(
-            F.col("frame_no"),
-            F.col("det_no"),
-            F.col("minutes"),
-            F.col("c_ra").alias("ra"),
-            F.col("c_dec").alias("dec"),
-        ),
-        F.struct("distance", "c_dec", "det_no"),
+    nearest = F.expr(
+        f"min_by({_member('frame_no', 'det_no', 'minutes', 'c_ra', 'c_dec')},"
+        " struct(distance, c_dec, det_no))"
     )
     return hits.groupBy(*SEED_KEY, "frame_no").agg(
         F.first("first").alias("first"),
@@ -246,8 +224,7 @@ def unique_sets(linked: DataFrame) -> DataFrame:
     return linked.groupBy("build_id", "members").agg(F.count("*").alias("seeds"))
 
 
-def _identity(members) -> Column:
-    return F.transform(members, lambda m: F.struct(m["frame_no"], m["det_no"]))
+_IDENTITY = "transform(members, m -> named_struct('frame_no', m.frame_no, 'det_no', m.det_no))"
 
 
 def drop_subsets(sets: DataFrame) -> DataFrame:
@@ -257,35 +234,17 @@ def drop_subsets(sets: DataFrame) -> DataFrame:
     the subset, so supersets are indexed by their member triples. Two sets
     that share three detections are few, unlike two that share one.
     """
-    larger = sets.where(F.size("members") >= 4).select(
-        "build_id", _identity(F.col("members")).alias("ids")
-    )
-    n = F.size("ids")
-    triples = F.flatten(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), n - 2),
-                lambda i: F.transform(
-                    F.sequence(i + 1, n - 1),
-                    lambda j: F.transform(
-                        F.sequence(j + 1, n),
-                        lambda k: F.array(
-                            F.element_at("ids", i), F.element_at("ids", j), F.element_at("ids", k)
-                        ),
-                    ),
-                ),
-            )
-        )
+    larger = sets.where("size(members) >= 4").selectExpr("build_id AS b2", f"{_IDENTITY} AS other")
+    triples = (
+        "flatten(flatten(transform(sequence(1, size(other) - 2), i ->"
+        " transform(sequence(i + 1, size(other) - 1), j ->"
+        " transform(sequence(j + 1, size(other)), k ->"
+        " array(other[i - 1], other[j - 1], other[k - 1]))))))"
     )
-    index = larger.select(
-        F.col("build_id").alias("b2"), F.col("ids").alias("other"), F.explode(triples).alias("t2")
-    )
-    ids = _identity(F.col("members"))
-    inside = (
-        (F.col("build_id") == F.col("b2"))
-        & (F.slice(ids, 1, 3) == F.col("t2"))
-        & (F.size("members") < F.size("other"))
-        & (F.size(F.array_except(ids, F.col("other"))) == 0)
+    index = larger.selectExpr("b2", "other", f"explode({triples}) AS t2")
+    inside = F.expr(
+        f"build_id = b2 AND slice({_IDENTITY}, 1, 3) = t2 AND size(members) < size(other)"
+        f" AND size(array_except({_IDENTITY}, other)) = 0"
     )
     return sets.join(index, inside, "left_anti")
 
@@ -293,10 +252,6 @@ def drop_subsets(sets: DataFrame) -> DataFrame:
 # --- fit --------------------------------------------------------------------
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-
-
 def fit_motion(df: DataFrame, members: str = "members") -> DataFrame:
     """Straight-line fit of the members in sky offsets about the first one.
 
@@ -304,40 +259,34 @@ def fit_motion(df: DataFrame, members: str = "members") -> DataFrame:
     shuffle is needed. Adds velocity, position angle, RMS and largest residual.
     """
     df = require(df, F.size(members) >= 3, "a tracklet fit needs at least three detections")
-    first = F.element_at(members, 1)
-
-    def offset(m):
-        east, north = sky_offsets(m["ra"], m["dec"], first["ra"], first["dec"])
-        return F.struct(
-            (m["minutes"] - first["minutes"]).alias("t"), east.alias("e"), north.alias("n")
-        )
-
-    df = df.withColumn("_pts", F.transform(members, offset))
-    count = F.size("_pts").cast("double")
-    df = df.withColumns({f"_m{v}": _sum(F.col(f"_pts.{v}")) / count for v in "ten"})
-    var_t = _sum(F.transform("_pts", lambda p: (p["t"] - F.col("_mt")) * (p["t"] - F.col("_mt"))))
-
-    def slope(v):
-        cov = F.transform("_pts", lambda p: (p["t"] - F.col("_mt")) * (p[v] - F.col(f"_m{v}")))
-        return _sum(cov) / var_t
-
-    df = df.withColumns({"_se": slope("e"), "_sn": slope("n")})
+    columns = df.columns
+    east, north = sky_offsets("m.ra", "m.dec", f"{members}[0].ra", f"{members}[0].dec")
+    points = (
+        f"transform({members}, m -> named_struct('t', m.minutes - {members}[0].minutes,"
+        f" 'e', {east}, 'n', {north}))"
+    )
 
-    def residual(p):
-        dt = p["t"] - F.col("_mt")
-        return F.hypot(
-            p["e"] - F.col("_me") - F.col("_se") * dt, p["n"] - F.col("_mn") - F.col("_sn") * dt
-        )
+    def slope(v: str) -> str:
+        cov = array_sum(f"transform(_pts, p -> (p.t - _mt) * (p.{v} - _m{v}))")
+        return f"{cov} / {array_sum('transform(_pts, p -> (p.t - _mt) * (p.t - _mt))')}"
 
-    df = df.withColumn("_res", F.transform("_pts", residual))
-    return df.withColumns(
-        {
-            "angular_velocity_arcsec_per_min": F.hypot("_se", "_sn"),
-            "position_angle_deg": wrap360(F.degrees(F.atan2("_se", "_sn"))),
-            "fit_rms_residual_arcsec": F.sqrt(_sum(F.transform("_res", lambda r: r * r)) / count),
-            "fit_max_residual_arcsec": F.array_max("_res"),
-        }
-    ).drop("_pts", "_mt", "_me", "_mn", "_se", "_sn", "_res")
+    residual = (
+        "hypot(p.e - _me - _se * (p.t - _mt), p.n - _mn - _sn * (p.t - _mt))"
+    )
+    return df.selectExpr(
+        "*",
+        f"{points} AS _pts",
+        *[f"{array_sum(f'transform(_pts, p -> p.{v})')} / size(_pts) AS _m{v}" for v in "ten"],
+        f"{slope('e')} AS _se",
+        f"{slope('n')} AS _sn",
+        f"transform(_pts, p -> {residual}) AS _res",
+    ).selectExpr(
+        *columns,
+        "hypot(_se, _sn) AS angular_velocity_arcsec_per_min",
+        f"{wrap360('degrees(atan2(_se, _sn))')} AS position_angle_deg",
+        f"sqrt({array_sum('transform(_res, r -> r * r)')} / size(_res)) AS fit_rms_residual_arcsec",
+        "array_max(_res) AS fit_max_residual_arcsec",
+    )
 
 
 def with_status(df: DataFrame, max_residual: float) -> DataFrame:
@@ -358,19 +307,30 @@ def with_status(df: DataFrame, max_residual: float) -> DataFrame:
 # --- whole build ------------------------------------------------------------
 
 
-def member_sets(
-    candidates: DataFrame, frames: DataFrame, config: BuildConfig = DEFAULT
-) -> DataFrame:
+def prepare(detections: DataFrame, frames: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
+    """Stored moving candidates of every build, ready for linking.
+
+    They are a small part of the detections and are read three times.
+    """
+    candidates = moving_candidates(
+        detections.select("build_id", "frame_no", "det_no", "ra", "dec"),
+        config.stationary_tolerance_arcsec,
+    )
+    ready = with_sequence(candidates, frames)
+    return cut_lineage(spread(ready, "build_id", "frame_no", "det_no"))
+
+
+def member_sets(sequenced: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
     """Deduplicated, maximal member sets of every build."""
-    seeds = seed_pairs(candidates, frames, config)
-    linked = linked_sets(extensions(seeds, candidates, frames, config), config)
-    return drop_subsets(unique_sets(linked)).drop("seeds")
+    linked = linked_sets(extensions(seed_pairs(sequenced, config), sequenced, config), config)
+    # Stored, because the subset check reads the sets from both sides.
+    return drop_subsets(cut_lineage(unique_sets(linked))).drop("seeds")
 
 
 def number_tracklets(sets: DataFrame) -> DataFrame:
     """Build order: lexicographic by members; ids ``trk-0001``, ..."""
     numbered = row_numbers(
-        sets.withColumn("_order", _identity(F.col("members"))),
+        sets.withColumn("_order", F.expr(_IDENTITY)),
         ["build_id"],
         ["_order"],
         "tracklet_no",
@@ -392,11 +352,7 @@ def build_tracklets(
     the fit, ``status`` and ``status_reason``. The numbered sets are stored
     once, so the linking does not run again for later operators.
     """
-    candidates = moving_candidates(
-        detections.select("build_id", "frame_no", "det_no", "ra", "dec"),
-        config.stationary_tolerance_arcsec,
-    )
-    numbered = number_tracklets(member_sets(candidates, frames, config))
+    numbered = number_tracklets(member_sets(prepare(detections, frames, config), config))
     return with_status(fit_motion(numbered), config.max_residual_arcsec)
 
 
@@ -413,17 +369,14 @@ def build_diagnostics(
     config: BuildConfig = DEFAULT,
 ) -> DataFrame:
     """Counters of each build's stages, one row per build."""
-    candidates = moving_candidates(
-        detections.select("build_id", "frame_no", "det_no", "ra", "dec"),
-        config.stationary_tolerance_arcsec,
-    )
-    seeds = seed_pairs(candidates, frames, config)
-    extended = extensions(seeds, candidates, frames, config)
-    unique = unique_sets(linked_sets(extended, config))
+    candidates = prepare(detections, frames, config)
+    seeds = seed_pairs(candidates, config)
+    extended = cut_lineage(extensions(seeds, candidates, config))
+    unique = cut_lineage(unique_sets(linked_sets(extended, config)))
     tracklets = with_status(fit_motion(drop_subsets(unique)), config.max_residual_arcsec)
 
     usage = (
-        tracklets.select("build_id", F.explode(_identity(F.col("members"))).alias("m"))
+        tracklets.select("build_id", F.expr(f"explode({_IDENTITY}) AS m"))
         .groupBy("build_id", "m")
         .agg(F.count("*").alias("uses"))
         .groupBy("build_id")
