@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.functions.sky import separation, unit_vector, vector_position
-from driftline.operators.ordered import mid_rank_percentile, row_numbers
+from driftline.operators.ordered import cut_lineage, mid_rank_percentile, row_numbers
 
 # The frozen review score. (feature, direction) in summation
 # order; every input has the same weight; a missing value counts as 0.
@@ -37,7 +37,10 @@ TRACKLET = ["build_id", "tracklet_no"]
 
 
 def review_features(tracklets: DataFrame, quality: DataFrame, shared: DataFrame) -> DataFrame:
-    """The eight inputs of every built tracklet, rounded to six decimals."""
+    """The eight inputs of every built tracklet, rounded to six decimals.
+
+    Stored: ranks and evidence read them several times.
+    """
     fit = tracklets.where("status = 'built'").select(*TRACKLET, "fit_rms_residual_arcsec")
     wide = fit.join(quality.drop("status", "fit_rms_residual_arcsec"), TRACKLET).join(shared, TRACKLET)
     rounded = [
@@ -46,7 +49,7 @@ def review_features(tracklets: DataFrame, quality: DataFrame, shared: DataFrame)
         else name
         for name, _ in REVIEW_INPUTS
     ]
-    return wide.selectExpr(*TRACKLET, *rounded, "sharp_availability")
+    return cut_lineage(wide.selectExpr(*TRACKLET, *rounded, "sharp_availability"))
 
 
 def long_features(wide: DataFrame, keys: list[str], inputs) -> DataFrame:

@@ -349,11 +349,11 @@ def build_tracklets(
     """Detections to fitted tracklets, all builds in one plan.
 
     One row per tracklet: ``build_id, tracklet_no, tracklet_id, members``,
-    the fit, ``status`` and ``status_reason``. The numbered sets are stored
-    once, so the linking does not run again for later operators.
+    the fit, ``status`` and ``status_reason``. The result is stored, so the
+    linking does not run again for the operators that read it.
     """
     numbered = number_tracklets(member_sets(prepare(detections, frames, config), config))
-    return with_status(fit_motion(numbered), config.max_residual_arcsec)
+    return cut_lineage(with_status(fit_motion(numbered), config.max_residual_arcsec))
 
 
 def tracklet_members(tracklets: DataFrame) -> DataFrame:
