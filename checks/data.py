@@ -119,6 +119,43 @@ FROM det GROUP BY build_id, frame_no
 )
 
 
+# Footprint of a frame: a tilted quadrilateral that cuts some positions off.
+# The corners are listed crosswise, as archives do.
+CORNERS = ((120.003, 10.001), (120.058, 10.056), (120.001, 10.058), (120.06, 10.003))
+
+
+def metadata(spark: SparkSession, sf: str) -> DataFrame:
+    points = ", ".join(f"named_struct('ra', {a!r}D, 'dec', {b!r}D)" for a, b in CORNERS)
+    ring = [CORNERS[i] for i in (0, 3, 1, 2)]
+    ordered = ", ".join(f"named_struct('ra', {a!r}D, 'dec', {b!r}D)" for a, b in ring)
+    return frames(spark, sf).selectExpr(
+        "*", "120.03D AS center_ra", "10.03D AS center_dec",
+        f"array({ordered}) AS corners", f"array({points}) AS crossed_corners",
+    )
+
+
+def inside_sql(ra: str, dec: str) -> str:
+    """Even-odd test in the offsets about the frame centre, as SQL text."""
+
+    def offsets(a, d):
+        along = (
+            f"(cos(radians({d}))*cos(radians({a}-120.03e0))*cos(radians(10.03e0))+sin(radians({d}))*sin(radians(10.03e0)))"
+        )
+        up = (
+            f"(sin(radians({d}))*cos(radians(10.03e0))-cos(radians({d}))*cos(radians({a}-120.03e0))*sin(radians(10.03e0)))"
+        )
+        return f"atan2(cos(radians({d}))*sin(radians({a}-120.03e0)),{along})", f"asin({up})"
+
+    x, y = offsets(ra, dec)
+    ring = [offsets(f"{CORNERS[i][0]!r}e0", f"{CORNERS[i][1]!r}e0") for i in (0, 3, 1, 2)]
+    terms = []
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        terms.append(
+            f"CASE WHEN (({y1} > {y}) <> ({y2} > {y})) AND {x} < {x1}+({y}-{y1})*({x2}-{x1})/({y2}-{y1}) THEN 1 ELSE 0 END"
+        )
+    return f"(({'+'.join(terms)}) % 2 = 1)"
+
+
 # --- predicted known objects -------------------------------------------------
 # Two predicted objects per series and frame: K follows the mover track with
 # an offset of 0 to 2.1 arcsec, L with 0 to 4.4 arcsec. Position errors above
