@@ -6,6 +6,7 @@ from checks.registry import cte, query, sep, with_ctes
 from checks.review import identified
 from driftline.operators import targets as G
 from driftline.operators import tracklets as T
+from driftline.operators.ordered import cut_lineage
 
 cte(
     "targ",
@@ -77,12 +78,12 @@ LEFT JOIN (SELECT build_id, designation, count(*) AS n FROM shsrc WHERE NOT (sha
 
 
 def targets(spark, sf):
-    return G.select_targets(data.ephemerides(spark, sf), data.metadata(spark, sf))
+    return cut_lineage(G.select_targets(data.ephemerides(spark, sf), data.metadata(spark, sf)))
 
 
 def frame_traces(spark, sf, tgt):
     marked = T.mark_stationary(data.detections(spark, sf), 1.5)
-    return G.frame_traces(tgt, marked, data.metadata(spark, sf))
+    return cut_lineage(G.frame_traces(tgt, marked, data.metadata(spark, sf)))
 
 
 @query(
