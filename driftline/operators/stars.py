@@ -31,7 +31,7 @@ from driftline.functions.sky import (
     separation_haversine,
 )
 from driftline.operators.celljoin import cell_join
-from driftline.operators.ordered import cut_lineage, quantiles
+from driftline.operators.ordered import cut_lineage, quantiles, spread
 
 # Reach of a star, isolation, sampling steps, bright limit.
 STAR_REACH = 900.0
@@ -198,7 +198,8 @@ def annulus_areas(stars: DataFrame, shapes: DataFrame) -> DataFrame:
     )
     away = separation("star_ra", "star_dec", "fp_ra", "fp_dec")
     near = base.where(f"{away} <= r2 * 1.01D + fp_radius * 1.01D + 1D")
-    samples = near.selectExpr(
+    # A ring becomes thousands of samples: spread the rings first.
+    samples = spread(near, *key).selectExpr(
         "*", f"explode(sequence(0, {AREA_RADIAL_STEPS - 1})) AS i"
     ).selectExpr("*", f"explode(sequence(0, {AREA_ANGULAR_STEPS - 1})) AS j")
     step = f"(i + 0.5D) / {float(AREA_RADIAL_STEPS)!r}D"
@@ -319,7 +320,9 @@ def grid_points(shapes: DataFrame, grid: int) -> DataFrame:
         f"array_min({xs}) AS x0", f"array_max({xs}) AS x1",
         f"array_min({ys}) AS y0", f"array_max({ys}) AS y1",
     )
-    cells = bounds.selectExpr("*", f"explode(sequence(0, {grid - 1})) AS gi").selectExpr(
+    # A grid row becomes hundreds of points: spread the rows first.
+    rows = spread(bounds.selectExpr("*", f"explode(sequence(0, {grid - 1})) AS gi"), "field_id", "gi")
+    cells = rows.selectExpr(
         "*", f"explode(sequence(0, {grid - 1})) AS gj"
     )
     points = cells.selectExpr(
