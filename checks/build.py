@@ -81,6 +81,17 @@ SELECT build_id, dets, count(*) AS seeds FROM linked{suffix} GROUP BY build_id,
 
 
 linking_ctes("", "det", "cand")
+# The same events as five-frame builds: exercises gaps and subset removal.
+cte(
+    "stat5",
+    f"""
+SELECT DISTINCT a.build_id, a.frame_no, a.det_no FROM det5 a JOIN det5 b
+ON a.build_id=b.build_id AND a.frame_no<>b.frame_no AND {near('a.dec','b.dec','1.5e0')}
+AND {sep('a.ra','a.dec','b.ra','b.dec')} <= 1.5e0
+""",
+)
+cte("cand5", "SELECT * FROM det5 ANTI JOIN stat5 USING (build_id, frame_no, det_no)")
+linking_ctes("5", "det5", "cand5")
 cte("maxi", "SELECT build_id, dets FROM uniq")
 cte(
     "trk",
@@ -217,6 +228,25 @@ def build_tracklets(spark, sf):
     )
 
 
+@query(
+    "build_five_frames",
+    with_ctes(
+        """
+SELECT build_id, CAST(row_number() OVER (PARTITION BY build_id ORDER BY [(d % 5) * 100000000000 + d FOR d IN dets]) AS BIGINT) AS tracklet_no,
+ array_to_string(dets, ',') AS members, CAST(len(dets) AS INT) AS size FROM uniq5 u
+WHERE NOT EXISTS (SELECT 1 FROM uniq5 o WHERE o.build_id=u.build_id AND len(o.dets)>len(u.dets) AND list_has_all(o.dets, u.dets))
+"""
+    ),
+)
+def build_five_frames(spark, sf):
+    dets = data.detections(spark, sf, 5, "2e1")
+    out = T.build_tracklets(dets, data.frames_of(dets))
+    return out.selectExpr(
+        "build_id", "tracklet_no", "array_join(transform(members, m -> CAST(m.det_no AS STRING)), ',') AS members",
+        "size(members) AS size",
+    )
+
+
 @query(
     "build_diagnostics",
     with_ctes(

@@ -6,7 +6,7 @@ per-frame metadata has ``center_ra, center_dec, corners, maglimit``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.config import DEFAULT, BuildConfig
@@ -123,6 +123,21 @@ def nearest_detections(
     return positions.join(keep, [*TARGET, "frame_no"], "left")
 
 
+def detections_near(
+    predictions: DataFrame, detections: DataFrame, key: list[str], radius: float
+) -> DataFrame:
+    """Detections within ``radius`` of each prediction, nearest first.
+
+    ``predictions``: key, build and frame, ``p_ra, p_dec``. The order number
+    is taken within one search circle.
+    """
+    close = cell_join(
+        detections, predictions, radius, on=FRAME, right_pos=("p_ra", "p_dec"), name="distance"
+    )
+    order = Window.partitionBy(*key, *FRAME).orderBy("distance", "det_no")
+    return close.withColumn("nearness", F.row_number().over(order))
+
+
 def frame_traces(
     targets: DataFrame,
     marked: DataFrame,
