@@ -235,8 +235,8 @@ cte(
 _SCORED = {
     "field_id": "concat('F',CAST(l_suppkey AS STRING))",
     "grp": "concat('G-',CAST(mod(l_suppkey,25) AS STRING))",
-    "tracklet_no": "l_orderkey*10+l_linenumber",
-    "tracklet_id": "concat('trk-',CAST(l_orderkey*10+l_linenumber AS STRING))",
+    "tracklet_no": "(l_orderkey*10+l_linenumber)*100000000+l_partkey",
+    "tracklet_id": "concat('trk-',CAST((l_orderkey*10+l_linenumber)*100000000+l_partkey AS STRING))",
     "night": "concat('N',CAST(mod(l_suppkey,40) AS STRING))",
     "designation": "concat('D',CAST(mod(l_partkey,50) AS STRING))",
     "label": "CASE l_returnflag WHEN 'R' THEN 'positive' WHEN 'A' THEN 'auxiliary' ELSE 'background' END",

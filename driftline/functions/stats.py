@@ -7,7 +7,8 @@ Z95 = 1.959964
 
 
 def _wilson_parts(k: str, n: str, z: float) -> tuple[str, str]:
-    p, zz, n = f"({k} / {n})", f"{z * z!r}D", f"CAST({n} AS DOUBLE)"
+    n = f"nullif(CAST({n} AS DOUBLE), 0D)"
+    p, zz = f"({k} / {n})", f"{z * z!r}D"
     denominator = f"(1D + {zz} / {n})"
     centre = f"(({p} + {zz} / (2D * {n})) / {denominator})"
     half = f"({z!r}D * sqrt({p} * (1D - {p}) / {n} + {zz} / (4D * {n} * {n})) / {denominator})"
@@ -26,7 +27,7 @@ def wilson(k: str, n: str, z: float = Z95) -> tuple[str, str]:
 def newcombe(k1: str, n1: str, k2: str, n2: str) -> tuple[str, str]:
     """Hybrid score interval of k1/n1 - k2/n2; null without trials."""
     (l1, u1), (l2, u2) = wilson(k1, n1), wilson(k2, n2)
-    p1, p2 = f"({k1} / {n1})", f"({k2} / {n2})"
+    p1, p2 = f"({k1} / nullif({n1}, 0))", f"({k2} / nullif({n2}, 0))"
     ok = f"{n1} > 0 AND {n2} > 0"
     low = f"{p1} - {p2} - sqrt(pow({p1} - {l1}, 2) + pow({u2} - {p2}, 2))"
     high = f"{p1} - {p2} + sqrt(pow({u1} - {p1}, 2) + pow({p2} - {l2}, 2))"

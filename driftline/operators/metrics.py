@@ -283,9 +283,8 @@ def spearman(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> D
     ranked = average_ranks(average_ranks(complete, keys, x, "_rx"), keys, y, "_ry")
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("rows"),
-        F.when(
-            (F.count("*") >= 3) & (F.var_pop("_rx") > 0) & (F.var_pop("_ry") > 0),
-            F.corr("_rx", "_ry"),
+        F.expr(
+            "if(count(*) >= 3, covar_pop(_rx, _ry) / nullif(stddev_pop(_rx) * stddev_pop(_ry), 0D), NULL)"
         ).alias("rho"),
     )
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.config import DEFAULT, BuildConfig
 from driftline.functions.sky import baseline_eligible, extrapolate, predicted_motion, separation
-from driftline.operators.ordered import cut_lineage, row_numbers, running_totals
+from driftline.operators.ordered import cut_lineage, first_per_group, row_numbers, running_totals
 from driftline.operators.targets import MARGINAL_MARGIN, MAX_POSITION_ERROR, PRIMARY_MARGIN
 
 # Trigger distance and the two searches' budgets.
@@ -81,9 +81,13 @@ def select_nights(candidates: DataFrame, budget: dict, max_rounds: int = 50) ->
         run = running_totals(spent, ["search_class"], ["star_no"], {"_c": F.col("_cones")})
         allowed = run.where(f"_c_before < {budget['max_cones']}").select("search_class", "star_no")
         rows = rows.join(allowed, ["search_class", "star_no"], "left_semi")
-    open_rows = cut_lineage(
-        rows.where("triggers > 0").withColumn("turn", F.struct("star_no", "search_class"))
+    # A night listed twice for a star can only be taken the first time.
+    distinct = first_per_group(
+        rows.where("triggers > 0"),
+        ["search_class", "star_id", "star_no", "night_key"],
+        [F.col("night_index")],
     )
+    open_rows = cut_lineage(distinct.withColumn("turn", F.struct("star_no", "search_class")))
     weight = F.count("*") if budget["counts"] == "nights" else F.sum("triggers")
     taken = open_rows.select("night_key", "turn", "star_id").limit(0)
     for _ in range(max_rounds):
