@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 def require(df: DataFrame, condition: Column, message) -> DataFrame:
     """Keep all rows; raise as soon as one fails ``condition`` (or it is null).
 
-    ``message`` is text or a Column built from the failing row.
+    ``message`` is text or a Column built from the failing row. Do not use a
+    nullable checked column as a join key afterwards: the optimizer would move
+    its null check below the guard.
     """
     text = F.lit(message) if isinstance(message, str) else message
     return df.where(
