@@ -118,6 +118,19 @@ def frame_trace_query(spark, sf):
     )
 
 
+@query(
+    "frame_depths",
+    with_ctes(
+        "SELECT build_id, frame_no, CAST(count(*) AS BIGINT) AS sources, round(CASE WHEN count(*)>=5 THEN median(magnitude+2.5e0*log10(snr/5e0)) END,6) AS frame_depth_mag"
+        " FROM det WHERE snr BETWEEN 3e0 AND 2e1 GROUP BY 1,2"
+    ),
+)
+def frame_depths(spark, sf):
+    return G.frame_depths(data.detections(spark, sf)).selectExpr(
+        "build_id", "frame_no", "sources", "round(frame_depth_mag,6) AS frame_depth_mag"
+    )
+
+
 @query(
     "stationary_matches",
     with_ctes(

@@ -155,7 +155,11 @@ def require_split(rows: DataFrame, manifest: DataFrame, stage: str) -> DataFrame
 
 
 def split_digest(manifest: DataFrame) -> DataFrame:
-    """Digest of each split's field ids (sorted, one per line)."""
+    """Digest of each split's field ids (sorted, one per line).
+
+    A digest of a list is one value over the whole list: only the short ids
+    of a manifest are gathered, never rows of data.
+    """
     ids = manifest.groupBy("split").agg(F.array_sort(F.collect_set("field_id")).alias("ids"))
     return ids.select("split", F.sha2(F.array_join("ids", "\n"), 256).alias("digest"))
 

@@ -15,7 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.operators.ordered import average_ranks, cut_lineage, first_per_group, running_totals
+from driftline.operators.ordered import (
+    average_ranks,
+    cut_lineage,
+    first_per_group,
+    quantiles,
+    running_totals,
+)
 
 POSITIVE, AUXILIARY, BACKGROUND, NOT_RANKED = "positive", "auxiliary", "background", "not_ranked"
 
@@ -306,12 +312,8 @@ def spearman_matrices(wide: DataFrame, features: list[str], min_rows: int = 10)
     pooled = spearman(pairs, ["a", "b"]).select("a", "b", F.col("rho").alias("pooled"))
     fields = spearman(pairs, ["field_id", "a", "b"])
     sizes = pairs.groupBy("field_id", "a", "b").agg(F.count("*").alias("_all"))
-    per_field = (
-        fields.join(sizes, ["field_id", "a", "b"])
-        .where((F.col("_all") >= min_rows) & F.col("rho").isNotNull())
-        .groupBy("a", "b")
-        .agg(F.median("rho").alias("field_median"))
-    )
+    usable = fields.join(sizes, ["field_id", "a", "b"]).where(F.col("_all") >= min_rows)
+    per_field = quantiles(usable, ["a", "b"], "rho", {"field_median": 0.5}).drop("count")
     return pooled.join(per_field, ["a", "b"], "left")
 
 

@@ -20,7 +20,7 @@ from driftline.functions.sky import (
     predicted_motion,
 )
 from driftline.operators.celljoin import cell_join
-from driftline.operators.ordered import first_per_group
+from driftline.operators.ordered import first_per_group, quantiles
 
 # The target rule and the trace radii.
 PRIMARY_MARGIN = 0.5
@@ -191,6 +191,20 @@ def depth_column():
     return F.expr(f"if(count(*) >= {LOCAL_DEPTH_MIN_SOURCES}, median({value}), NULL)")
 
 
+def frame_depths(detections: DataFrame) -> DataFrame:
+    """Median 5-sigma depth of whole frames; null below five sources. A frame
+    may be huge, so the median comes from distributed ranks."""
+    low, high = LOCAL_DEPTH_SNR
+    rows = detections.where(f"snr >= {low!r}D AND snr <= {high!r}D").selectExpr(
+        *FRAME, "magnitude + 2.5D * log10(snr / 5D) AS depth"
+    )
+    out = quantiles(rows, FRAME, "depth", {"frame_depth_mag": 0.5})
+    return out.selectExpr(
+        *FRAME, "count AS sources",
+        f"if(count >= {LOCAL_DEPTH_MIN_SOURCES}, frame_depth_mag, NULL) AS frame_depth_mag",
+    )
+
+
 def stationary_matches(
     traces: DataFrame, detections: DataFrame, config: BuildConfig = DEFAULT
 ) -> DataFrame:

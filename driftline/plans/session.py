@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # No Python call site per column: planning is much faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
