@@ -77,9 +77,6 @@ def replay(fields: DataFrame, snapshots: dict[str, DataFrame], key: str = "field
     wanted = fields.select(key).distinct().join(first, key, "left")
     message = F.concat(F.col(key).cast("string"), F.lit(": no stored snapshot"))
     wanted = require(wanted, F.col("_priority").isNotNull(), message)
-    # Never null from here on: a null check on the join key must not reach
-    # below the guard and drop the failing row there.
-    wanted = wanted.select(key, F.coalesce("_priority", F.lit(-1)).alias("_priority"))
     return tagged.join(wanted, [key, "_priority"]).drop("_priority")
 
 

@@ -60,6 +60,10 @@ def test_missing_field_is_an_error_but_an_empty_one_is_not(spark, track):
     members = T.tracklet_members(track)
     fields = frames(spark, MIN)
     assert I.require_fields(members, fields).count() == 3
+    # A later filter on the joined columns must not hide the missing field.
+    with pytest.raises(Exception, match="no known-object field"):
+        short = I.require_fields(members, fields.where("frame_no < 2"))
+        short.join(fields.select("build_id", "frame_no"), ["build_id", "frame_no"]).where("frame_no < 2").collect()
     with pytest.raises(Exception, match="no known-object field"):
         I.require_fields(members, fields.where("frame_no < 2")).count()
 
