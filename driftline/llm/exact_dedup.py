@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import SPACES
+from driftline.llm.common import SPACES, stored
 
 
 def normalised(text: Column) -> Column:
@@ -65,7 +65,9 @@ def exact_dedup(
         "digest", "keep_id",
         F.when(F.col("contents") == 1, F.col("group_size")).otherwise(clash.cast("long")).alias("group_size"),
     )
-    # Narrow rows only: the adaptive skew join splits the digest of a hot group.
+    # Narrow rows only. The stored side is dealt out anew for the join, so that
+    # the adaptive skew join can split the digest of a hot group.
+    per_digest = stored(per_digest, "winners")
     joined = rows.select("doc_id", "digest").join(per_digest, "digest")
     # Rows of one id and text: exactly one is the keeper. They are dealt by id,
     # so that a hot digest is not gathered again; null ids by their digest.
