@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup
+from driftline.llm import byte_bpe, exact_dedup, language_id, token_counts
+from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,11 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    held = fold(F.col("doc_id"), 4, 2)
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 @query("op6_byte_bpe")
 def op6(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op8_token_counts")
+def op8(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op9_exact_dedup",
     r"""
