@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, token_counts
+from driftline.llm import byte_bpe, exact_dedup, language_id, quality_rules, token_counts
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,13 @@ def op1(spark, sf_dir):
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op4_quality_rules")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    crf = quality_rules.train_crf(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, crf)
+
+
 @query("op6_byte_bpe")
 def op6(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
