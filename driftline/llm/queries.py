@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, quality_rules, token_counts
+from driftline.llm import byte_bpe, exact_dedup, language_id, quality_rules, token_counts, warc
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,24 @@ def op4(spark, sf_dir):
     return quality_rules.apply_rules(docs, crf)
 
 
+@query(
+    "op5_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    w AS (SELECT *, strlen(body) >= 1000 AS large, max(page_id) OVER (PARTITION BY body) AS answer FROM p)
+    SELECT page_id,
+           strlen(body) AS payload_bytes,
+           sha1(body) AS payload_digest,
+           CASE WHEN large AND page_id <> answer THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN large AND page_id <> answer THEN answer END AS refers_to
+    FROM w
+    """,
+)
+def op5(spark, sf_dir):
+    records = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_byte_bpe")
 def op6(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
