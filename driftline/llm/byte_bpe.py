@@ -54,7 +54,7 @@ class MergeTransducer:
     Every single byte must be a token (true for byte-level vocabularies).
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], max_transitions: int = 400_000):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"no token for bytes {missing[:5]}")
@@ -78,22 +78,24 @@ class MergeTransducer:
 
     def _history(self, token: int) -> tuple[bool, list, list]:
         """How the bytes of a token merge on their own, lowest rank first and
-        leftmost among equals: whether they become that token, and after each
+        leftmost among equals: whether they become that token, and before each
         merge its rank with the rightmost (leftmost) part."""
         known = self._histories.get(token)
         if known is None:
             data = self.words[token]
             parts = [data[i : i + 1] for i in range(len(data))]
-            right, left = [(0, parts[-1])], [(0, parts[0])]
+            right, left = [], []
             while len(parts) > 1:
                 pairs = [self.ranks.get(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
                 best = min(pairs)
                 if best == NEVER:
                     break
-                at = pairs.index(best)
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
                 right.append((best, parts[-1]))
                 left.append((best, parts[0]))
+                at = pairs.index(best)
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            right.append((NEVER, parts[-1]))
+            left.append((NEVER, parts[0]))
             known = self._histories[token] = (len(parts) == 1, right, left)
         return known
 
@@ -106,21 +108,21 @@ class MergeTransducer:
         if len(self._pair) > 4 * self.max_transitions:
             self._pair.clear()
         a, b = self._history(left)[1], self._history(right)[2]
-        i = j = 0
+        ranks, i, j, fits = self.ranks, 0, 0, True
+        (next_a, part_a), (next_b, part_b) = a[0], b[0]
         while True:
-            next_a = a[i + 1][0] if i + 1 < len(a) else NEVER
-            next_b = b[j + 1][0] if j + 1 < len(b) else NEVER
-            across = self.ranks.get(a[i][1] + b[j][1], NEVER)
-            if across < next_a and across <= next_b and across != NEVER:
+            across = ranks.get(part_a + part_b)
+            if across is not None and across < next_a and across <= next_b:
                 fits = False
                 break
-            if next_a == NEVER and next_b == NEVER:
-                fits = True
-                break
             if next_a <= next_b:
+                if next_a == NEVER:
+                    break
                 i += 1
+                next_a, part_a = a[i]
             else:
                 j += 1
+                next_b, part_b = b[j]
         self._pair[left << 20 | right] = fits
         return fits
 
@@ -143,6 +145,7 @@ class MergeTransducer:
         """Build the move on ``byte``: the next subset of hypotheses and the
         tokens that all of them agree on."""
         after, child, token_at, pair = [], self._child, self._token_at, self._pair
+        inner, held_back = self._inner, []
         for last, held, node in state.hypotheses:
             node = child.get(node << 8 | byte)
             if node is None:
@@ -150,23 +153,24 @@ class MergeTransducer:
             token = token_at[node]
             if token >= 0:
                 fits = pair.get(last << 20 | token) if last >= 0 else True
-                if fits or fits is None and self._fits(last, token):
+                if fits is None:
+                    fits = self._fits(last, token)
+                if fits:
                     after.append((token, (*held, token), 0))
-            if node < self._inner:
+                    held_back.append(after[-1][1])
+            if node < inner:
                 after.append((last, held, node))
-        first = after[0][1]
-        same = 0
-        if len(after) == 1:
-            same = len(first)
-        elif first:
-            for token in first:
-                if any(len(h[1]) <= same or h[1][same] != token for h in after):
-                    break
-                same += 1
+                held_back.append(held)
+        same, n = 0, len(after)
+        for column in zip(*held_back, strict=False):
+            if column.count(column[0]) < n:
+                break
+            same += 1
         self._built += 1
+        first = held_back[0][:same]
         if same:
             after = [(last, held[same:], node) for last, held, node in after]
-        move = self._state(tuple(after)), first[:same]
+        move = self._state(tuple(after)), first
         state.moves[byte] = move
         return move
 
@@ -194,7 +198,7 @@ class PieceCache(dict):
     the old one, so pieces in use stay and the rest is forgotten.
     """
 
-    def __init__(self, machine: MergeTransducer, limit: int = 250_000):
+    def __init__(self, machine: MergeTransducer, limit: int = 400_000):
         self.machine, self.limit, self.old = machine, limit, {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -258,7 +262,7 @@ def _possible(start: bytes) -> bool:
 class UnitCache(dict):
     """Text between single spaces (its leading space included) -> packed ids."""
 
-    def __init__(self, pieces: PieceCache, split, limit: int = 150_000):
+    def __init__(self, pieces: PieceCache, split, limit: int = 300_000):
         self.pieces, self.split, self.limit, self.old = pieces, split, limit, {}
 
     def __missing__(self, unit: str) -> bytes:
