@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, quality_rules, token_counts, warc
+from driftline.llm import byte_bpe, exact_dedup, language_id, mixing, quality_rules, token_counts, warc
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,12 @@ def op6(spark, sf_dir):
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op7_mixing")
+def op7(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
