@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, mixing, quality_rules, token_counts, warc
+from driftline.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,14 @@ def op1(spark, sf_dir):
     return found.select("doc_id", (~F.col("train")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query("op2_lm_scoring")
+def op2(spark, sf_dir):
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), ~fold(F.col("doc_id"), 7, 2))
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
