@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, lm_scoring, mixing, quality_rules, token_counts, warc
+from driftline.llm import byte_bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, quality_rules, token_counts, warc
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ def op8(spark, sf_dir):
 )
 def op9(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
