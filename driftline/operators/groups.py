@@ -81,14 +81,28 @@ def link_reasons(nights: DataFrame) -> DataFrame:
     return same_night.unionByName(same_star).unionByName(same_field)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _to_roots(hooks: DataFrame) -> DataFrame:
+    """``a, p`` with every chain of hooks shortened to its end (log n steps)."""
+    hooks = cut_lineage(hooks)
+    while True:
+        onward = hooks.selectExpr("a AS via", "p AS next")
+        jumped = cut_lineage(
+            hooks.join(onward, F.col("p") == F.col("via")).selectExpr("a", "next AS p", "p <> next AS moved")
+        )
+        hooks = jumped.select("a", "p")
+        if jumped.where("moved").isEmpty():
+            return hooks
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, component`` (smallest node id of the component).
 
-    Each round hooks every label to its smallest neighbouring label, shortens
-    the resulting chains, and replaces the edges by edges between labels. At
-    most half of the labels that still have neighbours stay, so the rounds
-    are few even on long paths and the edges shrink. Each round is stored:
-    the plan stays short and a lost executor costs at most one round.
+    Each round hooks every label to its smallest neighbouring label, follows
+    the hooks to their roots, and replaces the edges by edges between roots.
+    A label with a smaller neighbour never stays, so every component with
+    edges left shrinks in every round: the rounds need no limit, a path of any
+    order takes one, a star two. Each round is stored: the plan stays
+    short and a lost executor costs at most one round.
     """
     graph = cut_lineage(
         edges.selectExpr("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b"))
@@ -96,16 +110,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
         .distinct()
     )
     labels = nodes.selectExpr("node", "node AS component").distinct()
-    for _ in range(max_rounds):
-        if graph.isEmpty():
-            return labels
-        hooks = graph.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p"))
-        for _ in range(2):
-            onward = hooks.selectExpr("a AS via", "p AS next")
-            hooks = hooks.join(onward, F.col("p") == F.col("via"), "left").selectExpr(
-                "a", "coalesce(next, p) AS p"
-            )
-        hooks = cut_lineage(hooks)
+    while not graph.isEmpty():
+        hooks = _to_roots(graph.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")))
         labels = cut_lineage(
             labels.join(hooks, F.col("component") == F.col("a"), "left").selectExpr(
                 "node", "coalesce(p, component) AS component"
@@ -120,7 +126,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
             .where("a <> b")
             .distinct()
         )
-    raise RuntimeError("components did not settle")
+    return labels
 
 
 def independence_groups(nights: DataFrame) -> DataFrame:
