@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -253,14 +254,26 @@ def _feature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def verdicts(crf: LineCrf, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.5):
+    """A function from a text to its five base figures, ``base_failed``,
+    ``kept`` and ``content_share``."""
+
+    def judge(text: str | None) -> tuple:
+        figures = base_figures(text)
+        n, repeats = figures[0], figures[4]
+        failed = n < min_words or 100 * repeats > max_repeat_percent * n
+        share, _ = content_share(crf, text)
+        return (*figures, failed, not failed and share >= min_content, share)
+
+    return judge
+
+
 def apply_rules(
     docs: DataFrame,
     crf: LineCrf,
     id_col: str = "doc_id",
     text_col: str = "text",
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-    min_content: float = 0.5,
+    **limits,
 ) -> DataFrame:
     """Per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, content_share``.
@@ -274,17 +287,11 @@ def apply_rules(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "content_share",
     ]
+    judge = verdicts(crf, **limits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                text = text.as_py()
-                figures = base_figures(text)
-                n, repeats = figures[0], figures[4]
-                failed = n < min_words or 100 * repeats > max_repeat_percent * n
-                share, _ = content_share(crf, text)
-                rows.append((*figures, failed, not failed and share >= min_content, share))
+            rows = [judge(text.as_py()) for text in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names[1:]]
             kinds = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -298,3 +305,15 @@ def apply_rules(
         f"doc_id {kind}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
         " n_repeat_words bigint, base_failed boolean, kept boolean, content_share double",
     )
+
+
+def keep_rows(rows: DataFrame, crf: LineCrf, text_col: str = "text", **limits) -> DataFrame:
+    """The rows that ``apply_rules`` keeps, with all their columns, in one pass:
+    the text of a row is judged next to the row, without a join."""
+    judge = verdicts(crf, **limits)
+
+    @F.pandas_udf("boolean")
+    def stays(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge(t)[6] for t in texts], dtype=bool)
+
+    return rows.where(stays(F.col(f"`{text_col}`")))

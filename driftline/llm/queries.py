@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, quality_rules, token_counts, warc
+from driftline.llm import byte_bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, ngram_jaccard, quality_rules, token_counts, warc
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,45 @@ def op2(spark, sf_dir):
     )
 
 
+@query(
+    "op3_ngram_jaccard",
+    r"""
+    WITH RECURSIVE t AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+        FROM documents
+    ),
+    s AS (
+        SELECT doc_id, list_sort(list_distinct(CASE
+            WHEN len(w) = 0 THEN []::VARCHAR[]
+            WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS tokens
+        FROM t
+    ),
+    d AS (SELECT tokens, len(tokens) AS n, min(doc_id) AS rep FROM s GROUP BY tokens),
+    e AS (SELECT rep, n, unnest(tokens) AS token FROM d),
+    p AS (
+        SELECT x.rep AS a, y.rep AS b
+        FROM e x JOIN e y ON x.token = y.token AND x.rep < y.rep
+        GROUP BY x.rep, y.rep, x.n, y.n
+        HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+    ),
+    g AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r(node, seen) AS (
+        SELECT rep, rep FROM d WHERE n > 0
+        UNION
+        SELECT r.node, g.b FROM r JOIN g ON g.a = r.seen
+    ),
+    c AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+    SELECT s.doc_id, CAST(d.n AS BIGINT) AS n_shingles,
+           CASE WHEN d.n = 0 THEN s.doc_id ELSE c.component END AS component_id
+    FROM s JOIN d ON s.tokens = d.tokens LEFT JOIN c ON c.node = d.rep
+    """,
+)
+def op3(spark, sf_dir):
+    return ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
