@@ -329,9 +329,8 @@ def open_pairs(percent: int):
             for unit, members in small.items():
                 for tokens in members.values():
                     n = len(tokens)
-                    at = np.searchsorted(union, tokens)
-                    at = at[at < len(union)]
-                    at = at[np.isin(union[at], tokens, assume_unique=True)] if len(at) else at
+                    at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
+                    at = at[union[at] == tokens]
                     # What the query shares with the union bounds every member.
                     if 100 * len(at) < percent * n:
                         continue
