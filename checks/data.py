@@ -7,6 +7,8 @@ star, so builds keep their density however large ``events`` is.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,6 +206,50 @@ cte(
 )
 
 
+# --- listings -----------------------------------------------------------------
+# What a prediction service lists: the predictions above, some objects listed
+# twice for a frame (the last row counts), objects that miss a frame but are
+# listed twice in another, and frames whose field holds no object.
+
+
+def _listing_parts(div, source: str) -> list[str]:
+    s, s10 = div("event_id", 3), div(div("event_id", 3), 10)
+    out = []
+    for letter in "KL":
+        e = _ephemeris_exprs(div, letter)
+        columns = ", ".join(f"{x} AS {n}" for n, x in e.items())
+        out.append(f"SELECT {columns}, 2 AS listing_no FROM {source}")
+        moved = e | {"predicted_dec": f"({e['predicted_dec']})+5e0/3.6e3"}
+        columns = ", ".join(f"{x} AS {n}" for n, x in moved.items())
+        out.append(f"SELECT {columns}, 1 AS listing_no FROM {source} WHERE mod(event_id,3)=1 AND mod({s},2)=0")
+    short = _ephemeris_exprs(div, "K") | {"designation": f"concat('M',CAST({s} AS STRING))"}
+    columns = ", ".join(f"{x} AS {n}" for n, x in short.items())
+    for listing in (0, 1):
+        where = f"mod({s10},4)=1 AND mod(event_id,3) IN ({'0,1' if listing == 0 else '1'})"
+        out.append(f"SELECT {columns}, {listing} AS listing_no FROM {source} WHERE {where}")
+    return out
+
+
+_EMPTY_FIELD = "mod(build_id,5)=3 AND frame_no=2"
+
+
+def listings(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions with ``listing_no`` and repeated rows."""
+    events = read(spark, sf, "events").select("event_id")
+    rows = [spark.sql(q, events=events) for q in _listing_parts(_spark_div, "{events}")]
+    return reduce(lambda x, y: x.unionByName(y), rows).where(f"NOT ({_EMPTY_FIELD})")
+
+
+cte(
+    "ephl",
+    "SELECT * FROM (" + " UNION ALL ".join(_listing_parts(_duck_div, "events")) + f") WHERE NOT ({_EMPTY_FIELD})",
+)
+cte(
+    "ephlast",
+    "SELECT * FROM ephl QUALIFY row_number() OVER (PARTITION BY build_id, frame_no, designation ORDER BY listing_no DESC)=1",
+)
+
+
 # --- stars -------------------------------------------------------------------
 # Customers become stars around the builds' sky, 180 per field.
 

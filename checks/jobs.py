@@ -246,7 +246,7 @@ def field_conditions(spark, sf):
 def parameter_sweep(spark, sf):
     dets = data.detections(spark, sf)
     configs = J.sweep_configs(DEFAULT, {"max_residual_arcsec": (0.25, 0.5, 1.0)})
-    return J.sweep(dets, data.frames_of(dets), data.ephemerides(spark, sf), configs)
+    return J.sweep(dets, data.frames_of(dets), data.listings(spark, sf), configs)
 
 
 # --- rankers -------------------------------------------------------------------------

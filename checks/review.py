@@ -20,9 +20,9 @@ SELECT * FROM (SELECT m.build_id, m.tracklet_no, e.designation,
  count(*) AS n, sqrt(avg(pow(residual,2))) AS rms, max(residual) AS mx
 FROM (SELECT m.*, e.designation, e.object_class, e.position_error_arcsec,
   {sep('m.ra','m.dec','e.predicted_ra','e.predicted_dec')} AS residual
-  FROM memd m JOIN eph e ON m.build_id=e.build_id AND m.frame_no=e.frame_no
+  FROM memd m JOIN ephlast e ON m.build_id=e.build_id AND m.frame_no=e.frame_no
   AND abs(m.dec-e.predicted_dec)<=6e-4) m
- JOIN (SELECT DISTINCT build_id, frame_no, designation, object_class, position_error_arcsec FROM eph) e
+ JOIN (SELECT DISTINCT build_id, frame_no, designation, object_class, position_error_arcsec FROM ephlast) e
  ON e.build_id=m.build_id AND e.frame_no=m.frame_no AND e.designation=m.designation
 WHERE residual <= 2e0 GROUP BY m.build_id, m.tracklet_no, e.designation) x
 JOIN (SELECT build_id, tracklet_no, count(*) AS nm FROM mem GROUP BY 1,2) y USING (build_id, tracklet_no)
@@ -106,8 +106,9 @@ cte(
 
 def identified(spark, sf, trk=None):
     trk = tracklets(spark, sf) if trk is None else trk
-    members = I.require_fields(T.tracklet_members(trk), data.ephemerides(spark, sf))
-    return I.identify(trk, I.candidate_matches(members, data.ephemerides(spark, sf)))
+    # Fields exist for all frames, also for those without a single object.
+    members = I.require_fields(T.tracklet_members(trk), data.frames(spark, sf))
+    return I.identify(trk, I.candidate_matches(members, data.listings(spark, sf)))
 
 
 def quality(spark, sf, trk):
@@ -127,7 +128,7 @@ def features(spark, sf, trk):
 )
 def known_object_matches(spark, sf):
     trk = tracklets(spark, sf)
-    m = I.candidate_matches(T.tracklet_members(trk), data.ephemerides(spark, sf))
+    m = I.candidate_matches(T.tracklet_members(trk), data.listings(spark, sf))
     return m.selectExpr(
         "build_id", "tracklet_no", "designation", "object_class",
         "round(position_error_arcsec,4) AS position_error", "round(rms_residual_arcsec,4) AS rms",
@@ -165,10 +166,13 @@ def identification_counts(spark, sf):
 
 @query(
     "objects_per_frame",
-    with_ctes("SELECT build_id, frame_no, CAST(count(*) AS BIGINT) AS known_objects FROM eph GROUP BY 1,2"),
+    with_ctes(
+        "SELECT f.build_id, f.frame_no, CAST(count(DISTINCT e.designation) AS BIGINT) AS known_objects"
+        " FROM frm f LEFT JOIN ephl e ON e.build_id=f.build_id AND e.frame_no=f.frame_no GROUP BY 1,2"
+    ),
 )
 def objects_per_frame(spark, sf):
-    return I.objects_per_frame(data.frames(spark, sf), data.ephemerides(spark, sf))
+    return I.objects_per_frame(data.frames(spark, sf), data.listings(spark, sf))
 
 
 @query(

@@ -308,8 +308,8 @@ def radial_bins(spark, sf):
 
 
 def halos(spark, sf):
-    """The brightest star of each field."""
-    return data.stars(spark, sf).groupBy("field_id").agg(
+    """The brightest star with a magnitude of each field."""
+    return data.stars(spark, sf).where("v_mag IS NOT NULL").groupBy("field_id").agg(
         F.min_by("star_ra", F.struct("v_mag", "star_id")).alias("star_ra"),
         F.min_by("star_dec", F.struct("v_mag", "star_id")).alias("star_dec"),
     )
@@ -317,7 +317,7 @@ def halos(spark, sf):
 
 cte(
     "hstar",
-    "SELECT field_id, arg_min(star_ra,(coalesce(v_mag,-1),star_id)) AS star_ra, arg_min(star_dec,(coalesce(v_mag,-1),star_id)) AS star_dec FROM star GROUP BY 1",
+    "SELECT field_id, arg_min(star_ra,(v_mag,star_id)) AS star_ra, arg_min(star_dec,(v_mag,star_id)) AS star_dec FROM star WHERE v_mag IS NOT NULL GROUP BY 1",
 )
 cte(
     "hrad",

@@ -38,27 +38,27 @@ def fisher_columns(a: str, b: str, c: str, d: str) -> list[str]:
     """``selectExpr`` columns ending in ``fisher_p``: exact two-sided p of
     [[a, b], [c, d]], the sum over tables no likelier than the observed one.
 
-    Each likelihood follows from its neighbour by a ratio, so one pass over
-    the possible tables is enough. Working in logarithms keeps large counts.
+    Each likelihood follows from its neighbour by a ratio, so a pass over the
+    possible tables finds the observed and the largest one, and a second one
+    adds them up. Both keep three numbers, whatever the counts; working in
+    logarithms keeps large counts.
     """
     row1, row2, col1 = f"({a} + {b})", f"({c} + {d})", f"({a} + {c})"
     low, high = f"greatest(0, {col1} - {row2})", f"least({row1}, {col1})"
     step = (
         f"ln(({row1} - x + 1D) * ({col1} - x + 1D)) - ln(x * ({row2} - {col1} + x))"
     )
-    logs = (
-        f"aggregate(sequence({low} + 1, {high}), array(0D), (acc, x) -> "
-        f"concat(acc, array(element_at(acc, -1) + {step})))"
-    )
-    seen = f"fisher_logs[CAST({a} - {low} AS INT)]"
+    tables = f"if({low} < {high}, sequence({low} + 1, {high}), CAST(array() AS array<bigint>))"
+    now = f"(s.l + {step})"
     return [
-        f"if({low} < {high}, {logs}, array(0D)) AS fisher_logs",
-        f"{seen} AS fisher_seen",
-        "array_max(fisher_logs) AS fisher_top",
-        "CASE WHEN "
-        f"{row1} > 0 AND {row2} > 0 THEN least(1D, aggregate(filter(fisher_logs, l -> exp(l - fisher_seen)"
-        " <= 1D + 1e-9D), 0D, (s, l) -> s + exp(l - fisher_top)) / aggregate(fisher_logs, 0D,"
-        " (s, l) -> s + exp(l - fisher_top))) END AS fisher_p",
+        f"aggregate({tables}, named_struct('l', 0D, 'top', 0D, 'seen', 0D), (s, x) -> named_struct("
+        f"'l', {now}, 'top', greatest(s.top, {now}), 'seen', if(x = {a}, {now}, s.seen))) AS fisher_scan",
+        f"CASE WHEN {row1} > 0 AND {row2} > 0 THEN least(1D, aggregate({tables},"
+        " named_struct('l', 0D, 'part', if(exp(0D - fisher_scan.seen) <= 1D + 1e-9D, exp(0D - fisher_scan.top), 0D),"
+        " 'all', exp(0D - fisher_scan.top)),"
+        f" (s, x) -> named_struct('l', {now}, 'part', s.part + if(exp({now} - fisher_scan.seen) <= 1D + 1e-9D,"
+        f" exp({now} - fisher_scan.top), 0D), 'all', s.all + exp({now} - fisher_scan.top)),"
+        " s -> s.part / s.all)) END AS fisher_p",
     ]
 
 

@@ -13,6 +13,7 @@ from driftline.operators.guards import require
 KNOWN, UNKNOWN, AMBIGUOUS = "known", "unknown", "ambiguous"
 TRACKLET = ["build_id", "tracklet_no"]
 FRAME = ["build_id", "frame_no"]
+LISTING = "listing_no"
 
 
 def last_per_designation(ephemerides: DataFrame, order: str) -> DataFrame:
@@ -45,6 +46,9 @@ def candidate_matches(
     """Objects predicted in every member's frame and within the match radius
     of every member: one row per tracklet and object.
 
+    ``ephemerides`` needs ``listing_no``, the place of a row in its listing: of
+    several predictions of an object for one frame only the last one counts.
+
     The radius join keeps only close (member, prediction) pairs; an object
     that is close in all frames has as many of them as the tracklet has
     members. That count is the whole division, no list of objects is built.
@@ -55,7 +59,9 @@ def candidate_matches(
     wanted = rows.selectExpr(
         *FRAME, "tracklet_no", "n_members", "minutes", "ra AS m_ra", "dec AS m_dec"
     )
-    predicted = ephemerides.select(
+    if LISTING not in ephemerides.columns:
+        raise ValueError(f"predictions need their listing order in {LISTING!r}")
+    predicted = last_per_designation(ephemerides, LISTING).select(
         *FRAME,
         "designation",
         "object_class",
@@ -146,8 +152,8 @@ def identification_counts(identified: DataFrame) -> DataFrame:
 
 
 def objects_per_frame(fields: DataFrame, ephemerides: DataFrame) -> DataFrame:
-    """Predicted objects of every field, 0 for an empty one."""
-    counts = ephemerides.groupBy(*FRAME).agg(F.count("*").alias("known_objects"))
+    """Predicted objects of every field, each once; 0 for an empty one."""
+    counts = ephemerides.groupBy(*FRAME).agg(F.countDistinct("designation").alias("known_objects"))
     return (
         fields.select(*FRAME).distinct().join(counts, FRAME, "left").fillna(0, ["known_objects"])
     )

@@ -10,6 +10,7 @@ between the two passes (also not when an executor is lost).
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,11 +18,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where none is set."""
+    """Use the cluster's checkpoint folder; set one only where none is set, and
+    only in local mode: on a cluster executors would not see a machine's own
+    temporary folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    one_machine = re.fullmatch(r"local(\[.*\])?", sc.master) is not None
+    if not configured and not one_machine:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.config import DEFAULT, BuildConfig
+from driftline.config import DEFAULT, MAX_SEQUENCE_FRAMES, BuildConfig
 from driftline.functions.sky import array_sum, bearing, offset_position, sky_offsets, wrap360
 from driftline.operators.celljoin import cell_join
 from driftline.operators.guards import require
@@ -73,9 +73,10 @@ def mark_stationary(detections: DataFrame, tolerance: float) -> DataFrame:
 
 
 def check_frames(frames: DataFrame) -> DataFrame:
-    """Frames of every build, at least two of them, strictly later each time.
+    """Frames of every build: two to ten of them, strictly later each time.
 
-    One small row per build: the sequence length is limited to ten frames.
+    A longer sequence stops the job. Rows per build, members per tracklet and
+    their subsets stay small because of this limit.
     """
     per_build = frames.groupBy("build_id").agg(
         F.array_sort(F.collect_list(F.struct("frame_no", "minutes"))).alias("sequence")
@@ -88,6 +89,10 @@ def check_frames(frames: DataFrame) -> DataFrame:
     per_build = require(
         per_build, F.size("sequence") >= 2, "stationary matching needs at least two frames"
     )
+    per_build = require(
+        per_build, F.size("sequence") <= MAX_SEQUENCE_FRAMES,
+        f"a sequence has at most {MAX_SEQUENCE_FRAMES} frames",
+    )
     return require(per_build, later, "frames must be in strictly increasing time order")
 
 
@@ -370,7 +375,7 @@ def build_diagnostics(
 ) -> DataFrame:
     """Counters of each build's stages, one row per build."""
     candidates = prepare(detections, frames, config)
-    seeds = seed_pairs(candidates, config)
+    seeds = cut_lineage(seed_pairs(candidates, config))
     extended = cut_lineage(extensions(seeds, candidates, config))
     unique = cut_lineage(unique_sets(linked_sets(extended, config)))
     tracklets = with_status(fit_motion(drop_subsets(unique)), config.max_residual_arcsec)

@@ -56,7 +56,7 @@ def zone_triggers(triggers: DataFrame) -> DataFrame:
     return triggers.where(f"is_primary AND closest_approach < array({reach})[search_class]")
 
 
-def select_nights(candidates: DataFrame, budget: dict, max_rounds: int = 50) -> DataFrame:
+def select_nights(candidates: DataFrame, budget: dict) -> DataFrame:
     """Nights chosen star by star in hash order under a budget per class.
 
     ``candidates``: one row per star and examined night: ``search_class,
@@ -68,7 +68,7 @@ def select_nights(candidates: DataFrame, budget: dict, max_rounds: int = 50) ->
     Whether a night is taken depends on earlier stars only, so the choice is
     found by rounds: assume the current choice of earlier stars, recompute,
     and repeat until nothing changes. Every round settles at least the next
-    undecided star, and in practice a few rounds settle all.
+    undecided star, so the rounds end by themselves, mostly after a few.
     """
     wanted, per_star = budget["wanted"], budget["per_star"]
     rows = candidates.where(
@@ -90,7 +90,7 @@ def select_nights(candidates: DataFrame, budget: dict, max_rounds: int = 50) ->
     open_rows = cut_lineage(distinct.withColumn("turn", F.struct("star_no", "search_class")))
     weight = F.count("*") if budget["counts"] == "nights" else F.sum("triggers")
     taken = open_rows.select("night_key", "turn", "star_id").limit(0)
-    for _ in range(max_rounds):
+    while True:
         first_user = taken.groupBy("night_key").agg(F.min("turn").alias("_by"))
         free = open_rows.join(first_user, "night_key", "left").where("_by IS NULL OR _by >= turn").drop("_by")
         # At most ``per_star`` nights of a star, earliest first.
@@ -103,8 +103,7 @@ def select_nights(candidates: DataFrame, budget: dict, max_rounds: int = 50) ->
         active = running.where(f"_s_before < {wanted}").select("search_class", "star_no")
         chosen = cut_lineage(chosen.join(active, ["search_class", "star_no"], "left_semi"))
         now = chosen.select("night_key", "turn", "star_id")
-        changed = now.exceptAll(taken).limit(1).count() + taken.exceptAll(now).limit(1).count()
-        taken = now
-        if not changed:
+        changed = now.exceptAll(taken).unionByName(taken.exceptAll(now))
+        if changed.isEmpty():
             return chosen.drop("turn")
-    raise RuntimeError("the selection did not settle")
+        taken = now

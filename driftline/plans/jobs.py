@@ -41,11 +41,17 @@ class Run:
 
 
 def run(
-    detections: DataFrame, frames: DataFrame, ephemerides: DataFrame, config: BuildConfig = DEFAULT
+    detections: DataFrame, frames: DataFrame, ephemerides: DataFrame, fields: DataFrame,
+    config: BuildConfig = DEFAULT,
 ) -> Run:
-    """Build, identify and rank every build."""
+    """Build, identify and rank every build.
+
+    ``fields``: the frames (``build_id, frame_no``) for which predictions were
+    made. A field without an object is valid, a frame without a field stops
+    the job. ``ephemerides`` keeps the listing order in ``listing_no``.
+    """
     tracklets = build_tracklets(detections, frames, config)
-    members = identify.require_fields(tracklet_members(tracklets), ephemerides)
+    members = identify.require_fields(tracklet_members(tracklets), fields)
     matches = identify.candidate_matches(members, ephemerides, config)
     identified = cut_lineage(identify.identify(tracklets, matches, config))
     features = cut_lineage(

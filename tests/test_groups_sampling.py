@@ -169,3 +169,31 @@ def test_first_usable_stops(spark):
     got = {r.o: r.selected_no for r in P.first_usable(df, ["k"], ["o"], 2, 40).collect()}
     assert got == {0: None, 1: 1, 2: 2}
     assert P.first_usable(df, ["k"], [F.col("o")], 9, 4).count() == 4
+
+
+def _components(spark, edges):
+    edges = spark.createDataFrame(edges, "a long, b long")
+    nodes = edges.selectExpr("a AS node").unionByName(edges.selectExpr("b AS node")).distinct()
+    return {r.node: r.component for r in N.connected_components(nodes, edges).collect()}
+
+
+def test_components_of_a_long_ordered_path(spark):
+    found = _components(spark, [(k, k + 1) for k in range(2000)])
+    assert len(found) == 2001 and set(found.values()) == {0}
+
+
+def test_components_of_stars_and_hubs(spark):
+    star = _components(spark, [(9999, k) for k in range(500)])
+    assert set(star.values()) == {0}
+    hubs = _components(spark, [(5000 + k % 3, k) for k in range(300)] + [(5000, 5001), (5001, 5002)])
+    assert set(hubs.values()) == {0}
+
+
+def test_a_sequence_has_ten_frames_at_most(spark):
+    from builders import frames
+
+    from driftline.operators.tracklets import check_frames
+
+    assert check_frames(frames(spark, range(10))).count() == 1
+    with pytest.raises(Exception, match="at most 10 frames"):
+        check_frames(frames(spark, range(11))).collect()

@@ -4,10 +4,11 @@ from test_tracklets import MIN, mover
 
 from driftline.operators import identify as I
 from driftline.operators import tracklets as T
+from driftline.plans import jobs
 
 EPH = (
     "build_id long, frame_no int, designation string, object_class string, v_magnitude double,"
-    " position_error_arcsec double, predicted_ra double, predicted_dec double"
+    " position_error_arcsec double, predicted_ra double, predicted_dec double, listing_no int"
 )
 
 
@@ -24,7 +25,7 @@ def predictions(spark, *objects):
         for f, (p, off) in enumerate(zip(mover(MIN), offsets)):
             if off is not None:
                 ra, dec = sky(*p, 0, off)
-                rows.append((1, f, name, "MB", 18.0, error, ra, dec))
+                rows.append((1, f, name, "MB", 18.0, error, ra, dec, len(rows)))
     return spark.createDataFrame(rows, EPH)
 
 
@@ -68,6 +69,35 @@ def test_missing_field_is_an_error_but_an_empty_one_is_not(spark, track):
         I.require_fields(members, fields.where("frame_no < 2")).count()
 
 
+def run_status(spark, fields, *objects):
+    """Status through the whole job."""
+    points = [[p] for p in mover(MIN)]
+    result = jobs.run(detections(spark, points), frames(spark, MIN), predictions(spark, *objects), fields)
+    return result.identified.first().identification_status
+
+
+def test_job_counts_a_repeated_prediction_once(spark):
+    fields = frames(spark, MIN)
+    # Near in frames 0 and 1 only, frame 1 listed twice.
+    assert run_status(spark, fields, ("A", (0.5, 0.5, None), 0.1), ("A", (None, 0.6, None), 0.1)) == "unknown"
+    # Near everywhere, frame 1 listed twice.
+    assert run_status(spark, fields, ("A", (0.5, 0.5, 0.5), 0.1), ("A", (None, 0.6, None), 0.1)) == "known"
+    # The last row of a frame counts, not the nearest.
+    assert run_status(spark, fields, ("A", (0.5, 0.5, 0.5), 0.1), ("A", (None, 30.0, None), 0.1)) == "unknown"
+
+
+def test_job_with_an_empty_and_a_missing_field(spark):
+    fields = frames(spark, MIN)
+    assert run_status(spark, fields, ("A", (0.5, 0.5, None), 0.1)) == "unknown"
+    with pytest.raises(Exception, match="no known-object field"):
+        run_status(spark, fields.where("frame_no < 2"), ("A", (0.5, 0.5, 0.5), 0.1))
+
+
+def test_predictions_need_their_order(spark, track):
+    with pytest.raises(ValueError, match="listing"):
+        I.candidate_matches(T.tracklet_members(track), predictions(spark, ("A", (0, 0, 0), 0.1)).drop("listing_no"))
+
+
 def test_last_listed_prediction_wins(spark):
     eph = predictions(spark, ("A", (0, 0, 0), 0.1), ("A", (9, 9, 9), 0.1)).selectExpr("*", "predicted_dec AS row_no")
     last = I.last_per_designation(eph, "row_no")

@@ -222,3 +222,11 @@ def test_end_to_end_and_hash_score(spark):
     got = {r.members: r.recall for r in M.end_to_end_recall(targets, positives).collect()}
     assert got == {"all": 0.5, "zone": 1.0, "control": 0.0, "primary": 0.5}
     assert M.recall_metrics(positives.select("*", F.lit(1.0).alias("weight"), F.lit(1.0).alias("rank")), ["field_id"]).first().recall_0_05 == 1.0
+
+
+def test_fisher_of_large_counts_is_linear(spark):
+    row = spark.sql("SELECT 400000L AS a, 600000L AS b, 401000L AS c, 599000L AS d").selectExpr(
+        "*", *stats.fisher_columns("a", "b", "c", "d")
+    ).first()
+    # Two shares of 0.4 and 0.401 of a million each: about 1.44 standard errors.
+    assert row.fisher_p == pytest.approx(0.1488, abs=0.003)
