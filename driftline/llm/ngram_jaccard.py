@@ -1,7 +1,7 @@
 """Exact Jaccard join on word shingles with a token-group matrix.
 
 Sets are hashed shingles, ordered by one global order: tokens known to be
-frequent last, else by hash. Two sets that link share a token among the first
+frequent last, the rarer ones of them first, all others by hash. Two sets that link share a token among the first
 ``n - ceil(t n) + 1`` of both (the prefix), so only prefixes are compared.
 
 1. Sets are partitioned into groups of similar ones: those with the same
@@ -48,10 +48,10 @@ MULTIPLIERS = np.array(
 class Shingler:
     """Texts to sorted arrays of distinct shingle hashes (64 bits)."""
 
-    def __init__(self, n: int, memory: int = 300_000):
+    def __init__(self, n: int):
         if not 1 <= n <= len(MULTIPLIERS):
             raise ValueError(f"1 to {len(MULTIPLIERS)} words a shingle")
-        self.n, self.memory, self.known = n, memory, {}
+        self.n = n
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
@@ -60,16 +60,7 @@ class Shingler:
             return np.zeros(0, dtype=np.uint64)
         if len(words) < n:
             return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), len(words))], dtype=np.uint64)
-        known, digest = self.known, xxhash.xxh3_64_intdigest
-        hashes = list(map(known.get, words))
-        if None in hashes:
-            if len(known) > self.memory:
-                known.clear()
-            for i, h in enumerate(hashes):
-                if h is None:
-                    h = known.get(words[i])
-                    hashes[i] = known[words[i]] = digest(words[i]) if h is None else h
-        h = np.array(hashes, dtype=np.uint64)
+        h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), dtype=np.uint64)
         m = len(h) - n + 1
         s = np.zeros(m, dtype=np.uint64)
         for j in range(n):
@@ -77,7 +68,10 @@ class Shingler:
         s ^= s >> np.uint64(32)
         s *= np.uint64(0xD6E8FEB86659FD93)
         s ^= s >> np.uint64(29)
-        return np.unique(s)
+        s.sort()
+        fresh = np.ones(m, dtype=bool)
+        np.not_equal(s[1:], s[:-1], out=fresh[1:])
+        return s[fresh]
 
 
 def set_name(tokens: np.ndarray) -> int:
@@ -183,9 +177,13 @@ def token_counts(texts: DataFrame, n: int, percent: int) -> DataFrame:
     return map_rows(texts, run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("c")).where("c > 1")
 
 
-def prefixes(texts: DataFrame, n: int, percent: int, frequent: np.ndarray, shared: np.ndarray) -> DataFrame:
+def prefixes(
+    texts: DataFrame, n: int, percent: int, frequent: np.ndarray, rank: np.ndarray, shared: np.ndarray
+) -> DataFrame:
     """``sid, n, gid, prefix``: sets that share a prefix token with another.
 
+    ``frequent``: the known frequent tokens, sorted; ``rank``: their order.
+
     ``gid``: the smallest hash, which names the group. A token that was counted
     in one set alone is left out of the prefix, where no partner can have it
     without counting it (``unshared_length``)."""
@@ -204,7 +202,9 @@ def prefixes(texts: DataFrame, n: int, percent: int, frequent: np.ndarray, share
             place = np.searchsorted(frequent, tokens)
             late = place < len(frequent)
             late[late] = frequent[place[late]] == tokens[late]
-            order = np.concatenate([np.flatnonzero(~late), np.flatnonzero(late)])[:size]
+            last = np.flatnonzero(late)
+            last = last[np.argsort(rank[place[last]])]
+            order = np.concatenate([np.flatnonzero(~late), last])[:size]
             first = tokens[order]
             first = first[in_table(shared, first) | (order >= unshared_length(len(tokens), percent))]
             if len(first):
@@ -345,15 +345,16 @@ def open_pairs(percent: int):
     return run
 
 
-def least_overlap(percent: int) -> str:
+def least_overlap(percent: int, lo: str = "lo", hi: str = "hi") -> str:
     """SQL: prefix tokens that two linked sets share at least, if the smaller
     has ``lo`` and the larger ``hi`` tokens at the extremes."""
-    total = f"CEIL({percent} * (lo + hi) / {100 + percent}D - 1e-9)"
-    return f"GREATEST(1, {total} - CEIL({percent} * hi / 100D - 1e-9) + 1)"
+    total = f"CEIL({percent} * ({lo} + {hi}) / {100 + percent}D - 1e-9)"
+    return f"GREATEST(1, {total} - CEIL({percent} * {hi} / 100D - 1e-9) + 1)"
 
 
-def compare_units(texts: DataFrame, n: int, percent: int, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links ``a, b`` among candidate ``pairs`` (``u, v``) of units.
+def compare_units(load, percent: int, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links ``a, b`` among candidate ``pairs`` (``u, v``) of units; ``load``
+    gives ``sid, tokens`` of (at least) the sets of a table.
 
     The sets of the unit with fewer members travel to the other one, whose
     partners are dealt into chunks of bounded size."""
@@ -376,8 +377,7 @@ def compare_units(texts: DataFrame, n: int, percent: int, members: DataFrame, pa
         dealt.select("large", "chunk").distinct().select("*", F.col("large").alias("unit"), F.lit(True).alias("is_large"))
     )
     rows = stored(wanted.join(members, "unit"), "openings")
-    table = bit_table(rows.select("sid").distinct(), "sid")
-    loaded = rows.join(bodies(texts, n, table, by_group=False).select("sid", "tokens"), "sid")
+    loaded = rows.join(load(rows.select("sid").distinct()), "sid")
     return loaded.groupBy("large", "chunk").applyInArrow(open_pairs(percent), "a bigint, b bigint")
 
 
@@ -388,9 +388,12 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``a, b`` between set names whose components are those of all
     links."""
     counted = stored(token_counts(texts, n, percent), "tokens")
-    top = counted.where(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).select("token")
-    frequent = np.sort(top.toArrow().column("token").to_numpy().astype(np.int64).view(np.uint64))
-    sets = stored(prefixes(texts, n, percent, frequent, bit_table(counted, "token")), "sets")
+    top = counted.where(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).toArrow()
+    frequent = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    by_token = np.argsort(frequent)
+    # The rank of a frequent token: by its count, then by its hash.
+    rank = np.argsort(np.lexsort((frequent, top.column("c").to_numpy())))[by_token]
+    sets = stored(prefixes(texts, n, percent, frequent[by_token], rank, bit_table(counted, "token")), "sets")
 
     # 1. groups
     groups = sets.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
@@ -414,14 +417,15 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
         matrix.groupBy("token").agg(F.count("*").alias("units"), F.min("unit").alias("hub")).where("units > 1"), "columns"
     )
     few = matrix.join(per_token.where(F.col("units") <= TOKEN_UNITS).select("token"), "token")
-    many = stored(matrix.join(per_token.where(F.col("units") > TOKEN_UNITS).select("token", "hub"), "token"), "common")
+    many = matrix.join(per_token.where(F.col("units") > TOKEN_UNITS).select("token", "hub"), "token")
+    common = stored(many.groupBy("unit").agg(F.count("*").alias("k")), "common_counts")
+    many = stored(many.join(common, "unit"), "common")
     fits = f"{percent} * y.lo <= 100 * x.hi AND {percent} * x.lo <= 100 * y.hi"
     counts = few.alias("x").join(few.alias("y"), F.expr(f"x.token = y.token AND x.unit < y.unit AND {fits}")).groupBy(
         F.expr("x.unit").alias("u"), F.expr("y.unit").alias("v")
     ).agg(
         F.count("*").alias("o"), F.min(F.expr("least(x.lo, y.lo)")).alias("lo"), F.max(F.expr("greatest(x.hi, y.hi)")).alias("hi")
     )
-    common = many.groupBy("unit").agg(F.count("*").alias("k"))
     bounded = (
         counts.join(common.withColumnsRenamed({"unit": "u", "k": "ku"}), "u", "left")
         .join(common.withColumnsRenamed({"unit": "v", "k": "kv"}), "v", "left")
@@ -429,40 +433,55 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
         .where(f"o + least(coalesce(ku, 0), coalesce(kv, 0)) >= {least_overlap(percent)}")
         .select("u", "v")
     )
-    star = many.where("unit <> hub").select(F.least("unit", "hub").alias("u"), F.greatest("unit", "hub").alias("v"))
+    # Pairs that share no other token must share enough common ones: no more
+    # than either of them has.
+    enough = f"least(k, k2) >= {least_overlap(percent, 'least(lo, lo2)', 'greatest(hi, hi2)')}"
+    other = many.select(*[F.col(c).alias(f"{c}2") for c in ("token", "unit", "lo", "hi", "k")])
+    star = many.join(other, (F.col("token") == F.col("token2")) & (F.col("hub") == F.col("unit2"))).where(
+        f"unit <> hub AND {enough}"
+    ).select(F.least("unit", "hub").alias("u"), F.greatest("unit", "hub").alias("v"))
     tried = stored(bounded.unionByName(star).distinct(), "pairs")
 
     # 3. open, 4. what common tokens still hold apart
     edges = moved.select(F.col("sid").alias("a"), F.col("unit").alias("b"))
-    found = stored(compare_units(texts, n, percent, members, tried), "links")
+
+    def load(wanted: DataFrame) -> DataFrame:
+        return bodies(texts, n, bit_table(wanted, "sid"), by_group=False).select("sid", "tokens")
+
+    found = stored(compare_units(load, percent, members, tried), "links")
     edges = edges.unionByName(found)
     if many.isEmpty():
         return edges
+    pool = None
     through_hubs = True
     while True:
         nodes = many.select(F.col("unit").alias("node")).distinct()
         ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
         labels = stored(connected_components(nodes.unionByName(ends).distinct(), edges_between_units(edges, moved)), "labels")
-        held = stored(many.join(labels, F.col("unit") == F.col("node")).select("token", "unit", "lo", "hi", "component"), "apart")
+        held = stored(many.join(labels, F.col("unit") == F.col("node")).select("token", "unit", "lo", "hi", "k", "component"), "apart")
         open_tokens = held.groupBy("token").agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("unit", "component").alias("hub")
+            F.min("component").alias("c0"), F.max("component").alias("c1"),
+            F.min_by(F.struct(F.col("unit").alias("unit2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("k").alias("k2")), "component").alias("hub"),
         ).where("c0 <> c1")
-        x = held.join(open_tokens.select("token", "hub", "c0"), "token")
+        x = stored(held.join(open_tokens.select("token", "hub", "c0"), "token"), "open")
+        sizes_fit = f"{percent} * lo2 <= 100 * hi AND {percent} * lo <= 100 * hi2"
         if through_hubs:
-            next_pairs = x.where("component <> c0").select(F.least("unit", "hub").alias("u"), F.greatest("unit", "hub").alias("v"))
+            next_pairs = x.select("*", "hub.*").where(f"component <> c0 AND {sizes_fit} AND {enough}")
         else:
-            y = x.select("token", F.col("unit").alias("w"), F.col("component").alias("d"), F.col("lo").alias("l"), F.col("hi").alias("h"))
-            next_pairs = x.join(y, "token").where(
-                f"component <> d AND unit < w AND {percent} * l <= 100 * hi AND {percent} * lo <= 100 * h"
-            ).select(F.col("unit").alias("u"), F.col("w").alias("v"))
+            y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("unit", "lo", "hi", "k", "component")])
+            next_pairs = x.join(y, "token").where(f"component <> component2 AND unit < unit2 AND {sizes_fit} AND {enough}")
+        next_pairs = next_pairs.select(F.least("unit", "unit2").alias("u"), F.greatest("unit", "unit2").alias("v"))
         next_pairs = stored(next_pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         if next_pairs.isEmpty():
             if not through_hubs:
                 return edges
             through_hubs = False
             continue
+        if pool is None:  # the sets of all further rounds, read from the texts once
+            last = load(members.join(many.select("unit").distinct(), "unit").select("sid"))
+            pool = stored(last.groupBy("sid").agg(F.first("tokens").alias("tokens")), "pool")
         tried = tried.unionByName(next_pairs)
-        found = stored(compare_units(texts, n, percent, members, next_pairs), "links")
+        found = stored(compare_units(lambda _: pool, percent, members, next_pairs), "links")
         edges = edges.unionByName(found)
         # Hubs as long as they join something, then every pair that is left.
         through_hubs = through_hubs and not found.isEmpty()

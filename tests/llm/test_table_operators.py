@@ -128,7 +128,7 @@ def test_jaccard_join(spark, monkeypatch, n, percent, units, members, common):
     monkeypatch.setattr(ngram_jaccard, "GROUP_MEMBERS", members)
     monkeypatch.setattr(ngram_jaccard, "FREQUENT_FROM", common)
     rng = random.Random(n)
-    rows = list(enumerate(near_copies(rng, 260)))
+    rows = list(enumerate(near_copies(rng, 160)))
     rng.shuffle(rows)
     rows += [(1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, "b a"), (None, rows[0][1]), (None, "lone null id text here"), rows[5], rows[5]]
     docs = docs_of(spark, [(i, t, "s") for i, t in rows])
