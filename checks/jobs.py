@@ -298,21 +298,33 @@ def training_weights(spark, sf):
 @query(
     "score_equivalence",
     with_ctes(
-        "SELECT field_id, CAST(count(*) AS BIGINT) AS tracklets, true AS scores_equal, true AS order_equal FROM scored GROUP BY 1"
+        """
+SELECT field_id, CAST(count(*) AS BIGINT) AS tracklets, bool_and(s1 IS NOT DISTINCT FROM s2) AS scores_equal,
+ bool_and(r1 IS NOT DISTINCT FROM r2) AS order_equal, round(max(abs(s1-s2)),9) AS max_difference,
+ CAST(count(*) FILTER (s1 IS NULL OR s2 IS NULL) AS BIGINT) AS unmatched FROM
+(SELECT field_id, tracklet_no, s1, row_number() OVER (PARTITION BY field_id ORDER BY s1 DESC, tracklet_no) AS r1 FROM
+ (SELECT field_id, tracklet_no, round((quantity+price+discount+tax)/4,6) AS s1 FROM ptab)) a FULL JOIN
+(SELECT field_id, tracklet_no, s2, row_number() OVER (PARTITION BY field_id ORDER BY s2 DESC, tracklet_no) AS r2 FROM
+ (SELECT field_id, tracklet_no, round((quantity+price+discount+tax)/4,6)+CASE WHEN mod(tracklet_no,997)=0 THEN 1e-2 ELSE 0e0 END AS s2
+  FROM ptab WHERE mod(tracklet_no,991)<>5)) b USING (field_id, tracklet_no) GROUP BY 1
+"""
     ),
 )
 def score_equivalence(spark, sf):
+    """A second list with planted differences: some scores are higher, some
+    tracklets are missing; fields without either must compare as equal."""
     from driftline.operators.ordered import row_numbers
 
     t = table(spark, sf)
     a = A.fixed_scores(t, FEATURES).where("ranker = 'M1'")
-    b = A.frozen_scores(t, {n: 0.25 for n, _ in FEATURES}, 0.0, "frozen")
+    b = A.frozen_scores(t, {n: 0.25 for n, _ in FEATURES}, 0.0, "frozen").where("mod(tracklet_no, 991) <> 5")
+    planted = "if(mod(tracklet_no, 997) = 0, 1e-2D, 0D)"
     order = [F.col("score").desc(), F.col("tracklet_no")]
     ranked = [
-        row_numbers(x.selectExpr("field_id", "tracklet_no", "round(score, 12) AS score"), ["field_id"], order, "review_rank")
-        for x in (a, b)
+        row_numbers(x.selectExpr("field_id", "tracklet_no", f"round(score, 6) + {add} AS score"), ["field_id"], order, "review_rank")
+        for x, add in ((a, "0D"), (b, planted))
     ]
-    return A.compare_scores(*ranked).select("field_id", "tracklets", "scores_equal", "order_equal")
+    return A.compare_scores(*ranked).withColumn("max_difference", F.round("max_difference", 9))
 
 
 @query("ranker_evaluation")

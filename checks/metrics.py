@@ -459,28 +459,98 @@ def zone_contrast(spark, sf):
     )
 
 
-@query("zone_decision")
-def zone_decision(spark, sf):
-    return D.zone_contrast(traces(spark, sf), ["split"])
+def fisher_sql(source: str, key: str, a: str, b: str, c: str, d: str) -> str:
+    """Exact two-sided p per row of ``source``, from log factorials."""
+    fact = (
+        "-(lgamma(x+1)+lgamma(fa+fb-x+1)+lgamma(fa+fc-x+1)+lgamma(fd-fa+x+1))"
+    )
+    rows = f"SELECT {key}, CAST({a} AS DOUBLE) AS fa, CAST({b} AS DOUBLE) AS fb, CAST({c} AS DOUBLE) AS fc, CAST({d} AS DOUBLE) AS fd FROM {source}"
+    tables = (
+        f"SELECT r.*, CAST(unnest(range(CAST(greatest(0, fa-fd) AS BIGINT), CAST(least(fa+fb, fa+fc) AS BIGINT)+1)) AS DOUBLE) AS x FROM ({rows}) r"
+    )
+    logs = f"SELECT *, {fact} AS l, {fact.replace('x', 'fa')} AS seen FROM ({tables})"
+    return (
+        f"SELECT {key}, CASE WHEN any_value(fa+fb)>0 AND any_value(fc+fd)>0 THEN"
+        " least(1e0, sum(CASE WHEN exp(l-seen)<=1e0+1e-9 THEN exp(l-seen) ELSE 0e0 END)/sum(exp(l-seen))) END AS fisher_p"
+        f" FROM ({logs}) GROUP BY 1"
+    )
+
+
+def _wilson_sql(k: str, n: str) -> tuple[str, str]:
+    z = 1.959964
+    centre = f"(({k}/{n}+{z * z!r}/(2e0*{n}))/(1e0+{z * z!r}/{n}))"
+    half = f"({z!r}*sqrt(({k}/{n})*(1e0-{k}/{n})/{n}+{z * z!r}/(4e0*{n}*{n}))/(1e0+{z * z!r}/{n}))"
+    return f"greatest(0e0,{centre}-{half})", f"least(1e0,{centre}+{half})"
+
+
+cte(
+    "ztab",
+    """
+SELECT split, CAST(sum(a+b) AS DOUBLE) AS zn, CAST(sum(a) AS DOUBLE) AS zk, CAST(sum(c+d) AS DOUBLE) AS cn, CAST(sum(c) AS DOUBLE) AS ck,
+ coalesce(sum(a*d/(a+b+c+d)) FILTER (a+b>0 AND c+d>0),0e0) AS num, coalesce(sum(b*c/(a+b+c+d)) FILTER (a+b>0 AND c+d>0),0e0) AS den,
+ count(*) FILTER (a+b>0 AND c+d>0) AS quadrants
+FROM (SELECT split, field_id, CAST(count(*) FILTER (proximity_group='zone' AND recovered) AS DOUBLE) AS a, CAST(count(*) FILTER (proximity_group='zone' AND NOT recovered) AS DOUBLE) AS b,
+ CAST(count(*) FILTER (proximity_group='control' AND recovered) AS DOUBLE) AS c, CAST(count(*) FILTER (proximity_group='control' AND NOT recovered) AS DOUBLE) AS d
+ FROM trace WHERE role='primary' AND rate_eligible AND baseline_eligible AND proximity_group IN ('zone','control') GROUP BY 1,2) GROUP BY 1
+""",
+)
+(_L1, _U1), (_L2, _U2) = _wilson_sql("zk", "zn"), _wilson_sql("ck", "cn")
+_SIGNIFICANT = f"coalesce(fisher_p<{D.CLAIM_ALPHA!r},false)"
+_ODDS = "(mh IS NULL OR mh<1e0)"
+_CLAIM = f"(zn>={D.CLAIM_MIN_ZONE} AND {_SIGNIFICANT} AND coalesce(diff<0,false) AND {_ODDS})"
 
 
 @query(
-    "leave_one_star_out",
+    "zone_decision",
     with_ctes(
-        """
+        f"""
+SELECT split, CAST(zn AS BIGINT) AS zone_n, CAST(zk AS BIGINT) AS zone_recovered, CAST(cn AS BIGINT) AS control_n,
+ CAST(ck AS BIGINT) AS control_recovered, round(fisher_p,9) AS fisher_p, round(mh,9) AS mh_odds_ratio, CAST(quadrants AS BIGINT) AS mh_quadrants,
+ round(diff,9) AS difference, round(lo,9) AS newcombe_low, round(hi,9) AS newcombe_high, {_CLAIM} AS claimed,
+ CASE WHEN {_CLAIM} THEN 'penalty claimed' WHEN zn<{D.CLAIM_MIN_ZONE} THEN 'not demonstrated: ' || CAST(zn AS BIGINT) || ' zone targets < {D.CLAIM_MIN_ZONE}'
+  WHEN fisher_p IS NULL OR fisher_p>={D.CLAIM_ALPHA!r} THEN 'not demonstrated: no significant zone/control difference'
+  ELSE 'not demonstrated: difference not lower in zone or not in shared quadrants' END AS verdict,
+ CASE WHEN zn<{D.CONFIRM_MIN_ZONE} OR cn<{D.CONFIRM_MIN_CONTROL} THEN 'INCONCLUSIVE' WHEN diff<0 AND {_SIGNIFICANT} AND {_ODDS} THEN 'CONFIRMED'
+  WHEN lo>-{D.NOT_REPRODUCED_MARGIN!r} THEN 'NOT REPRODUCED' ELSE 'INCONCLUSIVE' END AS classification
+FROM (SELECT z.*, f.fisher_p, CASE WHEN den>0 THEN num/den WHEN num>0 THEN CAST('Infinity' AS DOUBLE) END AS mh,
+ zk/nullif(zn,0)-ck/nullif(cn,0) AS diff,
+ CASE WHEN zn>0 AND cn>0 THEN zk/zn-ck/cn-sqrt(pow(zk/zn-{_L1},2)+pow({_U2}-ck/cn,2)) END AS lo,
+ CASE WHEN zn>0 AND cn>0 THEN zk/zn-ck/cn+sqrt(pow({_U1}-zk/zn,2)+pow(ck/cn-{_L2},2)) END AS hi
+ FROM ztab z JOIN ({fisher_sql("ztab", "split", "zk", "zn-zk", "ck", "cn-ck")}) f USING (split))
+"""
+    ),
+)
+def zone_decision(spark, sf):
+    out = D.zone_contrast(traces(spark, sf), ["split"])
+    rounded = {"fisher_p", "mh_odds_ratio", "difference", "newcombe_low", "newcombe_high"}
+    return out.selectExpr(*[f"round({c},9) AS {c}" if c in rounded else c for c in out.columns])
+
+
+cte(
+    "loo",
+    """
 SELECT s.star, CAST(sum(CASE WHEN proximity_group='zone' THEN 1 ELSE 0 END) AS BIGINT) AS zone_n,
  CAST(sum(CASE WHEN proximity_group='zone' AND recovered THEN 1 ELSE 0 END) AS BIGINT) AS zone_recovered,
  CAST(sum(CASE WHEN proximity_group='control' THEN 1 ELSE 0 END) AS BIGINT) AS control_n,
  CAST(sum(CASE WHEN proximity_group='control' AND recovered THEN 1 ELSE 0 END) AS BIGINT) AS control_recovered
 FROM (SELECT DISTINCT star FROM trace) s JOIN trace t ON t.star<>s.star
 WHERE role='primary' AND rate_eligible AND baseline_eligible GROUP BY 1
-"""
+""",
+)
+
+
+@query(
+    "leave_one_star_out",
+    with_ctes(
+        "SELECT l.*, round(f.fisher_p,9) AS fisher_p FROM loo l JOIN ("
+        + fisher_sql("loo", "star", "zone_recovered", "zone_n-zone_recovered", "control_recovered", "control_n-control_recovered")
+        + ") f USING (star)"
     ),
 )
 def leave_one_star_out(spark, sf):
     t = traces(spark, sf)
     stars = t.select("field_id", "star").distinct()
-    return D.leave_one_out(t.drop("star"), stars).drop("fisher_p")
+    return D.leave_one_out(t.drop("star"), stars).withColumn("fisher_p", F.round("fisher_p", 9))
 
 
 @query(

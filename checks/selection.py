@@ -210,10 +210,17 @@ SELECT a.field_id AS a, b.field_id AS b FROM qn a JOIN qn b ON a.field_id<>b.fie
 
 @query(
     "link_pairs",
-    with_ctes("SELECT a, b FROM qlink WHERE a<b"),
+    with_ctes(
+        """
+SELECT a.field_id AS a, b.field_id AS b, r.reason FROM qn a JOIN qn b ON a.field_id<b.field_id, LATERAL (
+ SELECT 'same night' AS reason WHERE a.night=b.night UNION ALL SELECT 'same star ' || a.star WHERE a.star=b.star
+ UNION ALL SELECT 'field ' || a.ztf_field || ' ' || abs(datediff('day', CAST(a.night AS DATE), CAST(b.night AS DATE))) || ' d apart'
+ WHERE a.ztf_field=b.ztf_field AND a.night<>b.night AND abs(datediff('day', CAST(a.night AS DATE), CAST(b.night AS DATE)))<=3) r
+"""
+    ),
 )
 def link_pairs(spark, sf):
-    return N.link_reasons(nights(spark, sf)).select("a", "b").distinct()
+    return N.link_reasons(nights(spark, sf))
 
 
 _COMPONENTS = """

@@ -94,7 +94,7 @@ cte(
     "sprox",
     "SELECT t.build_id AS field_id, t.tracklet_no, "
     + ", ".join(f"round(min(sp) FILTER (mag_class={c}),2) AS sep_{c}" for c in range(5))
-    + ", round(min(sp),2) AS nearest_separation, arg_min(v_mag,(sp,star_id)) AS nearest_v_mag FROM tmean t LEFT JOIN ("
+    + ", round(min(sp),2) AS nearest_separation, arg_min(v_mag,(sp,star_id)) AS nearest_v_mag, arg_min(star_id,(sp,star_id)) AS nearest_star FROM tmean t LEFT JOIN ("
     f"SELECT t.build_id, t.tracklet_no, s.*, {sep('t.ra','t.dec','s.star_ra','s.star_dec')} AS sp FROM tmean t JOIN fstar s ON s.field_id=t.build_id) x"
     " ON x.build_id=t.build_id AND x.tracklet_no=t.tracklet_no GROUP BY 1,2",
 )
@@ -105,8 +105,7 @@ cte(
     with_ctes("SELECT * FROM sprox"),
 )
 def star_proximity(spark, sf):
-    out = S.proximity(tracklet_rows(spark, sf), field_stars(spark, sf), ["field_id", "tracklet_no"])
-    return out.drop("nearest_star")
+    return S.proximity(tracklet_rows(spark, sf), field_stars(spark, sf), ["field_id", "tracklet_no"])
 
 
 _SEP = [f"sep_{c}" for c in range(5)]
