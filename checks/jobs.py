@@ -259,7 +259,7 @@ def table(spark, sf):
 
 cte(
     "ptab",
-    "SELECT field_id, tracklet_no, tracklet_id, label, "
+    "SELECT field_id, tracklet_no, tracklet_id, label, night, designation, role, "
     + ", ".join(
         f"CASE WHEN {n} IS NULL THEN 0e0 ELSE (rank() OVER (PARTITION BY field_id ORDER BY {d}*{n} NULLS LAST)-1 + 5e-1*count(*) OVER (PARTITION BY field_id, {n}))"
         f"/count({n}) OVER (PARTITION BY field_id) END AS {n}"
@@ -269,17 +269,21 @@ cte(
 )
 
 
+_HASH = f"CAST(CAST('0x' || substr(sha256('{M.METRIC_SALT}:' || field_id || ':' || tracklet_id),1,15) AS UBIGINT) AS DOUBLE)/{16.0**15!r}"
+
+
 @query(
     "ranker_scores",
     with_ctes(
         " UNION ALL ".join(
             [f"SELECT field_id, tracklet_no, 'B1:{n}' AS ranker, round({n},9) AS score FROM ptab" for n, _ in FEATURES]
             + ["SELECT field_id, tracklet_no, 'M1', round((quantity+price+discount+tax)/4,9) FROM ptab"]
+            + [f"SELECT field_id, tracklet_no, 'B0', round({_HASH},9) FROM ptab"]
         )
     ),
 )
 def ranker_scores(spark, sf):
-    out = A.fixed_scores(table(spark, sf), FEATURES).where("ranker <> 'B0'")
+    out = A.fixed_scores(table(spark, sf), FEATURES)
     return out.selectExpr("field_id", "tracklet_no", "ranker", "round(score,9) AS score")
 
 
@@ -327,10 +331,57 @@ def score_equivalence(spark, sf):
     return A.compare_scores(*ranked).withColumn("max_difference", F.round("max_difference", 9))
 
 
-@query("ranker_evaluation")
+cte(
+    "kscored",
+    " UNION ALL ".join(
+        f"SELECT '{ranker}' AS ranker, field_id, tracklet_no, night, designation, label, {score} AS score FROM ptab"
+        for ranker, score in [
+            ("B0", _HASH), *[(f"B1:{n}", n) for n, _ in FEATURES], ("M1", "(quantity+price+discount+tax)/4"),
+        ]
+    ),
+)
+cte(
+    "kpos",
+    """
+SELECT b.*, 1e0/count(*) OVER (PARTITION BY ranker, designation, night) AS weight FROM (
+SELECT s.*, CASE WHEN c.n=0 THEN 0e0 ELSE (c.above+5e-1*c.tied)/c.n END AS q, 1+c.above+5e-1*c.tied AS place FROM (
+  SELECT * FROM kscored WHERE label='positive' QUALIFY row_number() OVER (PARTITION BY ranker, field_id, designation ORDER BY score DESC, tracklet_no)=1) s
+ JOIN (SELECT ranker, field_id, score, tied, sum(tied) OVER (PARTITION BY ranker, field_id) AS n,
+   coalesce(sum(tied) OVER (PARTITION BY ranker, field_id ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS above
+   FROM (SELECT ranker, field_id, score, count(*) FILTER (label='background') AS tied FROM kscored GROUP BY 1,2,3)) c
+ ON c.ranker=s.ranker AND c.field_id=s.field_id AND c.score=s.score) b
+""",
+)
+
+
+def _share(hit: str) -> str:
+    return f"coalesce(sum(weight) FILTER ({hit}),0)/sum(weight)"
+
+
+_FRACTIONS = (M.PRIMARY_FRACTION, *M.SECONDARY_FRACTIONS)
+
+
+@query(
+    "ranker_evaluation",
+    with_ctes(
+        "SELECT ranker, round(sum(weight),6) AS objects, count(DISTINCT field_id) AS fields_with_positive,"
+        " round(sum(weight*(1-q))/sum(weight),9) AS auc, "
+        + ", ".join(f"round({_share(f'q<={f!r}')},9) AS recall_{f:g}".replace("recall_0.", "recall_0_") for f in _FRACTIONS)
+        + ", "
+        + ", ".join(f"round({_share(f'q<={f!r}')}/{f!r},6) AS enrichment_{f:g}".replace("enrichment_0.", "enrichment_0_") for f in _FRACTIONS)
+        + ", "
+        + ", ".join(f"round({_share(f'place<={k}')},9) AS recall_k{k}" for k in M.SECONDARY_BUDGETS)
+        + " FROM kpos GROUP BY ranker"
+    ),
+)
 def ranker_evaluation(spark, sf):
     scored = A.fixed_scores(table(spark, sf), FEATURES)
-    return M.recall_metrics(M.rank_positives(scored, ["ranker"]), ["ranker"])
+    out = M.recall_metrics(M.rank_positives(scored, ["ranker"]), ["ranker"])
+    digits = lambda c: 6 if c == "objects" or c.startswith("enrichment") else 9
+    return out.selectExpr(
+        "ranker", "fields_with_positive",
+        *[f"round({c},{digits(c)}) AS {c}" for c in out.columns if c not in ("ranker", "fields_with_positive")],
+    )
 
 
 @query("logistic_cross_validation")
