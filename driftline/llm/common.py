@@ -56,6 +56,21 @@ def fold(key: Column, modulus: int, held: int) -> Column:
     )
 
 
+def most_frequent(counts: DataFrame, count: str, limit: int) -> DataFrame:
+    """The rows with the largest counts, at most ``limit`` of them: all above a
+    threshold that a small histogram (16 steps per factor of two) gives. Rows
+    of one step stay together, so fewer may come; no task sends more than its
+    part of the result."""
+    step = F.floor(F.log2(count) * 16).cast("int")
+    rows, lowest = 0, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        rows += r["n"]
+        if rows > limit:
+            break
+        lowest = r["s"]
+    return counts.limit(0) if lowest is None else counts.where(step >= lowest)
+
+
 def row_hash(df: DataFrame) -> Column:
     """A hash of every column that can be hashed, to tell rows of one id apart."""
     usable = [

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import map_rows, stored
+from driftline.llm.common import map_rows, most_frequent, stored
 
 OTHER = b""
 # A task hands on its word counts whenever it holds so many words.
@@ -82,10 +82,10 @@ def word_counts(docs: DataFrame, text: Column, train: Column) -> DataFrame:
 
 
 def build_lexicon(counts: DataFrame, ends: int, head_words: int, own_classes: int, ending_classes: int) -> Lexicon:
-    """Totals, the head, and the classes. The driver gets ``head_words`` words
+    """Totals, the head, and the classes. The driver gets up to ``head_words`` words
     and at most 65,793 endings of up to two bytes."""
     size = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words).collect()
+    top = most_frequent(counts, "c", head_words).toArrow().sort_by([("c", "descending"), ("word", "ascending")]).to_pylist()
     ending = F.expr("substring(word, greatest(length(word) - 1, 1), 2)")
     found = counts.groupBy(ending.alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     mass = {bytes(r["e"]): [r["c"], r["n"]] for r in found}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.common import map_rows, row_hash, stored
+from driftline.llm.common import map_rows, most_frequent, row_hash, stored
 from driftline.operators.groups import connected_components
 
 # A bit table for tokens has so many bits (8 MB), whatever the input's size.
@@ -388,7 +388,7 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges ``a, b`` between set names whose components are those of all
     links."""
     counted = stored(token_counts(texts, n, percent), "tokens")
-    top = counted.where(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "token").limit(FREQUENT_TOKENS).toArrow()
+    top = most_frequent(counted.where(F.col("c") >= FREQUENT_FROM), "c", FREQUENT_TOKENS).toArrow()
     frequent = top.column("token").to_numpy().astype(np.int64).view(np.uint64)
     by_token = np.argsort(frequent)
     # The rank of a frequent token: by its count, then by its hash.
