@@ -6,7 +6,7 @@ from checks import data
 from checks.build import near, tracklets
 from checks.metrics import FEATURES
 from checks.registry import bearing, cte, query, sep, with_ctes
-from checks.review import identified, quality
+from checks.review import ident_sql, identified, matches_sql, quality
 from checks.stars import field_stars
 from checks.targets import targets
 from driftline.config import DEFAULT
@@ -239,13 +239,22 @@ def field_conditions(spark, sf):
         " UNION ALL ".join(
             f"SELECT '{name}' AS config, build_id, CAST(count(*) AS BIGINT) AS tracklets, CAST(count(*) FILTER (mx<={r}) AS BIGINT) AS built,"
             f" CAST(count(*) FILTER (istat='known') AS BIGINT) AS known, CAST(count(*) FILTER (istat='unknown' AND mx<={r}) AS BIGINT) AS unknown_built FROM ident GROUP BY build_id"
-            for name, r in (("max_residual_arcsec=0.25", "0.25"), ("max_residual_arcsec=1", "1.0"))
+            for name, r in (("max_residual_arcsec=0.25", "0.25"), ("max_residual_arcsec=1", "1.0"), ("max_residual_arcsec=2", "2.0"))
+        )
+        + "".join(
+            f" UNION ALL SELECT 'match_radius_arcsec={r:g}' AS config, build_id, CAST(count(*) AS BIGINT), CAST(count(*) FILTER (status='built') AS BIGINT),"
+            f" CAST(count(*) FILTER (istat='known') AS BIGINT), CAST(count(*) FILTER (istat='unknown' AND status='built') AS BIGINT)"
+            f" FROM ({ident_sql('(' + matches_sql(repr(r)) + ')', repr(r))}) GROUP BY build_id"
+            for r in (0.5, 1.0, 5.0)
         )
     ),
 )
 def parameter_sweep(spark, sf):
     dets = data.detections(spark, sf)
-    configs = J.sweep_configs(DEFAULT, {"max_residual_arcsec": (0.25, 0.5, 1.0)})
+    # The two parameters behind the linking, whole grids; the other three need
+    # a whole build per point.
+    grid = {n: J.SWEEP[n] for n in ("max_residual_arcsec", "match_radius_arcsec")}
+    configs = J.sweep_configs(DEFAULT, grid)
     return J.sweep(dets, data.frames_of(dets), data.listings(spark, sf), configs)
 
 

@@ -12,35 +12,40 @@ from driftline.operators import tracklets as T
 
 
 cte("memd", "SELECT m.build_id, m.tracklet_no, d.* EXCLUDE (build_id) FROM mem m JOIN det d ON d.det_no=m.det_no")
-cte(
-    "matches",
-    f"""
+
+
+def matches_sql(radius: str) -> str:
+    """Objects within ``radius`` arcsec of every member."""
+    return f"""
 SELECT * FROM (SELECT m.build_id, m.tracklet_no, e.designation,
  arg_min(e.object_class, m.frame_no) AS object_class, max(e.position_error_arcsec) AS position_error_arcsec,
  count(*) AS n, sqrt(avg(pow(residual,2))) AS rms, max(residual) AS mx
 FROM (SELECT m.*, e.designation, e.object_class, e.position_error_arcsec,
   {sep('m.ra','m.dec','e.predicted_ra','e.predicted_dec')} AS residual
   FROM memd m JOIN ephlast e ON m.build_id=e.build_id AND m.frame_no=e.frame_no
-  AND abs(m.dec-e.predicted_dec)<=6e-4) m
+  AND abs(m.dec-e.predicted_dec)<={radius}*3e-4) m
  JOIN (SELECT DISTINCT build_id, frame_no, designation, object_class, position_error_arcsec FROM ephlast) e
  ON e.build_id=m.build_id AND e.frame_no=m.frame_no AND e.designation=m.designation
-WHERE residual <= 2e0 GROUP BY m.build_id, m.tracklet_no, e.designation) x
+WHERE residual <= {radius} GROUP BY m.build_id, m.tracklet_no, e.designation) x
 JOIN (SELECT build_id, tracklet_no, count(*) AS nm FROM mem GROUP BY 1,2) y USING (build_id, tracklet_no)
 WHERE n = nm
-""",
-)
-cte(
-    "ident",
-    """
+"""
+
+
+def ident_sql(matches: str, radius: str) -> str:
+    return f"""
 SELECT t.*, coalesce(k.n_matches,0) AS n_matches, k.best, k.best_mx, k.best_rms,
- CASE WHEN k.n_matches IS NULL THEN 'unknown' WHEN k.n_matches>1 OR k.perr>2e0 THEN 'ambiguous' ELSE 'known' END AS istat
+ CASE WHEN k.n_matches IS NULL THEN 'unknown' WHEN k.n_matches>1 OR k.perr>{radius} THEN 'ambiguous' ELSE 'known' END AS istat
 FROM tracklet t LEFT JOIN (SELECT build_id, tracklet_no, count(*) AS n_matches,
  arg_min(designation, (mx, rms, designation)) AS best, min(mx) AS best_mx,
  arg_min(rms, (mx, rms, designation)) AS best_rms,
  arg_min(position_error_arcsec, (mx, rms, designation)) AS perr
- FROM matches GROUP BY 1,2) k USING (build_id, tracklet_no)
-""",
-)
+ FROM {matches} GROUP BY 1,2) k USING (build_id, tracklet_no)
+"""
+
+
+cte("matches", matches_sql("2e0"))
+cte("ident", ident_sql("matches", "2e0"))
 cte(
     "qual",
     """

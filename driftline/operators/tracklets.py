@@ -357,8 +357,8 @@ def build_tracklets(
     the fit, ``status`` and ``status_reason``. The result is stored, so the
     linking does not run again for the operators that read it.
     """
-    numbered = number_tracklets(member_sets(prepare(detections, frames, config), config))
-    return cut_lineage(with_status(fit_motion(numbered), config.max_residual_arcsec))
+    fitted = fit_motion(number_tracklets(member_sets(prepare(detections, frames, config), config)))
+    return cut_lineage(with_status(fitted, config.max_residual_arcsec))
 
 
 def tracklet_members(tracklets: DataFrame) -> DataFrame:

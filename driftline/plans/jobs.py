@@ -12,7 +12,15 @@ from driftline.functions.classify import population
 from driftline.operators import identify, quality, ranking
 from driftline.operators.metrics import label_of
 from driftline.operators.ordered import cut_lineage, quantiles
-from driftline.operators.tracklets import build_tracklets, tracklet_members
+from driftline.operators.tracklets import (
+    build_tracklets,
+    fit_motion,
+    member_sets,
+    number_tracklets,
+    prepare,
+    tracklet_members,
+    with_status,
+)
 
 # One-at-a-time sweep around the defaults.
 SWEEP = {
@@ -77,11 +85,21 @@ def sweep(
 ) -> DataFrame:
     """Status counters of every configuration and build.
 
-    The loop is over a few configurations; each one is a job over all builds.
+    The loop is over a few configurations, all builds at once. A configuration
+    starts at the first stage that its parameters touch: moving candidates are
+    shared by equal stationary tolerances, fitted tracklets by equal linking
+    parameters; the fit limit and the match radius only repeat what follows.
     """
     out = None
+    candidates, fitted = {}, {}
     for name, config in configs.items():
-        tracklets = build_tracklets(detections, frames, config)
+        still = config.stationary_tolerance_arcsec
+        if still not in candidates:
+            candidates[still] = prepare(detections, frames, config)
+        linking = (still, config.max_rate_arcsec_per_min, config.search_radius_arcsec, config.min_detections)
+        if linking not in fitted:
+            fitted[linking] = cut_lineage(fit_motion(number_tracklets(member_sets(candidates[still], config))))
+        tracklets = with_status(fitted[linking], config.max_residual_arcsec)
         matches = identify.candidate_matches(tracklet_members(tracklets), ephemerides, config)
         counts = identify.identify(tracklets, matches, config).groupBy("build_id").agg(
             F.count("*").alias("tracklets"),

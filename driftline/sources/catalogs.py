@@ -1,7 +1,7 @@
 """Exposure metadata, source catalogs and prediction rows: read and normalise.
 
 The row functions are projections, so they also run on streaming DataFrames.
-Bad rows go to a reject table with a reason; strict variants fail instead.
+Bad rows go to a reject table with a reason; ``strict`` fails instead.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.config import MAX_SEQUENCE_FRAMES, MIN_SEQUENCE_FRAMES
 from driftline.functions.sky import separation
 from driftline.operators.guards import require
 
@@ -114,7 +115,18 @@ def box_search(
     )
 
 
-def check_request_ids(requests: DataFrame, low: int = 3, high: int = 10) -> DataFrame:
+def strict(rows: DataFrame, rejects: DataFrame) -> DataFrame:
+    """``rows`` of a normalisation that must not reject any: the job stops at
+    the first reject with its ``reason``."""
+    message = F.concat(F.lit("rejected row: "), F.coalesce(F.col("reason"), F.lit("no reason given")))
+    failed = require(rejects, F.col("reason").isNull() & F.col("reason").isNotNull(), message)
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]
+    return rows.unionByName(failed.select(*nothing))
+
+
+def check_request_ids(
+    requests: DataFrame, low: int = MIN_SEQUENCE_FRAMES, high: int = MAX_SEQUENCE_FRAMES
+) -> DataFrame:
     """``build_id, product_ids``: 3 to 10 distinct ids per build, else error."""
     n = F.size("product_ids")
     ok = (n >= low) & (n <= high) & (F.size(F.array_distinct("product_ids")) == n)

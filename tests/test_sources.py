@@ -224,3 +224,11 @@ def test_first_middle_last_of_the_earliest_group(spark):
     rows += [(30, 0, "2017-09-03", 3), (31, 1, "2017-09-03", 3)]
     out = Q.first_middle_last(exposures(spark, rows))
     assert sorted(r.pid for r in out.collect()) == [10, 11, 13]
+
+
+def test_strict_stops_at_a_reject(spark):
+    rows = spark.createDataFrame([(1, 2.0)], "product_id long, ra double")
+    none = spark.createDataFrame([], "pid string, reason string")
+    assert K.strict(rows, none).collect() == rows.collect()
+    with pytest.raises(Exception, match="rejected row: missing ra"):
+        K.strict(rows, spark.createDataFrame([("7", "missing ra")], none.schema)).collect()
