@@ -44,7 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids``: token ids as packed 32-bit integers."""
-    encoded = byte_bpe.encode_documents(docs)
+    # Small caches: here executors also hold what the stages before shuffled.
+    encoded = byte_bpe.encode_documents(docs, cache=100_000)
     return encoded.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"), "ids")
 
 

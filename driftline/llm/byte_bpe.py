@@ -36,6 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
 
 NEVER = 1 << 62
+# Entries of each cache: about 350 MB a worker at most, and in proportion.
+CACHE = 400_000
 
 
 class State:
@@ -280,15 +282,15 @@ class UnitCache(dict):
 class ByteBpe:
     """Encoder and decoder of one rank file and split pattern."""
 
-    def __init__(self, path: str, pattern: str):
-        self.machine = MergeTransducer(load_ranks(path))
-        self.pieces = PieceCache(self.machine)
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
+        self.machine = MergeTransducer(load_ranks(path), cache)
+        self.pieces = PieceCache(self.machine, cache)
         self.split = regex.compile(pattern).findall
         # In the published pattern a match never goes on past a space that
         # stands between two characters that aren't white space, and looks at
         # nothing before its start. There the text is cut without the pattern.
         self.at_spaces = pattern == public_tokenizers.PATTERN
-        self.units = UnitCache(self.pieces, self.split)
+        self.units = UnitCache(self.pieces, self.split, cache * 3 // 4)
         self.crowded = re.compile(r"\s |^ | \s| \Z").search
         words = self.machine.words
         self.bytes_of = [words.get(i, b"") for i in range(max(words) + 1)]
@@ -301,6 +303,12 @@ class ByteBpe:
         head = b"".join(map(self.pieces.__getitem__, self.split(first)))
         return head + b"".join(map(self.units.__getitem__, units))
 
+    def rest(self) -> None:
+        """Between tasks only what was used last is remembered, so that a worker
+        that goes on to other work holds less."""
+        self.machine._reset()
+        self.pieces.old, self.units.old = {}, {}
+
     def decode(self, packed: bytes, block: int = 1 << 16) -> Iterator[str]:
         """Text in blocks of so many ids; a character never spans two."""
         stream, ids = Utf8Stream(), array.array("I", packed)
@@ -310,9 +318,9 @@ class ByteBpe:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> ByteBpe:
+def codec(path: str, pattern: str, cache: int = CACHE) -> ByteBpe:
     """One codec per worker process: tables and caches are built once."""
-    bpe = ByteBpe(path, pattern)
+    bpe = ByteBpe(path, pattern, cache)
     gc.freeze()
     gc.set_threshold(1_000_000, 50, 50)  # the caches hold no garbage to look for
     return bpe
@@ -324,8 +332,10 @@ def encode_documents(
     text_col: str = "text",
     path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
+    cache: int = CACHE,
 ) -> DataFrame:
     """``doc_id, ids`` (packed 32-bit little-endian) of every whole text.
+    ``cache``: entries of a worker's caches; fewer take less memory, more time.
 
     Null and empty texts have no ids; a null id is carried; repeated rows give
     repeated rows; other columns are not read. ``path``: the rank file, which
@@ -334,10 +344,11 @@ def encode_documents(
     path = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(path, pattern)
+        bpe = codec(path, pattern, cache)
         for batch in batches:
-            ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        bpe.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -392,6 +403,7 @@ def round_trip(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 names,
             )
+        bpe.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -267,3 +267,14 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
 def test_every_operator_has_a_query():
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
     assert set(queries.ORACLES) == {"op3_ngram_jaccard", "op5_warc", "op9_exact_dedup"}
+
+
+def test_most_frequent_is_a_threshold(spark):
+    from driftline.llm.common import most_frequent
+
+    counts = spark.createDataFrame([(k, 1 + 1000 // (k + 1)) for k in range(200)], "w long, c long")
+    for limit in (1, 5, 20, 150, 1000):
+        got = [r.c for r in most_frequent(counts, "c", limit).collect()]
+        rest = sorted((r.c for r in counts.collect()), reverse=True)[len(got) :]
+        assert len(got) <= limit and (not got or not rest or min(got) > rest[0])
+    assert most_frequent(counts, "c", 1000).count() == 200
