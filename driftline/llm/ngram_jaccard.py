@@ -352,9 +352,9 @@ def least_overlap(percent: int, lo: str = "lo", hi: str = "hi") -> str:
     return f"GREATEST(1, {total} - CEIL({percent} * {hi} / 100D - 1e-9) + 1)"
 
 
-def compare_units(load, percent: int, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links ``a, b`` among candidate ``pairs`` (``u, v``) of units; ``load``
-    gives ``sid, tokens`` of (at least) the sets of a table.
+def compare_units(pool: DataFrame, percent: int, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links ``a, b`` among candidate ``pairs`` (``u, v``) of units; ``pool``
+    has ``sid, tokens`` of their sets.
 
     The sets of the unit with fewer members travel to the other one, whose
     partners are dealt into chunks of bounded size."""
@@ -377,7 +377,7 @@ def compare_units(load, percent: int, members: DataFrame, pairs: DataFrame) -> D
         dealt.select("large", "chunk").distinct().select("*", F.col("large").alias("unit"), F.lit(True).alias("is_large"))
     )
     rows = stored(wanted.join(members, "unit"), "openings")
-    loaded = rows.join(load(rows.select("sid").distinct()), "sid")
+    loaded = rows.join(pool, "sid")
     return loaded.groupBy("large", "chunk").applyInArrow(open_pairs(percent), "a bigint, b bigint")
 
 
@@ -445,14 +445,17 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
     # 3. open, 4. what common tokens still hold apart
     edges = moved.select(F.col("sid").alias("a"), F.col("unit").alias("b"))
 
-    def load(wanted: DataFrame) -> DataFrame:
-        return bodies(texts, n, bit_table(wanted, "sid"), by_group=False).select("sid", "tokens")
-
-    found = stored(compare_units(load, percent, members, tried), "links")
+    # The sets of this and of all further rounds are read from the texts once.
+    open_units = tried.select(F.col("u").alias("unit")).unionByName(tried.select(F.col("v").alias("unit"))).unionByName(
+        many.select("unit")
+    ).distinct()
+    wanted = bit_table(members.join(open_units, "unit").select("sid"), "sid")
+    pool = bodies(texts, n, wanted, by_group=False).groupBy("sid").agg(F.first("tokens").alias("tokens"))
+    pool = stored(pool, "pool")
+    found = stored(compare_units(pool, percent, members, tried), "links")
     edges = edges.unionByName(found)
     if many.isEmpty():
         return edges
-    pool = None
     through_hubs = True
     while True:
         nodes = many.select(F.col("unit").alias("node")).distinct()
@@ -477,11 +480,8 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
                 return edges
             through_hubs = False
             continue
-        if pool is None:  # the sets of all further rounds, read from the texts once
-            last = load(members.join(many.select("unit").distinct(), "unit").select("sid"))
-            pool = stored(last.groupBy("sid").agg(F.first("tokens").alias("tokens")), "pool")
         tried = tried.unionByName(next_pairs)
-        found = stored(compare_units(lambda _: pool, percent, members, next_pairs), "links")
+        found = stored(compare_units(pool, percent, members, next_pairs), "links")
         edges = edges.unionByName(found)
         # Hubs as long as they join something, then every pair that is left.
         through_hubs = through_hubs and not found.isEmpty()
