@@ -157,10 +157,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").alias("url"),
         F.coalesce(F.col(f"`{body_col}`"), F.lit("")).cast("binary").alias("payload"),
     )
+    # Small payloads never revisit: a short hash of the row deals them out evenly.
+    own = F.unhex(F.hex(F.xxhash64("page_id", "url")))
     rows = rows.withColumn(
-        "digest", F.when(F.length("payload") >= REVISIT_FROM_BYTES, F.unhex(F.sha2("payload", 256)))
+        "digest", F.when(F.length("payload") >= REVISIT_FROM_BYTES, F.unhex(F.sha2("payload", 256))).otherwise(own)
     )
-    groups = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("n"))
+    groups = rows.where(F.length("payload") >= REVISIT_FROM_BYTES).groupBy("digest").agg(F.max("page_id").alias("answer"), F.count("*").alias("n"))
     # Stored, so that the join deals both sides out and can split a hot payload.
     repeated = stored(groups.where("n > 1 AND answer IS NOT NULL").select("digest", "answer"), "payloads")
     return rows.join(repeated, "digest", "left").select(
