@@ -3,11 +3,13 @@
 Each learned language has a raw-content zstandard dictionary of bounded size,
 cut from labelled texts. A text is compressed with every dictionary, in
 blocks, so that a long text is judged by the dictionary and not by its own
-beginning; the sizes of all its blocks are added.
+beginning; the sizes of all its blocks are added. Languages with less text have
+shorter dictionaries, which shorten no other one.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -64,37 +66,76 @@ def training_pieces(
 
 
 class CompressionClassifier:
-    """Per language a raw-content dictionary; smallest compressed size wins."""
+    """Per language a raw-content dictionary; smallest compressed size wins.
+
+    A dictionary is as long as its language's pieces give, up to
+    ``dictionary_bytes``. Two languages are compared at the length of the shorter
+    dictionary, as a longer one has an advantage. Below ``least_bytes`` and a
+    quarter of the other's length a dictionary says too little for that: it is
+    held against the other's whole one, so a tiny label costs the others
+    nothing and wins where it shortens more than they do. Languages are
+    compared from the longest dictionary down, the winner so far with the next.
+    Labels whose pieces hold no letter learn nothing and are never predicted.
+    """
 
     def __init__(
         self, pieces: dict[str, tuple[int, list[str]]], dictionary_bytes: int = 96 << 10, block: int = 4096,
-        level: int = 6, narrow: float = 0.02,
+        level: int = 6, narrow: float = 0.02, least_bytes: int = 4096, shortened: int = 32,
     ):
-        self.block, self.narrow = block, narrow
+        """``shortened``: so many shortened dictionaries are kept at a time."""
+        self.block, self.level, self.narrow, self.least_bytes = block, level, narrow, least_bytes
         # The most frequent language first: it wins ties, as in texts of a word.
-        self.languages = sorted(pieces, key=lambda name: (-pieces[name][0], name))
-        contents = {}
-        for name in self.languages:
+        self.languages, self.contents = [], []
+        for name in sorted(pieces, key=lambda name: (-pieces[name][0], name)):
             # Whole pieces, dealt evenly: every piece gives its share.
             share = max(64, dictionary_bytes // max(1, len(pieces[name][1])))
-            contents[name] = b" ".join(letters(p)[:share] for p in pieces[name][1])[:dictionary_bytes]
-        # Equal sizes, or the larger dictionary would have an advantage.
-        size = min((len(c) for c in contents.values()), default=0)
-        self.compressors = []
-        for name in self.languages:
-            content = contents[name][:size]
-            if len(content) < 8:
-                self.compressors.append(zstandard.ZstdCompressor(level=level))
-                continue
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compressors.append(
-                zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_dict_id=False)
-            )
-
-    def sizes(self, data: bytes) -> list[int]:
+            content = b" ".join(letters(p)[:share] for p in pieces[name][1])[:dictionary_bytes]
+            if content.strip():
+                # A dictionary has eight bytes at least.
+                self.languages.append(name)
+                self.contents.append(content if len(content) >= 8 else (content + b" ") * 8)
+        self.lengths = [len(c) for c in self.contents]
+        self.order = sorted(range(len(self.languages)), key=lambda i: (-self.lengths[i], i))
+        self.whole = [self._compressor(i, n) for i, n in enumerate(self.lengths)]
+        self.cut = functools.lru_cache(maxsize=shortened)(self._compressor)
+
+    def _compressor(self, i: int, length: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(self.contents[i][:length], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=self.level)
+        return zstandard.ZstdCompressor(level=self.level, dict_data=d, write_content_size=False, write_dict_id=False)
+
+    def _compared(self, i: int, j: int) -> tuple[int, int]:
+        """The lengths at which two dictionaries are compared."""
+        a, b = self.lengths[i], self.lengths[j]
+        low, high = min(a, b), max(a, b)
+        return (low, low) if low >= self.least_bytes or 4 * low >= high else (a, b)
+
+    def compare(self, data: bytes) -> tuple[int, float]:
+        """The winning language's place and its saving over the best other."""
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return [sum(map(len, map(c.compress, blocks))) for c in self.compressors]
+        known: dict[tuple[int, int], int] = {}
+
+        def size(i: int, length: int) -> int:
+            if (i, length) not in known:
+                c = self.whole[i] if length == self.lengths[i] else self.cut(i, length)
+                known[i, length] = sum(map(len, map(c.compress, blocks)))
+            return known[i, length]
+
+        def sizes(i: int, j: int) -> tuple[int, int]:
+            a, b = self._compared(i, j)
+            return size(i, a), size(j, b)
+
+        best = self.order[0]
+        for j in self.order[1:]:
+            a, b = sizes(best, j)
+            if (b, j) < (a, best):
+                best = j
+        margin = 1.0
+        for j in self.order:
+            if j != best:
+                a, b = sizes(best, j)
+                margin = min(margin, (b - a) / b)
+        return best, max(0.0, margin)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (0 to 1) and whether the margin is wide enough.
@@ -105,12 +146,9 @@ class CompressionClassifier:
         """
         if not text or not self.languages or LETTER.search(text) is None:
             return UNDETERMINED, 0.0, False
-        sizes = self.sizes(letters(text))
-        best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
-        if len(sizes) == 1:
-            return self.languages[best], 1.0, True
-        second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0, True
+        best, margin = self.compare(letters(text))
         return self.languages[best], 0.5 + 0.5 * min(1.0, margin / 0.25), margin >= self.narrow
 
 
@@ -131,7 +169,8 @@ def identify(
 
     ``accepted`` is false where the two best languages lie too close. Null
     texts and texts without a letter are ``und`` with score 0, and so is every
-    text if nothing was learned; rows without a language are predicted but
+    text if nothing was learned; a language without a letter to learn from is
+    never predicted; rows without a language are predicted but
     never learned from; a null id is carried; repeated rows give repeated
     rows; an empty table gives an empty result. Only the text is an input of a
     prediction.

@@ -142,6 +142,25 @@ def test_narrow_margins_are_rejected():
     assert model.predict("qqqq xxxx zzzz")[2] is False
 
 
+def test_small_languages_shorten_no_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    small = [(90_000, "zo wurri kanta belo mirra sutto panka", "tiny")]
+    small += [(90_001 + k, f"{k} 123 456", "none") for k in range(8)]
+    train = ~fold(F.col("doc_id"), 4, 2) | (F.col("doc_id") >= 90_000)
+    more = docs.unionByName(spark.createDataFrame(small, docs.schema))
+    known = {r.doc_id: r.lang for r in docs.collect()}
+
+    def right(rows):
+        held = [r for r in rows if r.doc_id in known and not r.train]
+        return sum(r.lang_pred == known[r.doc_id] for r in held) / len(held)
+
+    got = language_id.identify(more, train).collect()
+    assert right(got) == right(language_id.identify(docs, train).collect()) > 0.93
+    by_id = {r.doc_id: r.lang_pred for r in got}
+    assert by_id[90_000] == "tiny" and {by_id[r[0]] for r in small[1:]} == {"und"}
+    assert language_id.CompressionClassifier({"x": (1, ["a"]), "y": (9, ["1"])}).predict("a") == ("x", 1.0, True)
+
+
 # --- quality rules ---
 
 
