@@ -346,10 +346,15 @@ def open_pairs(percent: int):
 
 
 def least_overlap(percent: int, lo: str = "lo", hi: str = "hi") -> str:
-    """SQL: prefix tokens that two linked sets share at least, if the smaller
-    has ``lo`` and the larger ``hi`` tokens at the extremes."""
-    total = f"CEIL({percent} * ({lo} + {hi}) / {100 + percent}D - 1e-9)"
-    return f"GREATEST(1, {total} - CEIL({percent} * {hi} / 100D - 1e-9) + 1)"
+    """SQL: prefix tokens that two linked sets share at least, if both have
+    ``lo`` to ``hi`` tokens.
+
+    Sets of a and b >= a tokens share CEIL(t' (a + b)) - CEIL(t b) + 1 prefix
+    tokens at least, t' = t / (1 + t), which goes up and down with b. It is more
+    than t' (a + b) - t b, which grows with a and falls with b, so its value at
+    the extremes holds for every pair between them; in whole numbers it is
+    percent (100 a - percent b) / (100 (100 + percent))."""
+    return f"GREATEST(1, {percent} * (100 * {lo} - {percent} * {hi}) DIV {100 * (100 + percent)} + 1)"
 
 
 def compare_units(pool: DataFrame, percent: int, members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftline.llm import exact_dedup, mixing, ngram_jaccard, quality_rules, queries
@@ -154,6 +155,30 @@ def test_jaccard_empty_and_hot(spark):
     assert {r.component_id for r in got} == {5}
 
 
+def test_jaccard_units_of_several_sizes(spark):
+    # x and y link (23 of 27 words) and share one prefix token. y2 makes the
+    # sizes of y's unit 26 to 27: at 24 and 27 alone two would be needed.
+    shingle = ngram_jaccard.Shingler(1)
+    words = sorted((f"w{k}" for k in range(40)), key=lambda w: int(shingle(w)[0]))
+    shared = words[4:27]
+    sets = {1: [*shared, words[30]], 2: words[:3] + shared, 3: words[:4] + shared}
+    docs = docs_of(spark, [(i, " ".join(t), "s") for i, t in sets.items()])
+    got = ngram_jaccard.jaccard_components(docs, n=1, percent=85).collect()
+    assert sorted(map(tuple, got)) == [(1, 24, 1), (2, 26, 1), (3, 27, 1)]
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_least_overlap_holds_between_the_extremes(spark, percent):
+    def exact(a, b):
+        return max(1, -(-percent * (a + b) // (100 + percent)) + (-percent * b // 100) + 1)
+
+    sizes = [(a, b) for a in range(1, 200) for b in range(a, min(a + 8, 100 * a // percent + 1))]
+    table = spark.createDataFrame(sizes, "lo long, hi long")
+    got = table.select("lo", "hi", F.expr(ngram_jaccard.least_overlap(percent))).collect()
+    for lo, hi, least in got:
+        assert 1 <= least <= min(exact(a, b) for a in range(lo, hi + 1) for b in range(a, hi + 1) if 100 * a >= percent * b)
+
+
 # --- mixing ---
 
 
