@@ -323,3 +323,15 @@ def test_license_wording_decides():
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation file"
     assert names(mit) == ["MIT"]
     assert names("word " * 30_000 + "Released under the MIT License." + " word" * 30_000) == ["MIT"]
+
+
+def test_licenses_wrapped_at_every_word():
+    scan = license_scan.LicenseScanner()
+    filler = "the tide had turned before the boats came in " * 40
+    for name, text in license_scan.TEMPLATES:
+        words = text.split()
+        for k in range(1, len(words)):
+            for line_end in ("\n", "\n * "):
+                notice = " ".join(words[:k]) + line_end + " ".join(words[k:])
+                assert name in {f[2] for f in scan.scan(f"{filler}\n{notice}\n{filler}")}, (notice, k)
+        assert name in {f[2] for f in scan.scan("# " + "\n# ".join(words))}
