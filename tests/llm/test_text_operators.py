@@ -335,3 +335,22 @@ def test_licenses_wrapped_at_every_word():
                 notice = " ".join(words[:k]) + line_end + " ".join(words[k:])
                 assert name in {f[2] for f in scan.scan(f"{filler}\n{notice}\n{filler}")}, (notice, k)
         assert name in {f[2] for f in scan.scan("# " + "\n# ".join(words))}
+
+
+def test_dense_licenses_are_all_found(spark):
+    scan = license_scan.LicenseScanner()
+    every = [t for _, t in license_scan.TEMPLATES]
+    random.Random(3).shuffle(every)
+    for between in ("\n", " "):
+        for text in (between.join(every), between.join(every * 3)):
+            assert {f[2] for f in scan.scan(text)} == {name for name, _ in license_scan.TEMPLATES}
+    text = "Released under the MIT License. Licensed under CC BY 4.0. " * 300
+    docs = spark.createDataFrame(rows_of([text, "x " * 9 + text]), SCHEMA)
+    got = {(r.doc_id, r.license): (r.n_blocks, r.first_start) for r in license_scan.scan_licenses(docs).collect()}
+    assert got == {(0, "MIT"): (300, 0), (0, "CC-BY-4.0"): (300, 32), (1, "MIT"): (300, 18), (1, "CC-BY-4.0"): (300, 50)}
+    # A word changed at any place of a long notice, its first and last included.
+    words = license_scan.words_of(next(t for n, t in license_scan.TEMPLATES if n == "ISC"))
+    for k in range(len(words)):
+        changed = [*words[:k], "changed", *words[k + 1 :]]
+        if not license_scan.FIXED.search(words[k]):
+            assert [f[2] for f in scan.scan("so far. " + " ".join(changed) + " and on")] == ["ISC"], k
