@@ -354,3 +354,49 @@ def test_dense_licenses_are_all_found(spark):
         changed = [*words[:k], "changed", *words[k + 1 :]]
         if not license_scan.FIXED.search(words[k]):
             assert [f[2] for f in scan.scan("so far. " + " ".join(changed) + " and on")] == ["ISC"], k
+
+
+GNU = """{0} is free software{1} you can redistribute it and/or modify
+ * it under the terms of the GNU {2} as published by
+ * the Free Software Foundation{3} either version {4} of the License, or
+ * (at your option) any later version.
+"""
+BSD = """Copyright (c) 2001, Some Body. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (GNU.format("This program", ":", "General Public License", ",", 3), {"GPL-3.0"}),
+        (GNU.format("Frob", ";", "General Public License", ";", 2), {"GPL-2.0"}),
+        (GNU.format("This library", ";", "Lesser General Public License", ";", "2.1"), {"LGPL-2.1"}),
+        (GNU.format("Frob", ":", "Lesser General Public License", ",", 3), {"LGPL-3.0"}),
+        (GNU.format("This program", ":", "Affero General Public License", ",", 3), {"AGPL-3.0"}),
+        (GNU.format("This program", ":", "Affero General Public License", ",", 4), set()),
+        (BSD.format(""), {"BSD", "BSD-2-Clause"}),
+        (BSD.format("3. Neither the name of Frob Inc. nor the names of its contributors may be used to\n   endorse or promote products "
+                    "derived from this software without specific\n   prior written permission.\n"), {"BSD", "BSD-3-Clause"}),
+        ("// SPDX-License-Identifier: GPL-2.0-or-later", {"GPL-2.0"}),
+        ("This work is licensed under a Creative\nCommons Attribution-ShareAlike 4.0 International License.", {"CC-BY-SA-4.0"}),
+        ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n", {"GPL-2.0"}),
+        ("                                 Apache License\n                           Version 2.0, January 2004\n", {"Apache-2.0"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, "
+         "provided that the above\ncopyright notice and this permission notice appear in all copies.", {"ISC"}),
+        ("Redistribution of power in the empire was permitted by law.", set()),
+    ],
+)
+def test_published_license_wording(text, want):
+    assert {f[2] for f in license_scan.LicenseScanner().scan("x = 1\n" * 50 + text + "\nx = 2" * 50)} == want
