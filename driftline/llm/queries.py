@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import byte_bpe, exact_dedup, language_id, license_scan, lm_scoring, mixing, ngram_jaccard, quality_rules, token_counts, warc
+from driftline.llm import (
+    byte_bpe, exact_dedup, language_id, lexical_search, license_scan, lm_scoring, mixing, ngram_jaccard, quality_rules,
+    simhash, spelling, token_counts, warc,
+)
 from driftline.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +51,8 @@ def op2(spark, sf_dir):
     r"""
     WITH RECURSIVE t AS (
         SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-               'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+               'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
         FROM documents
     ),
     s AS (
@@ -145,3 +149,53 @@ def op9(spark, sf_dir):
 @query("op10_license_scan")
 def op10(spark, sf_dir):
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_simhash")
+def op11(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling")
+def op12(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_lexical_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM documents WHERE text IS NOT NULL
+    ),
+    sizes AS (SELECT doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+    tf AS (
+        SELECT doc_id, n, term, count(*) AS tf
+        FROM (SELECT doc_id, n, unnest(terms) AS term FROM sizes) GROUP BY doc_id, n, term
+    ),
+    q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ),
+    w AS (
+        SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+        FROM (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term), total
+    ),
+    scored AS (
+        SELECT item_id, doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+        FROM q JOIN w USING (term) JOIN tf USING (term), total
+        GROUP BY item_id, doc_id
+    ),
+    ranked AS (
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+        FROM scored WHERE score > 0
+    )
+    SELECT * FROM ranked WHERE rank <= 50
+    """,
+)
+def op13(spark, sf_dir):
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
