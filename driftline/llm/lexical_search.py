@@ -38,7 +38,7 @@ LENGTH_BASE, LENGTH_PART = 50, 50
 # A term has one entry for each of these numbers of occurrences that it reaches.
 STEPS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024)
 # Slices of a term; bits of a document for each entry; size of a block.
-HASHES, BITS_PER_ENTRY = 4, 12
+HASHES, BITS_PER_ENTRY = 8, 16
 BLOCK_DOCS, BLOCK_BITS = 2048, 1 << 23
 HELD_TERMS = 300_000
 # A block of items has about so many characters; cells and terms worked on at once.
