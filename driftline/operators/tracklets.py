@@ -99,13 +99,14 @@ def check_frames(frames: DataFrame) -> DataFrame:
 # --- seeds and extension ----------------------------------------------------
 
 
-def with_sequence(candidates: DataFrame, frames: DataFrame) -> DataFrame:
-    """Candidates with their build's frames (``sequence``) and own time.
+def with_sequence(candidates: DataFrame, frames: DataFrame, carry: tuple = ()) -> DataFrame:
+    """Candidates with their build's frames (``sequence``), own time and the
+    columns of ``carry``.
 
     Everything the linking needs, so frames are joined once and not again for
     seeds and predictions.
     """
-    joined = candidates.select("build_id", "frame_no", "det_no", "ra", "dec").join(
+    joined = candidates.select("build_id", "frame_no", "det_no", "ra", "dec", *carry).join(
         check_frames(frames), "build_id"
     )
     own = "filter(sequence, f -> f.frame_no = frame_no)[0].minutes AS minutes"
@@ -115,7 +116,7 @@ def with_sequence(candidates: DataFrame, frames: DataFrame) -> DataFrame:
 SEED_KEY = ["build_id", "frame_a", "det_a", "frame_b", "det_b"]
 
 
-def _side(sequenced: DataFrame, own: str, other: str, max_rate: float) -> DataFrame:
+def _side(sequenced: DataFrame, own: str, other: str, max_rate: float, carry: tuple = ()) -> DataFrame:
     """Candidates once per partner frame: later ones for side a, earlier for b."""
     later = ">" if own == "a" else "<"
     partners = f"filter(sequence, f -> f.frame_no {later} frame_no)"
@@ -130,19 +131,27 @@ def _side(sequenced: DataFrame, own: str, other: str, max_rate: float) -> DataFr
         f"minutes AS minutes_{own}",
         f"abs(p.minutes - minutes) * {float(max_rate)!r}D AS seed_radius",
         *(["sequence"] if own == "a" else []),
+        *[f"{c} AS {c}_{own}" for c in carry],
     )
 
 
-def seed_pairs(sequenced: DataFrame, config: BuildConfig = DEFAULT) -> DataFrame:
-    """Candidate pairs of two frames whose implied rate is within the limit."""
+def seed_pairs(
+    sequenced: DataFrame, config: BuildConfig = DEFAULT, carry: tuple = (), extra: str | None = None
+) -> DataFrame:
+    """Candidate pairs of two frames whose implied rate is within the limit.
+
+    A column ``c`` of ``carry`` comes as ``c_a`` and ``c_b``; ``extra`` is a
+    further condition on both sides.
+    """
     return cell_join(
-        _side(sequenced, "a", "b", config.max_rate_arcsec_per_min),
-        _side(sequenced, "b", "a", config.max_rate_arcsec_per_min),
+        _side(sequenced, "a", "b", config.max_rate_arcsec_per_min, carry),
+        _side(sequenced, "b", "a", config.max_rate_arcsec_per_min, carry),
         "seed_radius",
         on=["build_id", "frame_a", "frame_b"],
         left_pos=("ra_a", "dec_a"),
         right_pos=("ra_b", "dec_b"),
         cell_factor=2.0,
+        extra=extra,
     )
 
 
@@ -153,7 +162,7 @@ def _member(frame, det, minutes, ra, dec) -> str:
     )
 
 
-def seed_predictions(seeds: DataFrame) -> DataFrame:
+def seed_predictions(seeds: DataFrame, carry: tuple = ()) -> DataFrame:
     """Where each seed should be in every other frame of its build."""
     others = "filter(sequence, f -> f.frame_no <> frame_a AND f.frame_no <> frame_b)"
     wide = seeds.selectExpr(
@@ -163,6 +172,7 @@ def seed_predictions(seeds: DataFrame) -> DataFrame:
         f"{bearing('ra_b', 'dec_b', 'ra_a', 'dec_a')} + pi() AS heading",
         "separation / (minutes_b - minutes_a) AS rate",
         f"explode({others}) AS o",
+        *carry,
     )
     wide = wide.selectExpr("*", "rate * (o.minutes - second.minutes) AS distance")
     ra, dec = offset_position("second.ra", "second.dec", "heading", "distance")
@@ -174,6 +184,7 @@ def seed_predictions(seeds: DataFrame) -> DataFrame:
         "o.minutes AS minutes",
         f"{ra} AS pred_ra",
         f"{dec} AS pred_dec",
+        *carry,
     )
 
 
