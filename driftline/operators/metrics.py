@@ -7,11 +7,6 @@ A scored table has ``field_id, grp, night, tracklet_no`` (input order),
 
 from __future__ import annotations
 
-import hashlib
-import random
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +17,13 @@ from driftline.operators.ordered import (
     quantiles,
     running_totals,
 )
+from driftline.operators.resampling import (  # noqa: F401
+    BOOTSTRAP_RESAMPLES,
+    CI_LEVEL,
+    METRIC_SALT,
+    bootstrap_seed,
+    group_bootstrap,
+)
 
 POSITIVE, AUXILIARY, BACKGROUND, NOT_RANKED = "positive", "auxiliary", "background", "not_ranked"
 
@@ -29,11 +31,6 @@ POSITIVE, AUXILIARY, BACKGROUND, NOT_RANKED = "positive", "auxiliary", "backgrou
 PRIMARY_FRACTION = 0.05
 SECONDARY_FRACTIONS = (0.01, 0.02, 0.10, 0.20)
 SECONDARY_BUDGETS = (10, 25, 50)
-BOOTSTRAP_RESAMPLES = 2000
-CI_LEVEL = 0.95
-METRIC_SALT = "AS-037"
-# Draws held in memory at a time by one bootstrap task.
-_DRAW_BLOCK = 1_000_000
 
 
 def oriented_score(value: str, direction: int) -> str:
@@ -167,90 +164,7 @@ def missing_rates(long: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-# --- grouped bootstrap --------------------------------------------------------
-
-
-def bootstrap_seed(label: str, salt: str = METRIC_SALT) -> int:
-    return int(hashlib.sha256(f"{salt}:{label}".encode()).hexdigest()[:16], 16)
-
-
-def _draw(batches):
-    """Multiplicities of the drawn groups, for each label and resample.
-
-    The standard library generator fixes the published draws; its state is
-    handed to numpy, which continues the same stream in blocks of resamples.
-    """
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            n = len(row.groups)
-            state = random.Random(int(row.seed)).getstate()[1]
-            stream = np.random.RandomState()
-            stream.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
-            names = np.asarray(row.groups, dtype=object)
-            resamples = int(row.resamples)
-            block = max(1, min(resamples, _DRAW_BLOCK // n))
-            for start in range(0, resamples, block):
-                size = min(block, resamples - start)
-                picked = np.floor(stream.random_sample(size * n) * n).astype(np.int64)
-                picked += np.repeat(np.arange(size), n) * n
-                counts = np.bincount(picked, minlength=size * n)
-                hit = np.flatnonzero(counts)
-                yield pd.DataFrame(
-                    {
-                        "label": row.label,
-                        "resample": start + hit // n,
-                        "grp": names[hit % n],
-                        "times": counts[hit],
-                    }
-                )
-
-
-def group_bootstrap(
-    parts: DataFrame,
-    resamples: int = BOOTSTRAP_RESAMPLES,
-    level: float = CI_LEVEL,
-    salt: str = METRIC_SALT,
-) -> DataFrame:
-    """Percentile intervals of ratios, resampling whole groups.
-
-    ``parts`` has one row per ``label`` and ``grp`` with ``numerator`` and
-    ``denominator`` already summed over the group's rows, so the resamples
-    touch group totals, not rows. Labels are drawn independently in parallel.
-    Resamples without weight are left out.
-    """
-    # One row per label: its group names (not its rows).
-    labels = parts.groupBy("label").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
-    seed = f"conv(substring(sha2(concat('{salt}:', label), 256), 1, 16), 16, 10)"
-    labels = labels.selectExpr("label", "groups", f"{seed} AS seed", f"{resamples} AS resamples")
-    draws = spread_labels(labels).mapInPandas(
-        _draw, "label string, resample long, grp string, times long"
-    )
-    sums = (
-        draws.join(parts, ["label", "grp"])
-        .groupBy("label", "resample")
-        .agg(
-            F.sum(F.col("times") * F.col("numerator")).alias("n"),
-            F.sum(F.col("times") * F.col("denominator")).alias("d"),
-        )
-        .where("d <> 0")
-        .selectExpr("label", "n / d AS value")
-    )
-    alpha = (1 - level) / 2
-    values = sums.groupBy("label").agg(F.array_sort(F.collect_list("value")).alias("v"))
-    ci = values.selectExpr(
-        "label",
-        f"v[CAST(greatest(0, floor({alpha!r}D * size(v))) AS INT)] AS lower",
-        f"v[CAST(least(size(v) - 1, ceil({1 - alpha!r}D * size(v)) - 1) AS INT)] AS upper",
-    )
-    points = parts.groupBy("label").agg(
-        F.expr("sum(numerator) / nullif(sum(denominator), 0D)").alias("point")
-    )
-    return points.join(ci, "label", "left")
-
-
-def spread_labels(labels: DataFrame) -> DataFrame:
-    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return labels.repartition(n, "label")
+# --- group totals for the bootstrap -------------------------------------------
 
 
 def ratio_parts(

@@ -1,12 +1,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import stats
 from driftline.operators import decisions as D
 from driftline.operators import metrics as M
+from driftline.operators import resampling as R
 
 SCHEMA = "field_id string, grp string, night string, tracklet_no long, designation string, label string, score double"
 
@@ -67,6 +69,25 @@ def test_bootstrap_reproduces_the_published_draws(spark):
         assert got[label] == pytest.approx(brute_bootstrap(groups, label, 400), abs=1e-12)
 
 
+def test_bootstrap_in_ranges_and_blocks(spark):
+    groups = {f"G-{i:03}": (float(i % 7), float(1 + i % 4)) for i in range(60)}
+    rows = [("a", g, *v) for g, v in groups.items()] + [("none", "G-1", 0.0, 0.0), ("null", "G-1", None, 2.0), ("null", "G-2", 1.0, None)]
+    parts = spark.createDataFrame(rows, "label string, grp string, numerator double, denominator double")
+    small = M.group_bootstrap(parts, resamples=90, task_draws=60 * 7, group_block=13)
+    got = {r.label: (r.point, r.lower, r.upper) for r in small.collect()}
+    assert got["a"][1:] == pytest.approx(brute_bootstrap(groups, "a", 90), abs=1e-12)
+    assert got["none"] == (None, None, None)
+    assert got["null"][0] == 0.5 and got["null"][1] is not None
+    assert M.group_bootstrap(parts.limit(0)).count() == 0
+
+
+def test_draws_in_small_blocks_are_the_same_stream(monkeypatch):
+    whole = np.concatenate([c for _, c in R.multiplicities(R.label_stream("x"), 40, 30, 0, 40)])
+    monkeypatch.setattr(R, "DRAW_BLOCK", 17)
+    parts = [np.concatenate([c for _, c in R.multiplicities(R.label_stream("x"), 40, 30, lo, lo + 20)]) for lo in (0, 20)]
+    assert np.array_equal(whole, np.concatenate(parts, axis=1)) and (whole.sum(axis=1) == 40).all()
+
+
 def test_weighted_median(spark):
     df = spark.createDataFrame([(0.1, 1.0), (0.2, 1.0), (0.9, 3.0)], "q double, weight double")
     assert M.weighted_median(df, []).first().median_q == 0.9
