@@ -303,3 +303,71 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 cte("scored", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _SCORED.items()) + " FROM lineitem")
+
+
+# The scored tracklets with twelve features, and what their strata need.
+MORE_FEATURES = {
+    "net": "l_extendedprice*(1e0-l_discount)",
+    "unit": "CASE WHEN mod(l_partkey,29)=3 THEN NULL ELSE l_extendedprice/l_quantity END",
+    "charge": "l_extendedprice*(1e0+l_tax)",
+    "line": "CAST(l_linenumber AS DOUBLE)",
+    "batch": "CAST(mod(l_orderkey,97) AS DOUBLE)",
+    "part": "CAST(mod(l_partkey,89) AS DOUBLE)",
+    "gap": "abs(l_discount-l_tax)",
+    "blend": "CAST(mod(l_orderkey*7+l_partkey*3,1013) AS DOUBLE)",
+}
+_CONTEXT = {
+    "masked_detection_count": "mod(l_linenumber+l_orderkey,4)",
+    "shares_detection_with_positive": "l_returnflag='N' AND mod(l_orderkey,7)=2",
+}
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    exprs = {**_SCORED, **MORE_FEATURES, **_CONTEXT}
+    return read(spark, sf, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in exprs.items()])
+
+
+cte(
+    "labelled",
+    "SELECT " + ", ".join(f"{e} AS {n}" for n, e in {**_SCORED, **MORE_FEATURES, **_CONTEXT}.items()) + " FROM lineitem",
+)
+
+# Field conditions from suppliers, targets from the labelled objects.
+_FIELD = {
+    "field_id": "concat('F',CAST(s_suppkey AS STRING))",
+    "population": "CASE WHEN mod(s_suppkey,3)=0 THEN 'sparse' ELSE 'dense' END",
+}
+
+
+def field_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "supplier").selectExpr(
+        *[f"{e} AS {n}" for n, e in _FIELD.items()],
+        "array(1000*mod(s_suppkey,120), 1000*mod(s_suppkey,120)+3000) AS sources_per_frame",
+        "if(mod(s_suppkey,4)=0, array('zr','zr'), array('zg','zr')) AS filters",
+    )
+
+
+cte(
+    "fcond",
+    "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _FIELD.items())
+    + ", (2000*mod(s_suppkey,120)+3000)/2e0 AS sources, CASE WHEN mod(s_suppkey,4)=0 THEN 'single' ELSE 'mixed' END AS filters FROM supplier",
+)
+_TARGET = {
+    "role": "any_value(role)",
+    "proximity_group": "any_value(proximity_group)",
+    "min_global_margin_mag": "CASE WHEN max(mod(tracklet_no,13))=5 THEN NULL ELSE max(mod(tracklet_no,13))/5e0-5e-1 END",
+    "rate_arcsec_per_min": "max(mod(tracklet_no,17))/1.5e1-5e-2",
+}
+
+
+def stratum_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return labelled(spark, sf).where("label = 'positive'").groupBy("field_id", "designation").agg(
+        *[F.expr(e).alias(n) for n, e in _TARGET.items()]
+    )
+
+
+cte(
+    "stgt",
+    "SELECT field_id, designation, " + ", ".join(f"{e} AS {n}" for n, e in _TARGET.items())
+    + " FROM labelled WHERE label='positive' GROUP BY 1,2",
+)

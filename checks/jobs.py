@@ -372,7 +372,7 @@ def ranker_evaluation(spark, sf):
 def logistic_cross_validation(spark, sf):
     t = table(spark, sf)
     folds = N.fold_of_groups(t.select("grp"))
-    scored = A.cross_validated(t, [n for n, _ in FEATURES], folds, 1.0)
+    scored = A.cross_validated(t, [n for n, _ in FEATURES], folds)
     return M.recall_metrics(M.rank_positives(scored, ["ranker"]), ["ranker"])
 
 

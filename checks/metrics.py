@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from checks import data
+from checks.draws import intervals_sql
 from checks.registry import cte, query, with_ctes
 from driftline.functions.stats import newcombe, wilson
 from driftline.operators import decisions as D
@@ -176,7 +177,20 @@ def feature_missing_rates(spark, sf):
     )
 
 
-@query("bootstrap_intervals")
+cte(
+    "rparts",
+    "SELECT 'scored/recall5' AS label, grp, sum(CASE WHEN q<=5e-2 THEN weight ELSE 0e0 END) AS numerator, sum(weight) AS denominator FROM rpos GROUP BY grp"
+    " UNION ALL SELECT 'scored/auc', grp, sum(weight*(1-q)), sum(weight) FROM rpos GROUP BY grp",
+)
+
+
+@query(
+    "bootstrap_intervals",
+    with_ctes(
+        "SELECT label, round(point,9) AS point, round(lower,9) AS lower, round(upper,9) AS upper FROM ("
+        + intervals_sql("SELECT * FROM rparts", ["scored/recall5", "scored/auc"]) + ")"
+    ),
+)
 def bootstrap_intervals(spark, sf):
     pos = positives(spark, sf)
     parts = M.ratio_parts(pos, "'scored/'", {"recall5": "q <= 0.05D", "auc": "1D - q"})
@@ -185,30 +199,57 @@ def bootstrap_intervals(spark, sf):
     )
 
 
-@query("paired_difference")
+_PAIR = (
+    "SELECT 'quantity-price' AS label, a.grp, sum(a.weight*(CASE WHEN a.q<=5e-2 THEN 1 ELSE 0 END-CASE WHEN b.q<=5e-2 THEN 1 ELSE 0 END)) AS numerator,"
+    " sum(a.weight) AS denominator FROM fpos a JOIN fpos b USING (field_id, designation) WHERE a.ranker='quantity' AND b.ranker='price' GROUP BY a.grp"
+)
+
+
+@query(
+    "paired_difference",
+    with_ctes(
+        "SELECT label, round(point,9) AS point, round(lower,9) AS lower, round(upper,9) AS upper FROM ("
+        + intervals_sql(_PAIR, ["quantity-price"]) + ")"
+    ),
+)
 def paired_difference(spark, sf):
     pos = M.rank_positives(feature_scores(spark, sf), ["ranker"])
     a, b = pos.where("ranker = 'quantity'"), pos.where("ranker = 'price'")
-    return M.group_bootstrap(M.paired_difference_parts(a, b, "quantity-price"))
+    out = M.group_bootstrap(M.paired_difference_parts(a, b, "quantity-price"))
+    return out.selectExpr("label", *_round(["point", "lower", "upper"]))
+
+
+_TWELVE = [*[n for n, _ in FEATURES], *data.MORE_FEATURES]
+_BG = "labelled WHERE label='background'"
+cte(
+    "rho",
+    " UNION ALL ".join(
+        f"""
+SELECT '{a}' AS a, '{b}' AS b, {f} AS field_id, CASE WHEN count(*)>=3 AND stddev_pop(rx)>0 AND stddev_pop(ry)>0 THEN corr(rx,ry) END AS rho FROM (SELECT field_id,
+ rank() OVER ({w} ORDER BY {a}) + (count(*) OVER (PARTITION BY {c}{a})-1)/2e0 AS rx,
+ rank() OVER ({w} ORDER BY {b}) + (count(*) OVER (PARTITION BY {c}{b})-1)/2e0 AS ry
+ FROM {_BG} AND {a} IS NOT NULL AND {b} IS NOT NULL) GROUP BY {f}"""
+        for i, a in enumerate(_TWELVE)
+        for b in _TWELVE[i + 1 :]
+        for f, w, c in (("'all'", "", ""), ("field_id", "PARTITION BY field_id", "field_id, "))
+    ),
+)
 
 
 @query(
     "spearman_matrix",
     with_ctes(
-        " UNION ALL ".join(
-            f"""
-SELECT '{a}' AS a, '{b}' AS b, round(corr(rx,ry),6) AS pooled FROM (SELECT
- rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a})-1)/2e0 AS rx,
- rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b})-1)/2e0 AS ry
- FROM scored WHERE label='background' AND {a} IS NOT NULL AND {b} IS NOT NULL)"""
-            for i, (a, _) in enumerate(FEATURES)
-            for b, _ in FEATURES[i + 1 :]
-        )
+        f"""
+SELECT a, b, round(any_value(rho) FILTER (field_id='all'),6) AS pooled, round(median(rho) FILTER (field_id<>'all' AND n>=10),6) AS field_median
+FROM rho LEFT JOIN (SELECT field_id, count(*) AS n FROM {_BG} GROUP BY 1) USING (field_id) GROUP BY a, b
+"""
     ),
 )
 def spearman_matrix(spark, sf):
-    bg = data.scored(spark, sf).where("label = 'background'")
-    return M.spearman_matrices(bg, [n for n, _ in FEATURES]).selectExpr("a", "b", "round(pooled,6) AS pooled")
+    bg = data.labelled(spark, sf).where("label = 'background'")
+    return M.spearman_matrices(bg, _TWELVE).selectExpr(
+        "a", "b", "round(pooled,6) AS pooled", "round(field_median,6) AS field_median"
+    )
 
 
 @query(
@@ -373,7 +414,32 @@ def recall_guards(spark, sf):
     )
 
 
-@query("usefulness_decision")
+def _guard(rule: tuple) -> str:
+    p, r, least = rule
+    return (
+        f"SELECT coalesce(sum(weight) FILTER ({p}),0)>={least} AND coalesce(sum(weight) FILTER ({r}),0)>0 AS evaluable,"
+        f" coalesce(sum(weight) FILTER (({p}) AND q<=0.05),0)/sum(weight) FILTER ({p})"
+        f" - coalesce(sum(weight) FILTER (({r}) AND q<=0.05),0)/sum(weight) FILTER ({r}) >= -{D.PROTECTION_MARGIN} AS held FROM rpos"
+    )
+
+
+_useful = f"recall>={D.USEFUL_RECALL} AND lower>={D.USEFUL_LOWER}"
+
+
+@query(
+    "usefulness_decision",
+    with_ctes(
+        f"""
+SELECT 'scored' AS ranker, round(objects,6) AS objects, fields_with_positive, round(recall,9) AS recall, round(lower,9) AS lower, round(upper,9) AS upper,
+ CASE WHEN objects<{D.MIN_POSITIVE_OBJECTS} OR fields_with_positive<{D.MIN_POSITIVE_FIELDS} OR recall IS NULL OR lower IS NULL THEN 'INCONCLUSIVE'
+ WHEN upper<{D.USEFUL_RECALL} THEN 'NOT USEFUL' WHEN {_useful} AND failed>0 THEN 'USEFUL, NOT PROTECTED' WHEN {_useful} AND sure THEN 'USEFUL, PROTECTED'
+ WHEN {_useful} THEN 'USEFUL, PROTECTION UNVERIFIED' ELSE 'INCONCLUSIVE' END AS verdict
+FROM (SELECT sum(weight) AS objects, CAST(count(DISTINCT field_id) AS BIGINT) AS fields_with_positive, coalesce(sum(weight) FILTER (q<=5e-2),0)/sum(weight) AS recall FROM rpos),
+ ({intervals_sql("SELECT * FROM rparts WHERE label='scored/recall5'", ["scored/recall5"])}) i,
+ (SELECT count(*) FILTER (evaluable AND NOT held) AS failed, bool_and(evaluable) AS sure FROM ({" UNION ALL ".join(_guard(r) for r in D.DECIDING_GUARDS.values())}))
+"""
+    ),
+)
 def usefulness_decision(spark, sf):
     pos = positives(spark, sf).withColumn("ranker", F.lit("scored"))
     ci = M.group_bootstrap(M.ratio_parts(pos, "concat(ranker, '/')", {"recall5": "q <= 0.05D"}))
@@ -382,7 +448,8 @@ def usefulness_decision(spark, sf):
     ).join(ci.select("label", "lower", "upper"), "label")
     rows = D.guards(pos, ["ranker"], D.DECIDING_GUARDS)
     return D.usefulness(metrics, rows, ["ranker"]).select(
-        "ranker", "objects", "fields_with_positive", "recall", "lower", "upper", "verdict"
+        "ranker", F.round("objects", 6).alias("objects"), "fields_with_positive",
+        *[F.round(c, 9).alias(c) for c in ("recall", "lower", "upper")], "verdict",
     )
 
 

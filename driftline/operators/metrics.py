@@ -210,23 +210,65 @@ def spearman(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> D
     return out
 
 
-def feature_pairs(wide: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """One row per pair of features a < b (in list order) and table row."""
-    pairs = [
-        f"'{a}', '{b}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)"
-        for i, a in enumerate(features)
-        for b in features[i + 1 :]
+def _feature_ranks(rows: DataFrame, keys: list[str], features: list[str], gaps: list[str]) -> DataFrame:
+    """``_row``, keys and for every feature an array of its average ranks: the
+    first among all present values, the others among the rows in which a
+    feature of ``gaps`` is present too.
+
+    One pass over the distinct values of all features: a running count of all
+    rows and one of the rows that lack each gap feature; their difference is
+    the running count of the others.
+    """
+    items = ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features)
+    lacks = [f"CAST({g} IS NULL AS LONG) AS _lack_{g}" for g in gaps]
+    long = rows.selectExpr("_row", *keys, *lacks, f"stack({len(features)}, {items}) AS (feature, value)").where(
+        "value IS NOT NULL"
+    )
+    group = [*keys, "feature"]
+    counts = long.groupBy(*group, "value").agg(
+        F.count("*").alias("_n"), *[F.sum(f"_lack_{g}").alias(f"_n_{g}") for g in gaps]
+    )
+    run = running_totals(counts, group, ["value"], {"all": F.col("_n"), **{f"lack_{g}": F.col(f"_n_{g}") for g in gaps}})
+    ranks = ["all_before + (_n + 1) / 2D"] + [
+        f"all_before - lack_{g}_before + (_n - _n_{g} + 1) / 2D" for g in gaps
+    ]
+    placed = run.selectExpr(*group, "value", f"array({', '.join(ranks)}) AS ranks")
+    return long.select("_row", *group, "value").join(placed, [*group, "value"]).groupBy("_row", *keys).agg(
+        *[F.first(F.when(F.col("feature") == f, F.col("ranks")), ignorenulls=True).alias(f"_r_{f}") for f in features]
+    )
+
+
+def _pair_correlations(wide: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+    """``a, b, n, rho`` of all pairs a < b, pairwise complete, from one
+    aggregate of the rank arrays. Every feature is ranked once."""
+    rows = cut_lineage(wide.select(*keys, *features).withColumn("_row", F.monotonically_increasing_id()))
+    nulls = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    gaps = [f for f in features if nulls[f]]
+    ranked = _feature_ranks(rows, keys, features, gaps)
+    place = {f: gaps.index(f) + 1 if f in gaps else 0 for f in features}
+    # Pairs are dealt inside the row and combined in the task: what is shuffled
+    # is one row per pair and key. (An aggregate with columns for each pair
+    # would be too large to compile.)
+    items = [
+        f"'{a}', '{b}', _r_{a}[{place[b]}], _r_{b}[{place[a]}]"
+        for i, a in enumerate(features) for b in features[i + 1 :]
     ]
-    return wide.selectExpr(*keys, f"stack({len(pairs)}, {', '.join(pairs)}) AS (a, b, x, y)")
+    pairs = ranked.selectExpr(*keys, f"stack({len(items)}, {', '.join(items)}) AS (a, b, x, y)")
+    return pairs.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "a", "b").agg(
+        F.count("*").alias("n"),
+        F.expr("if(count(*) >= 3, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0D), NULL)").alias("rho"),
+    )
 
 
 def spearman_matrices(wide: DataFrame, features: list[str], min_rows: int = 10) -> DataFrame:
     """Pooled correlation and the median over fields with enough rows."""
-    pairs = cut_lineage(feature_pairs(wide, ["field_id"], features))
-    pooled = spearman(pairs, ["a", "b"]).select("a", "b", F.col("rho").alias("pooled"))
-    fields = spearman(pairs, ["field_id", "a", "b"])
-    sizes = pairs.groupBy("field_id", "a", "b").agg(F.count("*").alias("_all"))
-    usable = fields.join(sizes, ["field_id", "a", "b"]).where(F.col("_all") >= min_rows)
+    names = ", ".join(f"'{a}', '{b}'" for i, a in enumerate(features) for b in features[i + 1 :])
+    every = wide.sparkSession.range(1).selectExpr(f"stack({len(features) * (len(features) - 1) // 2}, {names}) AS (a, b)")
+    found = _pair_correlations(wide, [], features).select("a", "b", F.col("rho").alias("pooled"))
+    pooled = every.join(found, ["a", "b"], "left")
+    fields = _pair_correlations(wide, ["field_id"], features)
+    sizes = wide.groupBy("field_id").agg(F.count("*").alias("_all")).where(F.col("_all") >= min_rows)
+    usable = fields.join(sizes, "field_id")
     per_field = quantiles(usable, ["a", "b"], "rho", {"field_median": 0.5}).drop("count")
     return pooled.join(per_field, ["a", "b"], "left")
 

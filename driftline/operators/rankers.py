@@ -6,10 +6,8 @@ column per feature (missing = 0).
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,11 +50,8 @@ def fixed_scores(table: DataFrame, features, tracklet: str = "tracklet_id") -> D
 
 def frozen_scores(table: DataFrame, weights: dict[str, float], intercept: float, name: str) -> DataFrame:
     """intercept + sum of weight x percentile, added in the given order."""
-    score = f"{float(intercept)!r}D"
-    for feature, weight in weights.items():
-        score = f"({score} + {float(weight)!r}D * {feature})"
     others = [c for c in table.columns if c not in weights]
-    return table.selectExpr(*others, f"'{name}' AS ranker", f"{score} AS score")
+    return table.selectExpr(*others, f"'{name}' AS ranker", f"{linear_sql(weights, intercept)} AS score")
 
 
 def training_set(table: DataFrame) -> DataFrame:
@@ -68,39 +63,111 @@ def training_set(table: DataFrame) -> DataFrame:
     )
 
 
-def logistic_fit(training: DataFrame, features: list[str], c: float):
-    """L2 logistic model minimising 0.5 |w|² + c · sum(weight · loss), with an
-    unpenalised intercept. The mean-loss form of the estimator needs the
-    penalty 1 / (c · total weight)."""
-    total = training.agg(F.sum("sample_weight")).first()[0]
-    data = VectorAssembler(inputCols=features, outputCol="features").transform(training)
-    fit = LogisticRegression(
-        featuresCol="features", labelCol="target", weightCol="sample_weight",
-        regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False,
-        fitIntercept=True, tol=1e-12, maxIter=500,
-    ).fit(data)
-    return dict(zip(features, map(float, fit.coefficients))), float(fit.intercept)
-
-
-def cross_validated(table: DataFrame, features: list[str], folds: DataFrame, c: float) -> DataFrame:
-    """Out-of-fold linear scores of one penalty. ``folds``: ``grp, fold``.
-
-    The loop runs over the five folds, never over rows.
+# --- logistic models: all penalties and folds in one scan per step ------------
+
+
+def _row_sums(features: list[str], models: list[tuple[float, int | None]], weights: np.ndarray):
+    """Per task and model: loss, gradient and upper half of the Hessian."""
+    upper = np.triu_indices(len(features) + 1)
+
+    def run(batches):
+        sums = np.zeros((len(models), 1 + len(features) + 1 + len(upper[0])))
+        for batch in batches:
+            x = np.column_stack([*[batch[f].to_numpy(dtype=float) for f in features], np.ones(len(batch))])
+            target, weight = batch["target"].to_numpy(dtype=float), batch["sample_weight"].to_numpy(dtype=float)
+            fold = batch["fold"].to_numpy()
+            for m, (_, out) in enumerate(models):
+                use = slice(None) if out is None else fold != out
+                xm, ym, wm = x[use], target[use], weight[use]
+                z = xm @ weights[m]
+                p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+                loss = (wm * (np.logaddexp(0.0, z) - ym * z)).sum()
+                hessian = (xm * (wm * p * (1.0 - p))[:, None]).T @ xm
+                sums[m] += np.concatenate([[loss], xm.T @ (wm * (p - ym)), hessian[upper]])
+        yield pd.DataFrame({"model": np.arange(len(models)), "sums": list(sums)})
+
+    return run
+
+
+def fit_models(
+    training: DataFrame, features: list[str], models: list[tuple[float, int | None]],
+    tolerance: float = 1e-9, max_steps: int = 60,
+) -> list[tuple[dict[str, float], float]]:
+    """(weights, intercept) of every model (c, fold left out or None).
+
+    A model minimises 0.5 |w|^2 + c * sum(weight * loss) with an unpenalised
+    intercept. Newton's method for all of them at once: a step is one scan of
+    ``training`` (``target, sample_weight, fold`` and features), in which every
+    task adds up losses, gradients and Hessians; a few numbers per model come
+    to the driver. A step that does not lower the objective is halved.
     """
-    rows = cut_lineage(table.join(folds, "grp"))
-    training = cut_lineage(training_set(rows))
-    parts = []
-    for fold in range(CV_FOLDS):
-        used = training.where(F.col("fold") != fold)
-        if used.limit(1).count() == 0:
-            continue
-        weights, intercept = logistic_fit(used, features, c)
-        parts.append(
-            frozen_scores(rows.where(F.col("fold") == fold), weights, intercept, f"M2:C={c:g}")
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    size = len(features) + 1
+    upper = np.triu_indices(size)
+    weights = np.zeros((len(models), size))
+    best, loss = weights.copy(), np.full(len(models), np.inf)
+    step = np.zeros_like(weights)
+    width = 1 + size + len(upper[0])
+    rows = training.select(*[F.col(f).cast("double").alias(f) for f in features], "target", "sample_weight", "fold")
+    for _ in range(max_steps):
+        parts = rows.mapInPandas(_row_sums(features, models, weights), "model int, sums array<double>")
+        total = parts.groupBy("model").agg(F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(width)]).alias("sums"))
+        found = {r["model"]: np.array(r["sums"]) for r in total.collect()}
+        open_models = False
+        for m, (c, _) in enumerate(models):
+            sums = found.get(m, np.zeros(width))
+            slope = np.append(weights[m][:-1], 0.0) + c * sums[1 : 1 + size]
+            value = 0.5 * (weights[m][:-1] ** 2).sum() + c * sums[0]
+            if value > loss[m] + 1e-12 * abs(loss[m]):
+                step[m] /= 2.0
+                weights[m] = best[m] - step[m]
+                open_models = True
+                continue
+            best[m], loss[m] = weights[m], value
+            if np.abs(slope).max() <= tolerance * max(1.0, c):
+                continue
+            hessian = np.zeros((size, size))
+            hessian[upper] = c * sums[1 + size :]
+            hessian = hessian + np.triu(hessian, 1).T
+            hessian[np.arange(size - 1), np.arange(size - 1)] += 1.0
+            step[m] = np.linalg.lstsq(hessian, slope, rcond=None)[0]
+            weights[m] = best[m] - step[m]
+            open_models = True
+        if not open_models:
+            return [(dict(zip(features, map(float, w[:-1]), strict=True)), float(w[-1])) for w in best]
+    raise RuntimeError("a logistic model did not converge")
+
+
+def logistic_fit(training: DataFrame, features: list[str], c: float):
+    """Weights and intercept of one model on all rows of ``training``."""
+    return fit_models(training.withColumn("fold", F.lit(0)), features, [(c, None)])[0]
+
+
+def linear_sql(weights: dict[str, float], intercept: float) -> str:
+    """intercept + sum of weight x percentile, added in the given order."""
+    score = f"{float(intercept)!r}D"
+    for feature, weight in weights.items():
+        score = f"({score} + {float(weight)!r}D * {feature})"
+    return score
 
 
+def cross_validated(
+    table: DataFrame, features: list[str], folds: DataFrame, cs=LOGISTIC_C_GRID
+) -> DataFrame:
+    """Out-of-fold linear scores of every penalty, long. ``folds``: ``grp,
+    fold``. All models are fitted together; a row's score is that of the model
+    that left its fold out."""
+    rows = cut_lineage(table.join(folds, "grp"))
+    models = [(c, fold) for c in cs for fold in range(CV_FOLDS)]
+    fits = fit_models(cut_lineage(training_set(rows)), features, models)
+    items = []
+    for c in cs:
+        cases = " ".join(
+            f"WHEN {fold} THEN {linear_sql(*fit)}"
+            for (own, fold), fit in zip(models, fits, strict=True) if own == c
+        )
+        items.append(f"'M2:C={c:g}', CASE fold {cases} END")
+    others = [c for c in rows.columns if c not in features]
+    return rows.selectExpr(*others, f"stack({len(items)}, {', '.join(items)}) AS (ranker, score)")
 
 
 def compare_scores(a: DataFrame, b: DataFrame) -> DataFrame:

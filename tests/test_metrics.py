@@ -251,3 +251,39 @@ def test_fisher_of_large_counts_is_linear(spark):
     ).first()
     # Two shares of 0.4 and 0.401 of a million each: about 1.44 standard errors.
     assert row.fisher_p == pytest.approx(0.1488, abs=0.003)
+
+
+def test_correlations_with_gaps_equal_the_pairwise_ones(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(160):
+        x = rng.randint(0, 9)
+        vals = [x, x + rng.randint(0, 6), rng.choice([None, -x, 3]), rng.choice([None, None, x * x]), None]
+        rows.append((f"F{k % 7}", *[None if v is None else float(v) for v in vals]))
+    names = ["a", "b", "c", "d", "e"]
+    wide = spark.createDataFrame(rows, "field_id string, " + ", ".join(f"{n} double" for n in names))
+    got = {(r.a, r.b): r.pooled for r in M.spearman_matrices(wide, names, min_rows=5).collect()}
+    assert len(got) == 10
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            want = M.spearman(wide.selectExpr("1 AS k", f"{a} AS x", f"{b} AS y"), ["k"]).first()
+            assert got[a, b] == (None if want is None else pytest.approx(want.rho, abs=1e-12))
+
+
+def test_models_are_at_the_optimum(spark):
+    from driftline.operators import rankers
+
+    rng = random.Random(2)
+    rows = [(rng.random(), rng.random(), float(rng.random() < 0.3), rng.random(), k % 5) for k in range(300)]
+    training = spark.createDataFrame(rows, "u double, v double, target double, sample_weight double, fold int")
+    models = [(0.01, 0), (10.0, 3), (1.0, None)]
+    for (c, fold), (weights, intercept) in zip(models, rankers.fit_models(training, ["u", "v"], models), strict=True):
+        slope = np.zeros(3)
+        for u, v, y, s, f in rows:
+            if f != fold:
+                error = s * (1 / (1 + math.exp(-(weights["u"] * u + weights["v"] * v + intercept))) - y)
+                slope += c * error * np.array([u, v, 1.0])
+        assert np.abs(slope + [weights["u"], weights["v"], 0.0]).max() < 1e-7
+    separable = training.selectExpr("u", "v", "CAST(u > 0.5 AS DOUBLE) AS target", "sample_weight", "fold")
+    (weights, _), = rankers.fit_models(separable, ["u", "v"], [(1000.0, None)])
+    assert weights["u"] > 20
