@@ -44,6 +44,10 @@ NEAR_EDGE = 600.0
 HALO_BIT = 12
 TRACK_BIT = 0
 CLASSES = len(MAG_EDGES) - 1
+# How far a search for the nearest star grows, arcsec, and by what factor.
+WHOLE_SKY, GROWTH = 648_000.0, 4.0
+# Where rings are judged in the tangent plane, and the room left for its stretch.
+CLEAR_MAX_DEC, CLEAR_MAX_RADIUS, CLEAR_FACTOR = 75.0, 10_800.0, 1.05
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
@@ -109,8 +113,8 @@ def nearest_by_class(positions: DataFrame, stars: DataFrame, key: list[str]) ->
     separation, v_mag, star_id``.
 
     Most positions have a star within the reach: those come from the radius
-    join. For the rest (classes that are rare around them) the stars of that
-    field and class are compared directly.
+    join. For the rest (classes that are rare around them) it is repeated with
+    a growing radius: a star found within it is the nearest one.
     """
     full = ["field_id", *[k for k in key if k != "field_id"]]
     points = positions.select(*full, F.col("ra").alias("p_ra"), F.col("dec").alias("p_dec"))
@@ -138,13 +142,24 @@ def nearest_by_class(positions: DataFrame, stars: DataFrame, key: list[str]) ->
         .drop("classes")
         .join(near, [*full, "mag_class"], "left_anti")
     )
-    far = (
-        open_pairs.join(catalog, ["field_id", "mag_class"])
-        .withColumn("separation", F.expr(separation("p_ra", "p_dec", "star_ra", "star_dec")))
-        .groupBy(*full, "mag_class")
-        .agg(best)
-    )
-    return near.unionByName(far).select(*full, "mag_class", "best.*")
+    # The rest grows its cells: a round looks four times as far as the one
+    # before and drops what it has found, so no position meets the stars of a
+    # whole field unless they are all it has within the last reach.
+    found, reach = near, STAR_REACH
+    open_pairs = cut_lineage(open_pairs)
+    while reach < WHOLE_SKY and not open_pairs.isEmpty():
+        reach = min(WHOLE_SKY, GROWTH * reach)
+        far = cut_lineage(
+            cell_join(
+                open_pairs, catalog, reach, on=["field_id", "mag_class"], left_pos=("p_ra", "p_dec"),
+                right_pos=("star_ra", "star_dec"), cell_factor=1.0,
+            )
+            .groupBy(*full, "mag_class")
+            .agg(best)
+        )
+        found = found.unionByName(far)
+        open_pairs = cut_lineage(open_pairs.join(far, [*full, "mag_class"], "left_anti"))
+    return found.select(*full, "mag_class", "best.*")
 
 
 def proximity(positions: DataFrame, stars: DataFrame, key: list[str]) -> DataFrame:
@@ -183,23 +198,54 @@ def closest_approach(per_position: DataFrame, key: list[str]) -> DataFrame:
 # --- stacked profiles -----------------------------------------------------------
 
 
+def edge_distance_sql(x: str, y: str, edges: str = "fp_edges") -> str:
+    """Distance of a tangent-plane point from the nearest edge of a polygon."""
+    along = (
+        f"greatest(0D, least(1D, (({x} - e.x1) * (e.x2 - e.x1) + ({y} - e.y1) * (e.y2 - e.y1))"
+        " / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0D)))"
+    )
+    dx = f"({x} - e.x1 - coalesce({along}, 0D) * (e.x2 - e.x1))"
+    dy = f"({y} - e.y1 - coalesce({along}, 0D) * (e.y2 - e.y1))"
+    return f"array_min(transform({edges}, e -> hypot({dx}, {dy})))"
+
+
 def annulus_areas(stars: DataFrame, shapes: DataFrame) -> DataFrame:
     """Area (arcmin²) of each annulus of each star inside the footprint, by
-    polar sampling. Annuli that cannot reach the footprint are 0 unsampled."""
+    polar sampling.
+
+    Only annuli that may meet an edge of the footprint are sampled: one that
+    stays clear of every edge is inside as a whole or outside as a whole, as
+    its star is. "Clear" leaves room for what the tangent plane stretches
+    within a few degrees; in larger fields and near the poles every annulus
+    within reach is sampled.
+    """
     rings = ", ".join(
         f"named_struct('annulus', {i}, 'r1', {a!r}D, 'r2', {b!r}D)"
         for i, (a, b) in enumerate(zip(ANNULUS_EDGES, ANNULUS_EDGES[1:]))
     )
     key = ["field_id", "star_id", "annulus"]
-    base = (
+    away = separation("star_ra", "star_dec", "fp_ra", "fp_dec")
+    x, y = gnomonic("star_ra", "star_dec", "fp_ra", "fp_dec")
+    flat = (
+        f"abs(star_dec) < {CLEAR_MAX_DEC!r}D AND fp_radius < {CLEAR_MAX_RADIUS!r}D"
+        f" AND away < {CLEAR_MAX_RADIUS!r}D + {ANNULUS_EDGES[-1]!r}D"
+    )
+    placed = (
         stars.select("field_id", "star_id", "star_ra", "star_dec")
         .join(shapes, "field_id")
-        .selectExpr("*", f"inline(array({rings}))")
+        .selectExpr("*", f"{away} AS away", f"{x} AS x", f"{y} AS y")
+        .selectExpr(
+            "*", f"if({flat}, degrees({edge_distance_sql('x', 'y')}) * 3600D, 0D) AS clear",
+            f"{quad_contains('x', 'y')} AS inside",
+        )
+    )
+    base = placed.selectExpr("*", f"inline(array({rings}))").selectExpr(
+        "*",
+        "CASE WHEN away > r2 * 1.01D + fp_radius * 1.01D + 1D THEN 0D"
+        f" WHEN clear > r2 * {CLEAR_FACTOR!r}D + 1D THEN CAST(inside AS DOUBLE) END AS known",
     )
-    away = separation("star_ra", "star_dec", "fp_ra", "fp_dec")
-    near = base.where(f"{away} <= r2 * 1.01D + fp_radius * 1.01D + 1D")
     # A ring becomes thousands of samples: spread the rings first.
-    samples = spread(near, *key).selectExpr(
+    samples = spread(base.where("known IS NULL"), *key).selectExpr(
         "*", f"explode(sequence(0, {AREA_RADIAL_STEPS - 1})) AS i"
     ).selectExpr("*", f"explode(sequence(0, {AREA_ANGULAR_STEPS - 1})) AS j")
     step = f"(i + 0.5D) / {float(AREA_RADIAL_STEPS)!r}D"
@@ -217,9 +263,9 @@ def annulus_areas(stars: DataFrame, shapes: DataFrame) -> DataFrame:
     fraction = samples.groupBy(*key).agg(
         F.expr(f"avg(CAST({quad_contains('x', 'y')} AS DOUBLE))").alias("fraction")
     )
-    return base.select(*key, "r1", "r2").join(fraction, key, "left").selectExpr(
+    return base.select(*key, "r1", "r2", "known").join(fraction, key, "left").selectExpr(
         *key,
-        f"coalesce(fraction, 0D) * {math.pi!r}D * (r2 * r2 - r1 * r1) / 3600D AS area_arcmin2",
+        f"coalesce(known, fraction, 0D) * {math.pi!r}D * (r2 * r2 - r1 * r1) / 3600D AS area_arcmin2",
     )
 
 
