@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import array
 import base64
+import ctypes
 import functools
 import gc
 import hashlib
@@ -326,6 +327,17 @@ def codec(path: str, pattern: str, cache: int = CACHE) -> ByteBpe:
     return bpe
 
 
+def release_codecs() -> None:
+    """Give the memory of a worker's codecs back to the system."""
+    codec.cache_clear()
+    gc.unfreeze()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def encode_documents(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -333,9 +345,12 @@ def encode_documents(
     path: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
     cache: int = CACHE,
+    keep: bool = True,
 ) -> DataFrame:
     """``doc_id, ids`` (packed 32-bit little-endian) of every whole text.
     ``cache``: entries of a worker's caches; fewer take less memory, more time.
+    ``keep``: whether a worker process holds its tables for the next task;
+    otherwise they are built anew and leave room for other stages.
 
     Null and empty texts have no ids; a null id is carried; repeated rows give
     repeated rows; other columns are not read. ``path``: the rank file, which
@@ -349,6 +364,9 @@ def encode_documents(
             ids = [bpe.encode(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
         bpe.rest()
+        if not keep:
+            del bpe
+            release_codecs()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))

@@ -400,3 +400,12 @@ AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
 )
 def test_published_license_wording(text, want):
     assert {f[2] for f in license_scan.LicenseScanner().scan("x = 1\n" * 50 + text + "\nx = 2" * 50)} == want
+
+
+def test_codecs_are_released_and_built_anew(spark):
+    docs = spark.createDataFrame([(k, f"some text {k} Ünïcode") for k in range(20)], "doc_id long, text string")
+    kept = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode_documents(docs, cache=1000).collect()}
+    freed = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode_documents(docs.repartition(3), cache=1000, keep=False).collect()}
+    assert kept == freed and len(kept) == 20
+    byte_bpe.release_codecs()
+    assert byte_bpe.codec.cache_info().currsize == 0
