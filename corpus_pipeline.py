@@ -4,6 +4,11 @@ Every stage gets what its predecessor kept and returns the columns of
 ``documents``; the last one returns token ids. The stages are judged one by one
 and in sequence by the tests, since SQL can't express the line labels, the cube
 method or the merges.
+
+In every stage null and empty texts are texts without words, a null id is kept
+as it is, rows that repeat are rows of their own until a stage removes copies
+(exact dedup and the Jaccard join keep one of each), further columns are carried
+along, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,8 +49,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids``: token ids as packed 32-bit integers."""
-    # Small caches: here executors also hold what the stages before shuffled.
-    encoded = byte_bpe.encode_documents(docs, cache=100_000)
+    # Small caches, released after each task: here executors also hold what
+    # the stages before shuffled, and a next run starts with its other stages.
+    encoded = byte_bpe.encode_documents(docs, cache=100_000, keep=False)
     return encoded.select("doc_id", F.expr("CAST(octet_length(ids) / 4 AS BIGINT)").alias("n_tokens"), "ids")
 
 
