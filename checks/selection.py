@@ -113,18 +113,59 @@ def sibling_sequences(spark, sf):
 
 
 @query(
-    "stratified_sample",
+    "hash_sample",
     with_ctes(
         """
 SELECT s_suppkey AS field_id, c_custkey AS item FROM (SELECT c_nationkey AS s_suppkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY sha256('AS-032:' || c_nationkey || ':' || c_custkey)) AS n FROM customer) WHERE n<=8
 """
     ),
 )
-def stratified_sample(spark, sf):
+def hash_sample(spark, sf):
     df = data.read(spark, sf, "customer").selectExpr("c_nationkey AS field_id", "c_custkey AS item")
     return P.hash_sample(df, ["field_id"], "AS-032", ["field_id", "item"], 8)
 
 
+# Customers as tracklets of a nation, in strata and mask patterns.
+_CONTEXT = {
+    "field_id": "c_nationkey",
+    "tracklet_id": "c_custkey",
+    "stratum": "CASE WHEN mod(c_custkey,37)=5 THEN 'known' WHEN mod(c_custkey,4)=1 THEN 'masked_unknown' WHEN mod(c_custkey,4)=2 THEN 'partially_masked_unknown' ELSE 'unmasked_unknown' END",
+    "mask_pattern": "CASE WHEN mod(c_custkey,7)<4 THEN 256 WHEN mod(c_custkey,7)<6 THEN 4097 ELSE c_nationkey END",
+}
+cte("ctx", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _CONTEXT.items()) + " FROM customer")
+cte("ctxh", "SELECT *, sha256('AS-032:' || field_id || ':' || tracklet_id) AS h FROM ctx")
+# Shares of the slots that are left after one for each pattern.
+cte(
+    "ctxq",
+    f"""
+SELECT field_id, mask_pattern, CASE WHEN {P.MASKED_SAMPLE}<=np THEN CASE WHEN by_size<={P.MASKED_SAMPLE} THEN 1 ELSE 0 END WHEN spare<=0 THEN least(1,size)
+ ELSE least(size, 1+floor(share)+CASE WHEN row_number() OVER (PARTITION BY field_id ORDER BY share-floor(share) DESC, mask_pattern)-1
+  < {P.MASKED_SAMPLE}-np-sum(floor(share)) OVER (PARTITION BY field_id) THEN 1 ELSE 0 END) END AS quota FROM (
+ SELECT *, row_number() OVER (PARTITION BY field_id ORDER BY size DESC, mask_pattern) AS by_size,
+  CASE WHEN {P.MASKED_SAMPLE}>np AND spare>0 THEN ({P.MASKED_SAMPLE}-np)*(size-1)/spare ELSE 0e0 END AS share FROM (
+  SELECT *, count(*) OVER (PARTITION BY field_id) AS np, sum(size-1) OVER (PARTITION BY field_id) AS spare FROM (
+   SELECT field_id, mask_pattern, count(*) AS size FROM ctx WHERE stratum='masked_unknown' GROUP BY 1,2)))
+""",
+)
+
+
+@query(
+    "stratified_sample",
+    with_ctes(
+        f"""
+SELECT field_id, tracklet_id, stratum, mask_pattern FROM ctxh WHERE stratum='known' UNION ALL
+SELECT field_id, tracklet_id, stratum, mask_pattern FROM (SELECT *, row_number() OVER (PARTITION BY field_id, mask_pattern ORDER BY h) AS n FROM ctxh WHERE stratum='masked_unknown')
+ JOIN ctxq USING (field_id, mask_pattern) WHERE n<=quota UNION ALL
+SELECT field_id, tracklet_id, stratum, mask_pattern FROM (SELECT *, row_number() OVER (PARTITION BY field_id, stratum ORDER BY h) AS n FROM ctxh)
+ WHERE stratum='partially_masked_unknown' AND n<={P.PARTIAL_SAMPLE} OR stratum='unmasked_unknown' AND n<={P.UNMASKED_SAMPLE}
+"""
+    ),
+)
+def stratified_sample(spark, sf):
+    contexts = data.read(spark, sf, "customer").selectExpr(*[f"{e} AS {n}" for n, e in _CONTEXT.items()])
+    return P.stratified_sample(contexts, ["field_id"], "AS-032")
+
+
 @query(
     "selection_order",
     with_ctes(
