@@ -7,7 +7,8 @@ from checks.build import tracklets
 from checks.registry import cte, query, sep, with_ctes
 from checks.review import identified, quality
 from driftline.functions import classify as C
-from driftline.functions.sky import unit_vector, vector_position
+from driftline.functions.classify import johnson_v
+from driftline.functions.sky import edge_distance, unit_vector, vector_position
 from driftline.operators import stars as S
 from driftline.operators.ordered import cut_lineage
 from driftline.operators.quality import mask_state
@@ -108,6 +109,62 @@ def star_proximity(spark, sf):
     return S.proximity(tracklet_rows(spark, sf), field_stars(spark, sf), ["field_id", "tracklet_no"])
 
 
+# Predicted positions of an object in all frames: its closest approach to each class.
+@query(
+    "closest_approach",
+    with_ctes(
+        "SELECT build_id AS field_id, designation, "
+        + ", ".join(f"round(min(sp) FILTER (mag_class={c}),2) AS sep_{c}" for c in range(5))
+        + ", round(min(sp),2) AS nearest_separation FROM (SELECT e.build_id, e.designation, s.mag_class, "
+        + sep("e.predicted_ra", "e.predicted_dec", "s.star_ra", "s.star_dec")
+        + " AS sp FROM eph e LEFT JOIN fstar s ON s.field_id=e.build_id) GROUP BY 1,2"
+    ),
+)
+def closest_approach(spark, sf):
+    key = ["field_id", "designation"]
+    positions = data.ephemerides(spark, sf).selectExpr(
+        "build_id AS field_id", "designation", "frame_no", "predicted_ra AS ra", "predicted_dec AS dec"
+    )
+    out = S.closest_approach(S.proximity(positions, field_stars(spark, sf), [*key, "frame_no"]), key)
+    return out.drop("nearest_v_mag")
+
+
+def _edge_sql() -> str:
+    """Least distance from the star, at the plane's origin, to four segments."""
+    order = [WIDE[k] for k in (0, 3, 1, 2)]
+    d0 = "radians(star_dec)"
+    points = []
+    for ra, dec in order:
+        d, dr = f"radians({dec!r}e0)", f"radians({ra!r}e0-star_ra)"
+        w = f"(sin({d0})*sin({d})+cos({d0})*cos({d})*cos({dr}))"
+        points.append((f"(cos({d})*sin({dr})/{w})", f"((cos({d0})*sin({d})-sin({d0})*cos({d})*cos({dr}))/{w})"))
+    named = ", ".join(f"{x} AS x{k}, {y} AS y{k}" for k, (x, y) in enumerate(points))
+    reach = []
+    for a, b in ((0, 1), (1, 2), (2, 3), (3, 0)):
+        dx, dy = f"(x{b}-x{a})", f"(y{b}-y{a})"
+        t = f"least(greatest(-(x{a}*{dx}+y{a}*{dy})/({dx}*{dx}+{dy}*{dy}),0),1)"
+        reach.append(f"sqrt(pow(x{a}+{t}*{dx},2)+pow(y{a}+{t}*{dy},2))")
+    return (
+        f"SELECT field_id, star_id, round(degrees(least({', '.join(reach)}))*3.6e3,2) AS edge_arcsec,"
+        " round(CASE WHEN k=2 THEN v_mag ELSE v_mag-9e-2*(k/1e1) END,6) AS v"
+        f" FROM (SELECT *, mod(CAST(split_part(star_id,'-',2) AS BIGINT),7) AS k, {named} FROM star)"
+    )
+
+
+@query("edge_distances", with_ctes(_edge_sql()))
+def edge_distances(spark, sf):
+    """Each star's distance from the nearest footprint edge, and V from two
+    bands, of which the second is missing for some."""
+    points = ", ".join(f"named_struct('ra', {a!r}D, 'dec', {b!r}D)" for a, b in WIDE)
+    rows = data.stars(spark, sf).selectExpr(
+        "*", f"array({points}) AS corners", "mod(CAST(split(star_id,'-')[1] AS BIGINT),7) AS k"
+    ).selectExpr("*", "if(k=2, NULL, v_mag + k/1e1) AS bt_mag")
+    return rows.selectExpr(
+        "field_id", "star_id", f"round({edge_distance('star_ra', 'star_dec', 'corners')},2) AS edge_arcsec",
+        f"round({johnson_v('v_mag', 'bt_mag')},6) AS v",
+    )
+
+
 _SEP = [f"sep_{c}" for c in range(5)]
 
 

@@ -88,7 +88,7 @@ def johnson_v(vt: str, bt: str) -> str:
 
 
 def class_separations(sep: list[str]) -> tuple[str, str, str, str]:
-    """(V<6, 6-8, 8-10, 10-11) from the five class separations."""
+    """The five separations with the two brightest classes taken as one."""
     return f"least({sep[0]}, {sep[1]})", sep[2], sep[3], sep[4]
 
 
