@@ -13,8 +13,9 @@ frequent last, the rarer ones of them first, all others by hash. Two sets that l
 3. Qualifying units are opened: the sets of the smaller one are held against
    the union and then the members of the larger one.
 4. Components of the links give the classes. Tokens of very many units only
-   link each unit with one hub at first; whatever is still apart afterwards
-   is compared in further rounds, so no link is lost.
+   link each unit with one hub at first. What is still apart afterwards meets
+   where two sets agree in a part of all tokens: sets that link differ in so
+   few tokens that one of the parts has none of them, so no link is lost.
 
 Shingles, and sets by their members, are named by 64-bit hashes (equal names
 of different ones: about 1 in 10^19 per pair). Copies of a set are one set.
@@ -39,6 +40,8 @@ TABLE_BITS = 26
 FREQUENT_TOKENS, FREQUENT_FROM = 200_000, 32
 # Members of a group that are opened together; units of a token that are paired.
 GROUP_MEMBERS, TOKEN_UNITS = 256, 64
+# Units that agree in a part are paired up to this many, more are parted again.
+PART_UNITS = 16
 MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
      0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64,
@@ -386,6 +389,123 @@ def compare_units(pool: DataFrame, percent: int, members: DataFrame, pairs: Data
     return loaded.groupBy("large", "chunk").applyInArrow(open_pairs(percent), "a bigint, b bigint")
 
 
+# --- what common tokens hold apart ---
+
+
+def size_classes(percent: int, largest: int) -> list[int]:
+    """Smallest sizes of the classes up to ``largest`` and two further ones:
+    sets that link are of one class or of two neighbours."""
+    borders = [1, 2]
+    while borders[-3 if len(borders) > 2 else 0] <= largest:
+        borders.append(max(borders[-1] + 1, 100 * (borders[-1] - 1) // percent + 1))
+    return borders
+
+
+def part_count(percent: int, borders: list[int], size_class: int) -> int:
+    """One more than the tokens in which two linked sets of this class or the
+    one below may differ: one part at least has none of them."""
+    return 2 * (borders[size_class + 1] - 1) * (100 - percent) // (100 + percent) + 1
+
+
+def _mixed(values: np.ndarray, seed: int) -> np.ndarray:
+    x = values + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def set_parts(tokens: np.ndarray, m: int, seed: int) -> np.ndarray:
+    """A name for what a set holds of each of ``m`` parts of all tokens."""
+    h = _mixed(tokens, 2 * seed)
+    content = np.zeros(m, dtype=np.uint64)
+    np.add.at(content, (h % np.uint64(m)).astype(np.int64), _mixed(h, 2 * seed + 1))
+    return _mixed(content + np.arange(m, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), m)
+
+
+PART_SCHEMA = "key bigint, size_class int, up boolean, n bigint, sid bigint, unit bigint, component bigint"
+
+
+def part_keys(rows: DataFrame, percent: int, seed: int) -> DataFrame:
+    """A row for each part of a set (``tokens, sid, unit, component``): in its
+    own size class, and (``up``) in the next one, to meet larger sets.
+
+    With ``key`` and ``size_class`` in ``rows``: its parts within that key."""
+    again = "key" in rows.columns
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        borders = size_classes(percent, 1)
+        names, keys, size = [], [], 0
+
+        def out():
+            times = [len(k) for k in keys]
+            columns = [
+                pa.array(np.repeat(np.array([r[c] for r in names], dtype=t), times))
+                for c, t in enumerate((np.int32, bool, np.int64, np.int64, np.int64, np.int64))
+            ]
+            key = pa.array(np.concatenate(keys).view(np.int64))
+            return pa.RecordBatch.from_arrays([key, *columns], ["key", "size_class", "up", "n", "sid", "unit", "component"])
+
+        for batch in batches:
+            of = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "tokens"}
+            for i, packed in enumerate(batch.column("tokens")):
+                tokens = np.frombuffer(packed.as_py(), dtype=np.uint64)
+                n = len(tokens)
+                if borders[-3] <= n:
+                    borders = size_classes(percent, n)
+                own = int(np.searchsorted(borders, n, side="right")) - 1
+                for c in [of["size_class"][i]] if again else [own, own + 1]:
+                    parts = set_parts(tokens, part_count(percent, borders, c), seed)
+                    parent = np.uint64(of["key"][i] % 2**64 if again else c)
+                    keys.append(_mixed(parts ^ _mixed(np.array([parent], dtype=np.uint64), seed), seed))
+                    names.append((c, c > own, n, of["sid"][i], of["unit"][i], of["component"][i]))
+                    size += len(parts)
+                    if size > 100_000:
+                        yield out()
+                        names, keys, size = [], [], 0
+        if names:
+            yield out()
+
+    return map_rows(rows, run, PART_SCHEMA)
+
+
+def agreeing_pairs(pool: DataFrame, percent: int, apart: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` of units (``apart``: ``unit, component``) of different
+    components that agree in a part; all that link are among them.
+
+    Units of a part with many of them must agree in a part of a second
+    division of the tokens as well, and so on: sets that differ in more than
+    linked ones may hardly ever do. Only if a division no longer halves those
+    rows, which takes many pairs just beyond the threshold, they are paired."""
+    rows = apart.join(members, "unit").join(pool, "sid").select("sid", "unit", "component", "tokens")
+    pairs, before, seed = [], None, 0
+    while True:
+        keyed = stored(part_keys(rows, percent, seed), "parts")
+        held = keyed.groupBy("key", "unit").agg(
+            F.first("component").alias("component"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.bool_and("up").alias("up")
+        )
+        per_key = held.groupBy("key").agg(
+            F.count("*").alias("units"), F.min("component").alias("c0"), F.max("component").alias("c1"), F.bool_and("up").alias("idle")
+        ).where("c0 <> c1 AND NOT idle").select("key", "units")
+        per_key = stored(per_key, "part_units")
+        crowded = per_key.where(F.col("units") > PART_UNITS).agg(F.sum("units")).first()[0] or 0
+        last = before is not None and 2 * crowded > before
+        near = stored(held.join(per_key if last else per_key.where(F.col("units") <= PART_UNITS), "key"), "agreeing")
+        pairs.append(
+            near.alias("x").join(near.alias("y"), F.expr(
+                "x.key = y.key AND x.unit < y.unit AND x.component <> y.component AND NOT (x.up AND y.up) "
+                f"AND {percent} * y.lo <= 100 * x.hi AND {percent} * x.lo <= 100 * y.hi"
+            )).select(F.expr("x.unit AS u"), F.expr("y.unit AS v"))
+        )
+        if last or not crowded:
+            break
+        before, seed = crowded, seed + 1
+        rows = keyed.join(per_key.where(F.col("units") > PART_UNITS).select("key"), "key").join(pool, "sid")
+    found = pairs[0]
+    for p in pairs[1:]:
+        found = found.unionByName(p)
+    return found.distinct()
+
+
 # --- the join ---
 
 
@@ -474,22 +594,22 @@ def set_links(texts: DataFrame, n: int, percent: int) -> DataFrame:
         x = stored(held.join(open_tokens.select("token", "hub", "c0"), "token"), "open")
         sizes_fit = f"{percent} * lo2 <= 100 * hi AND {percent} * lo <= 100 * hi2"
         if through_hubs:
-            next_pairs = x.select("*", "hub.*").where(f"component <> c0 AND {sizes_fit} AND {enough}")
+            next_pairs = x.select("*", "hub.*").where(f"component <> c0 AND {sizes_fit} AND {enough}").select(
+                F.least("unit", "unit2").alias("u"), F.greatest("unit", "unit2").alias("v")
+            )
         else:
-            y = x.select("token", *[F.col(c).alias(f"{c}2") for c in ("unit", "lo", "hi", "k", "component")])
-            next_pairs = x.join(y, "token").where(f"component <> component2 AND unit < unit2 AND {sizes_fit} AND {enough}")
-        next_pairs = next_pairs.select(F.least("unit", "unit2").alias("u"), F.greatest("unit", "unit2").alias("v"))
+            next_pairs = agreeing_pairs(pool, percent, x.select("unit", "component").distinct(), members)
         next_pairs = stored(next_pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
-        if next_pairs.isEmpty():
-            if not through_hubs:
-                return edges
-            through_hubs = False
-            continue
-        tried = tried.unionByName(next_pairs)
-        found = stored(compare_units(pool, percent, members, next_pairs), "links")
-        edges = edges.unionByName(found)
-        # Hubs as long as they join something, then every pair that is left.
-        through_hubs = through_hubs and not found.isEmpty()
+        if not next_pairs.isEmpty():
+            tried = tried.unionByName(next_pairs)
+            found = stored(compare_units(pool, percent, members, next_pairs), "links")
+            edges = edges.unionByName(found)
+        elif through_hubs:
+            found = found.limit(0)
+        # Hubs as long as they join something, then all that agree in a part.
+        if not through_hubs:
+            return edges
+        through_hubs = not found.isEmpty()
 
 
 def edges_between_units(edges: DataFrame, moved: DataFrame) -> DataFrame:

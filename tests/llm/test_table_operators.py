@@ -128,6 +128,7 @@ def test_jaccard_join(spark, monkeypatch, n, percent, units, members, common):
     monkeypatch.setattr(ngram_jaccard, "TOKEN_UNITS", units)
     monkeypatch.setattr(ngram_jaccard, "GROUP_MEMBERS", members)
     monkeypatch.setattr(ngram_jaccard, "FREQUENT_FROM", common)
+    monkeypatch.setattr(ngram_jaccard, "PART_UNITS", units)
     rng = random.Random(n)
     rows = list(enumerate(near_copies(rng, 160)))
     rng.shuffle(rows)
@@ -155,6 +156,52 @@ def test_jaccard_empty_and_hot(spark):
     assert {r.component_id for r in got} == {5}
 
 
+def test_jaccard_common_lines_without_links(spark, monkeypatch):
+    # 2,000 texts of six out of 60 common lines: every token is one of many
+    # units, few texts link. A tenth differs from another one in a word or two.
+    rng = random.Random(8)
+    lines = [" ".join(f"l{k}w{j}" for j in range(12)) for k in range(60)]
+    texts = []
+    for k in range(2000):
+        if k % 10 == 9:
+            t = rng.choice(texts).split()
+            for _ in range(rng.randint(1, 2)):
+                t[rng.randrange(len(t))] = f"own{rng.randrange(3)}"
+        else:
+            t = " ".join(rng.sample(lines, 6)).split()
+        texts.append(" ".join(t))
+    tried, agreeing = [], ngram_jaccard.agreeing_pairs
+
+    def counted(*args):
+        pairs = agreeing(*args)
+        tried.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_jaccard, "agreeing_pairs", counted)
+    rows = list(enumerate(texts))
+    got = Counter(tuple(r) for r in ngram_jaccard.jaccard_components(docs_of(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == plain_components(rows, 4, 85)
+    assert len(tried) == 1 and tried[0] < 20_000  # of two million pairs, most of which share a token
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 90])
+def test_linked_sets_agree_in_a_part(percent):
+    rng = np.random.default_rng(percent)
+    borders = ngram_jaccard.size_classes(percent, 2000)
+    for a in range(1, 1000):
+        b = 100 * a // percent  # the largest partner
+        of = [int(np.searchsorted(borders, n, side="right")) - 1 for n in (a, b)]
+        assert of[1] - of[0] in (0, 1)
+        both = -(-percent * (a + b) // (100 + percent))
+        if both > a or a % 7:
+            continue
+        tokens = rng.integers(0, 2**63, a + b - both).astype(np.uint64)
+        m = ngram_jaccard.part_count(percent, borders, of[1])
+        for seed in range(3):
+            x, y = (ngram_jaccard.set_parts(t, m, seed) for t in (tokens[:a], tokens[a - both :]))
+            assert (x == y).any()
+
+
 def test_jaccard_units_of_several_sizes(spark):
     # x and y link (23 of 27 words) and share one prefix token. y2 makes the
     # sizes of y's unit 26 to 27: at 24 and 27 alone two would be needed.
