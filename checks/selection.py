@@ -8,6 +8,7 @@ from checks.stars import contexts
 from driftline.operators import groups as N
 from driftline.operators import sampling as P
 from driftline.operators import sequences as Q
+from driftline.sources import bundles as B
 from driftline.sources import catalogs as K
 
 # --- orders become exposures: a quadrant-night per (customer, day) --------------
@@ -431,3 +432,15 @@ def mid_exposure(spark, sf):
 def product_paths(spark, sf):
     frames = data.frames(spark, sf).selectExpr("*", "field AS field_no", "'20180411467847' AS file_frac_day")
     return K.product_path(frames, K.PSF_SUFFIX).select("product_id", "path")
+
+
+@query(
+    "input_digests",
+    "SELECT field_id, sha256(string_agg(l, chr(10) ORDER BY l)) AS sha256 FROM (SELECT DISTINCT o_custkey AS field_id,"
+    " CAST(o_orderkey AS VARCHAR)||' '||CASE WHEN o_orderkey%13=0 THEN 'unreadable' ELSE sha256(o_orderstatus) END AS l FROM orders) GROUP BY 1",
+)
+def input_digests(spark, sf):
+    orders = data.read(spark, sf, "orders").selectExpr(
+        "o_custkey AS field_id", "o_orderkey AS path", "if(o_orderkey % 13 = 0, NULL, sha2(o_orderstatus, 256)) AS sha256"
+    )
+    return B.input_digests(orders)
