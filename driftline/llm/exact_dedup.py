@@ -70,9 +70,10 @@ def exact_dedup(
     per_digest = stored(per_digest, "winners")
     joined = rows.select("doc_id", "digest").join(per_digest, "digest")
     # Rows of one id and text: exactly one is the keeper. They are dealt by id,
-    # so that a hot digest is not gathered again; null ids by their digest.
+    # so that a hot digest is not gathered again; null ids, whose hash is one
+    # and the same number, by their digest.
     dealt = joined.withColumn(
-        "deal", F.coalesce(F.xxhash64("doc_id"), F.xxhash64("digest"))
+        "deal", F.when(F.col("doc_id").isNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id"))
     ).repartition("deal")
     same = Window.partitionBy("deal", "digest", "doc_id").orderBy("group_size")
     return dealt.select(

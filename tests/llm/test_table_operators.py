@@ -56,6 +56,21 @@ def test_exact_dedup(spark, odd):
     assert sorted(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in first.collect()) == sorted(groups)
 
 
+def test_exact_dedup_spreads_null_ids(spark):
+    rows = [(None, f"text {k % 9000}", "s") for k in range(10_000)] + [(k, f"text {k}", "s") for k in range(500)]
+    # A fixed number of partitions, as a large table has.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = exact_dedup.exact_dedup(docs_of(spark, rows)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(rows)
+    assert sum(r.kept for r in got) == 9000 == len({r.text_sha256 for r in got if r.kept})
+    assert all(r.kept == (r.doc_id is not None) for r in got if r.keep_id is not None)
+    tasks = Counter(r.task for r in got if r.doc_id is None)
+    assert len(tasks) > 1 and max(tasks.values()) < 6000
+
+
 def test_exact_dedup_stays_in_the_jvm(odd):
     plan = exact_dedup.exact_dedup(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan.replace("ArrowEval", "Python")) and "CartesianProduct" not in plan
