@@ -5,16 +5,17 @@ Every source gets a share of all words; a document of a source is taken
 with the remaining probability. Which ones is decided by the cube method: the
 probabilities walk through the null space of the constraints (words taken and
 documents taken), a unit drops out whenever its probability reaches 0 or 1,
-and at most two units of a block stay undecided. These meet in the
-next round's blocks, until one block per source is left, whose last dozen
-units are the landing problem.
+and at most two units of a block stay undecided. Every step is drawn so that
+a unit's chance stays what it was, so long and short documents are taken alike. The
+undecided meet in the next round's blocks, until one block per source is left,
+whose last dozen units are the landing problem: only there nearness to the target
+comes before the chances.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +72,67 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_R
 # --- the cube method ---
 
 
+def _choose(up: float, down: float, draw: float) -> float:
+    """A signed step: up or down with the odds that leave the expectation as it is."""
+    return up if draw * (up + down) < down else -down
+
+
+def _snap(p: float) -> float:
+    return 0.0 if p < 1e-9 else 1.0 if p > 1.0 - 1e-9 else p
+
+
+def _settle_large(p: np.ndarray, sizes: np.ndarray, draws) -> None:
+    """Decide the units of ``LARGE`` times the mean size, in place, while all
+    open smaller ones together make up for them.
+
+    The smaller units move by ``w * (a + b * size)`` with ``w = p * (1 - p)``;
+    ``a`` and ``b`` follow from the two sums that must stay. Where that cannot
+    carry the large unit to 0 and to 1 in one step, the sum of documents is let
+    go and they move by ``w * b * size``, so that the words stay. A large unit
+    without open smaller ones stays open.
+    """
+    large = sizes >= LARGE * sizes.mean()
+    for lead in np.flatnonzero(large & (p > 0) & (p < 1)):
+        while 0.0 < p[lead] < 1.0:
+            rest = np.flatnonzero(~large & (p > 0) & (p < 1))
+            if not len(rest):
+                break
+            q, s = p[rest], sizes[rest]
+            w = q * (1.0 - q)
+            s0, s1, s2 = w.sum(), (w * s).sum(), (w * s * s).sum()
+            det = s0 * s2 - s1 * s1
+            ways = [w * s * sizes[lead] / s2]
+            if det > 1e-9 * s0 * s2:
+                ways.insert(0, w * ((s2 - s1 * sizes[lead]) + (s0 * sizes[lead] - s1) * s) / det)
+            for v in ways:
+                room, load = np.where(v > 0, q, 1.0 - q), np.maximum(np.abs(v), 1e-300)
+                up = min(1.0 - p[lead], (room / load).min())
+                down = min(p[lead], ((1.0 - room) / load).min())
+                if up == 1.0 - p[lead] and down == p[lead]:
+                    break
+            t = _choose(up, down, next(draws))
+            p[lead] = _snap(p[lead] + t)
+            q = q - t * v
+            p[rest] = np.where(q < 1e-9, 0.0, np.where(q > 1.0 - 1e-9, 1.0, q))
+
+
 def flight(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Probabilities after the flight phase: all but at most two are 0 or 1,
-    and the sums of ``p`` and of ``p * sizes`` are what they were.
-
-    Three undecided units at a time: the null vector of their 2 x 3 matrix
-    (ones and sizes) is a direction in which both sums stay, and the step goes
-    as far as the unit cube allows. Of the two directions the one is taken
-    that brings the largest of the three nearer to its own draw (1 if the
-    draw, uniform in 0 to 1, is below its probability), so that large units
-    are decided while many others can still make up for them. Large units should
-    come first; draws come from hashes, so reruns agree.
+    the sum of ``p * sizes`` is what it was, and so is the sum of ``p`` unless a
+    large unit needed it.
+
+    Large units go first, against all smaller ones together. Then three
+    undecided units at a time: the null vector of their 2 x 3 matrix (ones and
+    sizes) is a direction in which both sums stay. A step goes as far as the
+    unit cube allows, forward with the odds (way back) : (way forward), so that
+    the expectation of every probability is what it was, whatever the size. A
+    step decides a unit at least and takes one of ``draws`` (uniform in 0 to
+    1, independent), so as many as units are enough.
     """
-    goal = (draws < p).tolist()
-    p = p.astype(float).tolist()
+    left = iter(np.asarray(draws).tolist())
+    q = p.astype(float)
+    _settle_large(q, sizes.astype(float), left)
+    p = q.tolist()
     size = sizes.astype(float).tolist()
     active: list[int] = []
     for k in range(len(p)):
@@ -96,36 +144,49 @@ def flight(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
             u = (size[c] - size[b], size[a] - size[c], size[b] - size[a])
             if not any(u):
                 u = (1.0, -1.0, 0.0)  # equal sizes: move mass between two
-            lead = max((i for i in range(3) if u[i]), key=lambda i: size[active[i]])
-            if (u[lead] > 0) != goal[active[lead]]:
-                u = (-u[0], -u[1], -u[2])
-            step = min(
-                (1.0 - p[i]) / v if v > 0 else p[i] / -v for i, v in zip(active, u, strict=True) if v
-            )
+            moving = [(p[i], v) for i, v in zip(active, u, strict=True) if v]
+            up = min((1.0 - x) / v if v > 0 else x / -v for x, v in moving)
+            down = min(x / v if v > 0 else (1.0 - x) / -v for x, v in moving)
+            t = _choose(up, down, next(left))
             for i, v in zip(active, u, strict=True):
-                p[i] += step * v
-                if p[i] < 1e-9:
-                    p[i] = 0.0
-                elif p[i] > 1.0 - 1e-9:
-                    p[i] = 1.0
+                p[i] = _snap(p[i] + t * v)
             active = [i for i in active if 0.0 < p[i] < 1.0]
     return np.array(p)
 
 
-def landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Decide the last units: of all roundings of the open ones (at most
-    ``LANDING_UNITS``) the one nearest to the words expected, a document too
-    many or too few counting as a few words."""
+def landing(p: np.ndarray, sizes: np.ndarray, draw: float) -> np.ndarray:
+    """Decide the last units, at most ``LANDING_UNITS``.
+
+    Of all roundings those qualify whose words are within half a mean document of
+    the words expected (or the nearest one, if none is), a document too many or too few
+    counting as a few words; among them one is drawn by the odds of independent
+    draws with the given probabilities.
+    """
     p = p.copy()
     left = np.flatnonzero((p > 0) & (p < 1))
     if len(left):
         choices = (np.arange(1 << len(left))[:, None] >> np.arange(len(left)) & 1).astype(float)
         words = np.abs(choices @ sizes[left] - (p[left] * sizes[left]).sum())
         docs = np.abs(choices.sum(axis=1) - p[left].sum())
-        p[left] = choices[np.argmin(words + 0.02 * sizes[left].mean() * docs)]
+        cost = words + 0.02 * sizes[left].mean() * docs
+        near = cost <= max(cost.min(), 0.5 * sizes[left].mean())
+        odds = np.cumsum(np.where(near, np.where(choices > 0, p[left], 1.0 - p[left]).prod(axis=1), 0.0))
+        p[left] = choices[np.searchsorted(odds, draw * odds[-1], side="right")]
     return p
 
 
+def settle(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """Flight, with the last units left as they are to land with, then landing."""
+    order = np.argsort(sizes < LARGE * sizes.mean(), kind="stable")  # large units fly
+    p, sizes = p[order], sizes[order]
+    fly = max(0, len(p) - (LANDING_UNITS - 2))
+    if fly:
+        p[:fly] = flight(p[:fly], sizes[:fly], draws[:fly])
+    out = np.empty_like(p)
+    out[order] = landing(p, sizes, draws[-1])
+    return out
+
+
 def cube_rounds(units: DataFrame, block_rows: int = 2_000) -> DataFrame:
     """``source, unit, sub, taken`` (0 or 1) for ``source, unit, sub, size, p``.
 
@@ -155,17 +216,11 @@ def cube_rounds(units: DataFrame, block_rows: int = 2_000) -> DataFrame:
 
         def run(block: pa.Table) -> pa.Table:
             t = block.sort_by([("unit", "ascending"), ("sub", "ascending")])
-            # Large units first; the others, mixed in size, make up for them.
-            t = t.take(np.argsort(t.column("size").to_numpy() < LARGE * pc.mean(t.column("size")).as_py(), kind="stable"))
             sizes = t.column("size").to_numpy()
-            p = t.column("p").to_numpy().copy()
-            # The last flight leaves a few units as they are, to land with.
-            fly = max(0, len(p) - (LANDING_UNITS - 2)) if last else len(p)
-            # The units are hashes: their lower bits are a uniform draw.
-            draws = (t.column("unit").to_numpy() & 0xFFFFFFFF) / float(1 << 32)
-            p[:fly] = flight(p[:fly], sizes[:fly], draws[:fly])
-            if last:
-                p = landing(p, sizes)
+            # A stream of the block's own: units are hashes, and a block has them in one order.
+            own = np.bitwise_xor.reduce(t.column("unit").to_numpy().astype(np.uint64))
+            draws = np.random.default_rng([level, len(sizes), int(own)]).random(len(sizes) + 1)
+            p = (settle if last else flight)(t.column("p").to_numpy(), sizes, draws)
             return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).drop_columns(["block"])
 
         moved = stored(todo.groupBy("source", "block").applyInArrow(run, schema), "cube")

@@ -300,7 +300,45 @@ def test_flight_keeps_both_sums():
     q = mixing.flight(p, sizes, rng.random(400))
     assert ((q > 0) & (q < 1)).sum() <= 2
     assert q.sum() == pytest.approx(p.sum()) and (q * sizes).sum() == pytest.approx((p * sizes).sum())
-    assert set(np.unique(mixing.landing(q, sizes))) <= {0.0, 1.0}
+    assert set(np.unique(mixing.landing(q, sizes, 0.5))) <= {0.0, 1.0}
+
+
+@pytest.mark.parametrize("chance", [0.1, 0.3, 0.7])
+def test_flight_leaves_every_expectation_as_it_was(chance):
+    rng = np.random.default_rng(5)
+    sizes, runs = np.round(rng.lognormal(4, 1.2, 60)) + 1, 3000
+    p = np.full(60, chance)
+    q = np.array([mixing.flight(p, sizes, rng.random(60)) for _ in range(runs)])
+    z = (q.mean(axis=0) - chance) / np.sqrt(chance * (1 - chance) / runs)
+    # Units are not independent (the words stay), so each is held against its own error.
+    assert (np.abs(z) < 3).sum() >= 58 and np.abs(z).max() < 4
+
+
+def test_settled_units_keep_their_chance_and_the_words():
+    rng = np.random.default_rng(6)
+    sizes, runs = np.round(rng.lognormal(4, 1.2, 300)) + 1, 1000
+    p = np.full(300, 0.3)
+    q = np.array([mixing.settle(p, sizes, rng.random(301)) for _ in range(runs)])
+    assert set(np.unique(q)) == {0.0, 1.0}
+    # The last dozen may bend a little; all others keep their chance.
+    assert np.abs(q.mean(axis=0) - 0.3).max() < 0.12 and np.abs(q.mean(axis=0) - 0.3).mean() < 0.015
+    assert np.abs(q @ sizes - (p * sizes).sum()).max() < sizes.mean()
+    assert np.std(q.sum(axis=1)) < 3
+
+
+def test_landing_takes_a_near_rounding():
+    got = np.array([mixing.landing(np.array([0.5, 0.5]), np.array([10, 11]), d) for d in np.linspace(0, 0.999, 50)])
+    assert (got.sum(axis=1) == 1).all() and 20 <= got[:, 0].sum() <= 30
+    assert mixing.landing(np.array([0.0, 1.0]), np.array([3, 4]), 0.5).tolist() == [0, 1]
+
+
+def test_flight_with_one_giant():
+    rng = np.random.default_rng(7)
+    sizes = np.concatenate([[8_000.0], rng.integers(20, 120, 400)])
+    p = np.full(401, 0.4)
+    q = np.array([mixing.settle(p, sizes, rng.random(402)) for _ in range(300)])
+    assert abs(q[:, 0].mean() - 0.4) < 0.1
+    assert np.abs((q - p) @ sizes).max() < 150
 
 
 # --- pipeline ---
