@@ -1,18 +1,20 @@
 """Samples for looking at, compact reports, populations and field names."""
 
 from checks import data
-from checks.metrics import feature_scores, positives
+from checks.metrics import _L1, _L2, _ODDS, _SIGNIFICANT, _U2, feature_scores, fisher_sql, positives, traces
 from checks.registry import cte, query, sep, with_ctes
 from checks.review import identified
 from checks.selection import exposures
 from checks.stars import _BIN, field_stars, radial_rows, tracklet_rows
 from checks.targets import frame_traces, targets
 from driftline.functions import classify as C
+from driftline.operators import decisions as D
 from driftline.operators import metrics as M
 from driftline.operators import samples as V
 from driftline.operators import stars as S
 from driftline.operators import targets as G
 from driftline.operators.ordered import cut_lineage
+from driftline.plans import evidence
 
 _SEP = [f"sep_{i}" for i in range(5)]
 
@@ -254,3 +256,61 @@ def population_fields(spark, sf):
         {"N": "concat('search ', filtercode)", "R": "concat('earlier (', filtercode, ')')"},
     )
     return V.parse_field_names(both).selectExpr("*", "split_part(field_id, '-', 1) AS prefix")
+
+
+# --- a confirmation run: new fields are the validation split, earlier ones the others ---
+
+_NO = "CAST(substr(t.{},2) AS BIGINT)"
+cte(
+    "ctrace",
+    f"""
+SELECT t.*, u.scope FROM trace t JOIN (VALUES ('validation','new fields'), ('validation','trigger objects'), ('validation','class'), ('validation','pooled'),
+ ('development','earlier fields'), ('development','pooled')) AS u(split, scope) ON u.split=t.split
+WHERE u.scope<>'trigger objects' OR proximity_group='control' OR mod({_NO.format('designation')},5)=0
+""",
+)
+cte(
+    "cfield",
+    f"""
+SELECT scope, field_id, {", ".join(f"CAST(count(*) FILTER (proximity_group='{g}' AND {r} recovered) AS DOUBLE) AS {n}" for n, g, r in (("a", "zone", ""), ("b", "zone", "NOT"), ("c", "control", ""), ("d", "control", "NOT")))}
+FROM (SELECT t.* REPLACE (CASE WHEN scope='class' THEN 'search class ' || mod({_NO.format('field_id')},2) ELSE scope END AS scope) FROM ctrace t
+ WHERE role='primary' AND rate_eligible AND baseline_eligible AND proximity_group IN ('zone','control')) GROUP BY 1,2
+""",
+)
+cte(
+    "czone",
+    """
+SELECT scope, sum(a+b) AS zn, sum(a) AS zk, sum(c+d) AS cn, sum(c) AS ck, count(*) FILTER (a+b>0 AND c+d>0) AS quadrants,
+ coalesce(sum(a*d/(a+b+c+d)) FILTER (a+b>0 AND c+d>0),0e0) AS num, coalesce(sum(b*c/(a+b+c+d)) FILTER (a+b>0 AND c+d>0),0e0) AS den FROM cfield GROUP BY 1
+""",
+)
+
+
+def confirmation(spark, sf):
+    rows = cut_lineage(traces(spark, sf))
+    field, name = "CAST(substring(field_id,2) AS BIGINT)", "CAST(substring(designation,2) AS BIGINT)"
+    new, earlier = rows.where("split = 'validation'"), rows.where("split = 'development'")
+    fields = new.selectExpr("field_id", "star", f"CAST(mod({field},2) AS STRING) AS search_class").distinct()
+    return evidence.confirmation(new.drop("star"), new.where(f"mod({name},5) = 0"), fields, earlier)
+
+
+@query(
+    "confirmation_decisions",
+    with_ctes(
+        f"""
+SELECT scope, scope='new fields' AS deciding, CAST(zn AS BIGINT) AS zone_n, CAST(zk AS BIGINT) AS zone_recovered, CAST(cn AS BIGINT) AS control_n,
+ CAST(ck AS BIGINT) AS control_recovered, CAST(quadrants AS BIGINT) AS mh_quadrants, round(fisher_p,9) AS fisher_p, round(mh,9) AS mh_odds_ratio,
+ round(diff,9) AS difference, round(lo,9) AS newcombe_low, CASE WHEN scope<>'new fields' THEN NULL
+  WHEN zn<{D.CONFIRM_MIN_ZONE} OR cn<{D.CONFIRM_MIN_CONTROL} THEN 'INCONCLUSIVE' WHEN diff<0 AND {_SIGNIFICANT} AND {_ODDS} THEN 'CONFIRMED'
+  WHEN lo>-{D.NOT_REPRODUCED_MARGIN!r} THEN 'NOT REPRODUCED' ELSE 'INCONCLUSIVE' END AS classification
+FROM (SELECT z.*, f.fisher_p, CASE WHEN den>0 THEN num/den WHEN num>0 THEN CAST('Infinity' AS DOUBLE) END AS mh, zk/nullif(zn,0)-ck/nullif(cn,0) AS diff,
+ CASE WHEN zn>0 AND cn>0 THEN zk/zn-ck/cn-sqrt(pow(zk/zn-{_L1},2)+pow({_U2}-ck/cn,2)) END AS lo
+ FROM czone z JOIN ({fisher_sql("czone", "scope", "zk", "zn-zk", "ck", "cn-ck")}) f USING (scope))
+"""
+    ),
+)
+def confirmation_decisions(spark, sf):
+    out = confirmation(spark, sf).decisions
+    rounded = {"fisher_p", "mh_odds_ratio", "difference", "newcombe_low"}
+    names = [c for c in out.columns if c not in ("claimed", "verdict", "newcombe_high")]
+    return out.selectExpr(*[f"round({c},9) AS {c}" if c in rounded else c for c in names])

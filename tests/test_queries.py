@@ -12,7 +12,8 @@ pytestmark = pytest.mark.skipif(not pathlib.Path(SF).exists(), reason="no test t
 FAST = [
     "moving_candidates", "seed_pairs", "build_tracklets", "build_five_frames", "review_ranking",
     "target_traces", "recall_guards", "numeric_summary", "pick_triples", "independence_groups",
-    "normalise_known_objects", "star_proximity", "frame_depths",
+    "normalise_known_objects", "star_proximity", "frame_depths", "sealed_sample", "population_fields",
+    "confirmation_decisions", "recovery_sample",
 ]
 
 
