@@ -212,10 +212,13 @@ def content_share(crf: LineCrf, text: str | None) -> tuple[float, list[int]]:
 
 
 def train_crf(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 2000,
+    sample_lines: int = SAMPLE_LINES,
 ) -> LineCrf:
     """A CRF from at most ``max_docs`` labelled documents, half of each class
-    where there are enough, chosen by the hash of their id.
+    where there are enough, chosen by the hash of their id, and of each its first
+    ``sample_lines`` lines: both bound what the driver fits. Verdicts always
+    read all lines.
 
     Without labelled documents of both classes everything is content.
     """
@@ -234,24 +237,28 @@ def train_crf(
         .join(F.broadcast(wanted), "key")
         .groupBy("key").agg(F.max("y").alias("y"), F.min("text").alias("text"))
     )
-    features = rows.select("y", "text").mapInArrow(_feature_batches, "y int, n int, x binary").collect()
+    features = rows.select("y", "text").mapInArrow(_feature_batches(sample_lines), "y int, n int, x binary").collect()
     sequences = [np.frombuffer(r["x"], dtype=np.float32).reshape(r["n"], -1).astype(float) for r in features]
     order = sorted(range(len(sequences)), key=lambda i: (features[i]["y"], bytes(features[i]["x"])))
     return LineCrf().fit([sequences[i] for i in order], [features[i]["y"] for i in order])
 
 
-def _feature_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_batches(sample_lines: int):
     """Line features of labelled texts: what the driver gets instead of texts."""
-    for batch in batches:
-        ys, ns, xs = [], [], []
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            lines, repeated = lines_of(text.as_py())
-            if lines:
-                x = line_features(lines, repeated)[:SAMPLE_LINES].astype(np.float32)
-                ys.append(y), ns.append(len(x)), xs.append(x.tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ys, pa.int32()), pa.array(ns, pa.int32()), pa.array(xs, pa.binary())], ["y", "n", "x"]
-        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ys, ns, xs = [], [], []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lines, repeated = lines_of(text.as_py())
+                if lines:
+                    x = line_features(lines, repeated)[:sample_lines].astype(np.float32)
+                    ys.append(y), ns.append(len(x)), xs.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ys, pa.int32()), pa.array(ns, pa.int32()), pa.array(xs, pa.binary())], ["y", "n", "x"]
+            )
+
+    return run
 
 
 def verdicts(crf: LineCrf, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.5):

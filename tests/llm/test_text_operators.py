@@ -225,6 +225,18 @@ def test_quality_on_held_out_labels(spark):
     assert nothing.decode(np.ones((3, len(quality_rules.FEATURES)))).tolist() == [1, 1, 1]
 
 
+def test_lines_learned_from_are_a_parameter(spark):
+    # Junk only beyond the third line: three lines cannot tell the classes apart.
+    head = "a plain line of words here.\n" * 3
+    rows = [(i, head + ("BUY NOW $$$ ### !!!\n" * 9 if i % 2 else "more words in a plain line.\n" * 9)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(1 - doc_id % 2 AS INT) AS quality")
+    bad = rows[1][1]
+    whole = quality_rules.content_share(quality_rules.train_crf(docs, labels), bad)[0]
+    short = quality_rules.content_share(quality_rules.train_crf(docs, labels, sample_lines=3), bad)[0]
+    assert whole < short
+
+
 # --- language model ---
 
 
