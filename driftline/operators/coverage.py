@@ -14,18 +14,20 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.sky import array_sum, footprint_columns, gnomonic, in_footprint, separation
+from driftline.functions.sky import array_sum, footprint_columns, gnomonic, separation
 from driftline.operators.celljoin import cell_join
 from driftline.operators.guards import require
-from driftline.operators.ordered import cut_lineage
+from driftline.operators.ordered import cut_lineage, spread
+from driftline.operators.stars import quad_contains
 from driftline.sources.catalogs import MAX_SEARCH_DAYS, MAX_SEARCH_RADIUS_DEGREES
 
-# Fixed value: the smallest sequence.
+# The smallest sequence, and the smallest time bucket (a minute).
 MIN_FRAMES = 3
+MIN_BUCKET_DAYS = 1.0 / 1440.0
 
 
 def with_reach(exposures: DataFrame, margin_arcsec: float = 0.0) -> DataFrame:
-    """Adds the footprint's plane columns and ``reach`` (arcsec).
+    """Adds the footprint's plane columns, its outer radius and ``reach`` (arcsec).
 
     Exposures without a time or without complete corners cover nothing and
     are left out.
@@ -35,16 +37,29 @@ def with_reach(exposures: DataFrame, margin_arcsec: float = 0.0) -> DataFrame:
     )
     radius = f"array_max(transform(corners, p -> {separation('fp_ra', 'fp_dec', 'p.ra', 'p.dec')}))"
     return usable.selectExpr("*", *footprint_columns("corners")).selectExpr(
-        "*", f"pow(2D, ceil(log2({radius} * 1.001D + {float(margin_arcsec)!r}D + 1D))) AS reach"
-    ).drop("fp_plane", "fp_sorted")
+        "*", f"{radius} * 1.001D + 1D AS fp_radius"
+    ).selectExpr("*", f"pow(2D, ceil(log2(fp_radius + {float(margin_arcsec)!r}D))) AS reach").drop("fp_plane", "fp_sorted")
+
+
+def bucket_length(positions: DataFrame, longest: float) -> float:
+    """Time bucket (days) for the windows asked for: their mean length, at most
+    ``longest``. A position then lies in three buckets on average or, where
+    windows are longer, in as many as buckets of ``longest`` give, and meets
+    few exposures outside its window."""
+    mean = positions.where("start_jd < end_jd").agg(F.avg(F.expr("end_jd - start_jd"))).first()[0]
+    return longest if mean is None else min(longest, max(MIN_BUCKET_DAYS, mean))
 
 
 def _candidates(
-    positions: DataFrame, exposures: DataFrame, keys: list[str], carry: list[str], margin_arcsec: float, bucket_days: float
+    positions: DataFrame, exposures: DataFrame, keys: list[str], carry: list[str], margin_arcsec: float, bucket_days: float,
+    within: str,
 ) -> DataFrame:
-    """Exposures whose reach and bucket hold a position, within its window."""
+    """Exposures no farther than ``within`` (SQL, arcsec, at most the reach)
+    from a position, in its window. ``bucket_days``: the longest time bucket."""
+    bucket_days = bucket_length(positions, bucket_days)
+    # A few large input files would leave footprints and pairs to a few tasks.
     seen = cut_lineage(
-        with_reach(exposures, margin_arcsec).withColumn("_bucket", F.floor(F.col("obsjd") / bucket_days).cast("long"))
+        with_reach(spread(exposures, "pid"), margin_arcsec).withColumn("_bucket", F.floor(F.col("obsjd") / bucket_days).cast("long"))
     )
     # Powers of two between arcsec and the sky: at most twenty values.
     reaches = sorted(r["reach"] for r in seen.select("reach").distinct().collect())
@@ -56,9 +71,10 @@ def _candidates(
     )
     near = cell_join(
         seen, asked, "reach", on=["reach", "_bucket"], left_pos=("fp_ra", "fp_dec"), right_pos=("p_ra", "p_dec"),
-        cell_factor=1.0, extra="obsjd >= start_jd AND obsjd < end_jd",
+        cell_factor=1.0,
+        extra=f"obsjd >= start_jd AND obsjd < end_jd AND abs(fp_dec - p_dec) * 3600D <= {within}",
     )
-    return near.drop("_bucket", "reach", "separation")
+    return near.where(f"separation <= {within}").drop("_bucket", "reach", "separation", "fp_radius")
 
 
 def exposures_at(
@@ -69,8 +85,11 @@ def exposures_at(
     ``positions``: keys, ``ra, dec, start_jd, end_jd``; ``exposures``: ``pid,
     obsjd, corners`` (four of ``ra, dec``, in any order) and any others.
     """
-    near = _candidates(positions, exposures, keys, [], 0.0, bucket_days)
-    return near.where(in_footprint("p_ra", "p_dec")).drop("p_ra", "p_dec", "fp_ra", "fp_dec", "fp_edges", "start_jd", "end_jd")
+    near = _candidates(positions, exposures, keys, [], 0.0, bucket_days, "fp_radius")
+    x, y = gnomonic("p_ra", "p_dec", "fp_ra", "fp_dec")
+    # A generator, so that the projection is computed once for all edges.
+    held = near.selectExpr("*", f"explode(array(named_struct('x', {x}, 'y', {y}))) AS _at").where(quad_contains("_at.x", "_at.y"))
+    return held.drop("_at", "p_ra", "p_dec", "fp_ra", "fp_dec", "fp_edges", "start_jd", "end_jd")
 
 
 def find_sequences(
@@ -132,7 +151,9 @@ def box_searches(
         f"the window must be positive and at most {MAX_SEARCH_DAYS:g} days",
     )
     margin = MAX_SEARCH_RADIUS_DEGREES * math.sqrt(2.0) * 1.01 * 3600.0
-    near = _candidates(checked, exposures, keys, ["radius_deg"], margin, bucket_days)
+    # What is farther apart than both outer circles can't meet; few pairs are projected.
+    within = f"(fp_radius + radius_deg * {math.sqrt(2.0) * 1.01 * 3600.0!r}D)"
+    near = _candidates(checked, exposures, keys, ["radius_deg"], margin, bucket_days, within)
     x, y = gnomonic("p.ra", "p.dec", "p_ra", "p_dec")
     plane = f"transform(corners, p -> named_struct('x', degrees({x}), 'y', degrees({y})))"
     mx, my = (f"{array_sum(f'transform(_raw, p -> p.{c})')} / 4" for c in "xy")

@@ -1,6 +1,7 @@
 """Footprint searches: wrap, corner order, gaps in the input, limits."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import coverage as C
 
@@ -49,3 +50,11 @@ def test_boxes_meet_footprints(spark, exposures):
 def test_limits_stop_a_search(spark, exposures, row):
     with pytest.raises(Exception, match="radius must be|window must be"):
         C.box_searches(spark.createDataFrame([row], POSITION), exposures, ["star_id"]).collect()
+
+
+def test_buckets_follow_the_windows(spark, exposures):
+    short = spark.createDataFrame([(1, 0.0, 0.0, 0.1, 100.4, 100.6), (2, 0.0, 0.0, 0.1, 100.9, 101.1)], POSITION)
+    assert abs(C.bucket_length(short, 31.0) - 0.2) < 1e-9
+    assert C.bucket_length(short.withColumn("end_jd", F.lit(900.0)), 31.0) == 31.0
+    assert C.bucket_length(short.limit(0), 31.0) == 31.0
+    assert {(r.star_id, r.pid) for r in C.exposures_at(short, exposures, ["star_id"]).collect()} == {(1, 2), (2, 3)}
