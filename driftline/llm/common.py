@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators.ordered import ensure_checkpoint_dir
+from driftline.operators.ordered import scratch_folder, stored  # noqa: F401
 
 # What separates words, as a Java / RE2 class and as bytes.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -18,30 +16,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder, removed at the end."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, folder)
-    return folder
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here,
-    each row is computed once, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    folder = scratch_folder(spark, name)
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def map_rows(
     df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators.metrics import BACKGROUND, POSITIVE, hash_score
-from driftline.operators.ordered import cut_lineage
+from driftline.operators.ordered import placed, split_by_size, stored, tie_totals
 from driftline.operators.ranking import MISSING_PERCENTILE, long_features, oriented_percentiles
 
 # The ranker family.
@@ -22,9 +22,24 @@ CV_FOLDS = 5
 KEY = ["field_id", "tracklet_no"]
 
 
-def percentile_table(rows: DataFrame, features, carry: list[str]) -> DataFrame:
-    """Oriented within-field percentiles, one column per feature, label-free.
-    Stored, because every ranker reads it."""
+def _percentiles_in_task(rows: DataFrame, features, carry: list[str]) -> DataFrame:
+    """Percentiles of all features by sorts of each field in its task: the rows
+    are shuffled once, and neither repeated per feature nor joined."""
+    names = [n for n, _ in features]
+    out = placed(rows.select(*KEY, *carry, *[(d * F.col(n).cast("double")).alias(f"_v_{n}") for n, d in features]), "field_id")
+    for n in names:
+        value = f"_v_{n}"
+        counted = tie_totals(out, ["field_id"], value, {"_c": F.col(value).isNotNull().cast("long")})
+        out = counted.withColumn(
+            n,
+            F.when(F.col(value).isNotNull(), (F.col("_c_below") + 0.5 * F.col("_c_tied")) / F.col("_c_total"))
+            .otherwise(F.lit(MISSING_PERCENTILE)),
+        ).drop(value, "_c_below", "_c_tied", "_c_total")
+    return out.select(*KEY, *carry, *names)
+
+
+def _percentiles_over_tasks(rows: DataFrame, features, carry: list[str]) -> DataFrame:
+    """The same for fields of any size."""
     long = oriented_percentiles(long_features(rows, KEY, features), ["field_id"])
     wide = long.groupBy(*KEY).agg(
         *[
@@ -34,20 +49,40 @@ def percentile_table(rows: DataFrame, features, carry: list[str]) -> DataFrame:
             for n, _ in features
         ]
     )
-    return cut_lineage(rows.select(*KEY, *carry).join(wide, KEY))
+    return rows.select(*KEY, *carry).join(wide, KEY)
 
 
-def fixed_scores(table: DataFrame, features, tracklet: str = "tracklet_id") -> DataFrame:
-    """Long scores of the parameter-free rankers: hash order, each feature
-    alone, and the unweighted mean of all."""
+def percentile_table(rows: DataFrame, features, carry: list[str], limit: int | None = None) -> DataFrame:
+    """Oriented within-field percentiles, one column per feature, label-free.
+    Stored, because every ranker reads it. Fields of more than ``limit`` rows
+    are spread over several tasks."""
+    small, large = split_by_size(rows, ["field_id"], limit)
+    table = _percentiles_in_task(small, features, carry)
+    if large is not None:
+        table = table.unionByName(_percentiles_over_tasks(large, features, carry))
+    return stored(table.dropna(subset=KEY), "percentiles")
+
+
+def fixed_items(features, tracklet: str = "tracklet_id") -> list[str]:
+    """Name and score SQL of the parameter-free rankers: hash order, each
+    feature alone, and the unweighted mean of all."""
     names = [n for n, _ in features]
     items = [f"'B0', {hash_score('field_id', tracklet)}"]
     items += [f"'B1:{n}', {n}" for n in names]
-    items.append(f"'M1', ({' + '.join(names)}) / {len(names)}D")
-    others = [c for c in table.columns if c not in names]
+    return [*items, f"'M1', ({' + '.join(names)}) / {len(names)}D"]
+
+
+def stacked(table: DataFrame, features: list[str], items: list[str]) -> DataFrame:
+    """Long scores: the row once per ranker of ``items``, without the features."""
+    others = [c for c in table.columns if c not in features]
     return table.selectExpr(*others, f"stack({len(items)}, {', '.join(items)}) AS (ranker, score)")
 
 
+def fixed_scores(table: DataFrame, features, tracklet: str = "tracklet_id") -> DataFrame:
+    """Long scores of the parameter-free rankers."""
+    return stacked(table, [n for n, _ in features], fixed_items(features, tracklet))
+
+
 def frozen_scores(table: DataFrame, weights: dict[str, float], intercept: float, name: str) -> DataFrame:
     """intercept + sum of weight x percentile, added in the given order."""
     others = [c for c in table.columns if c not in weights]
@@ -150,15 +185,16 @@ def linear_sql(weights: dict[str, float], intercept: float) -> str:
     return score
 
 
-def cross_validated(
+def cross_validated_items(
     table: DataFrame, features: list[str], folds: DataFrame, cs=LOGISTIC_C_GRID
-) -> DataFrame:
-    """Out-of-fold linear scores of every penalty, long. ``folds``: ``grp,
-    fold``. All models are fitted together; a row's score is that of the model
-    that left its fold out."""
-    rows = cut_lineage(table.join(folds, "grp"))
+) -> tuple[DataFrame, list[str]]:
+    """(rows with ``fold``, name and score SQL of every penalty). ``folds``:
+    ``grp, fold``. All models are fitted together; a row's score is that of
+    the model that left its fold out."""
+    rows = table.join(stored(folds, "folds"), "grp")
     models = [(c, fold) for c in cs for fold in range(CV_FOLDS)]
-    fits = fit_models(cut_lineage(training_set(rows)), features, models)
+    training = training_set(rows).select(*features, "target", "sample_weight", "fold")
+    fits = fit_models(stored(training, "training"), features, models)
     items = []
     for c in cs:
         cases = " ".join(
@@ -166,8 +202,15 @@ def cross_validated(
             for (own, fold), fit in zip(models, fits, strict=True) if own == c
         )
         items.append(f"'M2:C={c:g}', CASE fold {cases} END")
-    others = [c for c in rows.columns if c not in features]
-    return rows.selectExpr(*others, f"stack({len(items)}, {', '.join(items)}) AS (ranker, score)")
+    return rows, items
+
+
+def cross_validated(
+    table: DataFrame, features: list[str], folds: DataFrame, cs=LOGISTIC_C_GRID
+) -> DataFrame:
+    """Out-of-fold linear scores of every penalty, long."""
+    rows, items = cross_validated_items(table, features, folds, cs)
+    return stacked(rows, features, items)
 
 
 def compare_scores(a: DataFrame, b: DataFrame) -> DataFrame:
