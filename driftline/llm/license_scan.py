@@ -2,10 +2,10 @@
 
 A candidate block (the words around a license word, as many on both sides as
 the longest template can span, whatever the lines) is compressed alone
-and with every template as a raw-content zstandard dictionary. Every
-template that shortens the block enough is compared word by word with all
-stretches that could hold it; one that stands there word for word is found
-whatever it saves. A place goes to the template with the fewest differences.
+and with every template as a raw-content zstandard dictionary. The templates are
+ranked by the bytes they save; the best one whose wording stands in the block is
+found, its words are taken out and the rest is ranked again, until none saves
+enough. A place goes to the template with the fewest differences.
 """
 
 from __future__ import annotations
@@ -120,6 +120,10 @@ FIXED = re.compile(r"\d|\b(?:no|not|without|lesser|library|affero|noncommercial|
 TOKEN = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
 
 
+# Stands for a word that a template has taken; no word of a text is like it.
+TAKEN = "\n"
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in TOKEN.findall(text)]
 
@@ -222,26 +226,54 @@ class LicenseScanner:
                     tried = d
                     yield d
 
+    def wording(self, k: int, words: list[str]) -> list[tuple[int, int, int]]:
+        """Where template ``k`` stands: ``first word, end, differing words``.
+        Short notices must be word for word; of long ones a tenth of the words
+        may differ, but nothing of FIXED."""
+        n = len(self.words[k])
+        found = [(a, b, 0) for a, b in self._exact(k, f" {' '.join(words)} ")]
+        if n <= 15:
+            return found
+        for d in self._stretches(k, _triples(words)):
+            start = max(0, d - n // 10)
+            changed, a, b = self.differences(k, words[start : d + n + 2 * (n // 10)])
+            differing = sum(len(x.split()) + len(y.split()) for x, y in changed)
+            if 0 < differing <= n // 10 and not any(FIXED.search(f"{x} {y}") for x, y in changed):
+                found.append((start + a, start + b, differing))
+        return found
+
     def confirm(self, words: list[str]) -> list[tuple[int, int, int, float, int]]:
         """Templates in a block: ``first word, end, template, saving, differing
-        words``, every place of every template."""
-        found = []
-        joined, triples = f" {' '.join(words)} ", _triples(words)
-        places = [list(self._exact(k, joined)) for k in range(len(self.words))]
-        wanted = [k for k, exact in enumerate(places) if exact or len(self.words[k]) > 15]
-        for k, saving in zip(wanted, self.savings(words, wanted), strict=True):
-            n, exact = len(self.words[k]), places[k]
-            found += [(a, b, k, saving, 0) for a, b in exact]
-            # Short notices must be word for word; of long ones a tenth of the
-            # words may differ, but nothing of FIXED.
-            if n <= 15 or saving < self.least and not exact:
-                continue
-            for d in self._stretches(k, triples):
-                start = max(0, d - n // 10)
-                changed, a, b = self.differences(k, words[start : d + n + 2 * (n // 10)])
-                differing = sum(len(x.split()) + len(y.split()) for x, y in changed)
-                if 0 < differing <= n // 10 and not any(FIXED.search(f"{x} {y}") for x, y in changed):
-                    found.append((start + a, start + b, k, saving, differing))
+        words``, every place of every template.
+
+        A round compresses what is left of the block with every open template
+        and ranks them by the bytes each saves. The first one that stands there
+        word for word wins, or else the first in a changed wording; its words
+        are taken out and the rest is ranked again, until no template saves the
+        least share. One whose wording isn't there is closed: words only go.
+        """
+        found, left, still = [], list(words), list(range(len(self.words)))
+        while still:
+            saved = dict(zip(still, self.savings([w for w in left if w != TAKEN], still), strict=True))
+            ranked = sorted((k for k in still if saved[k] >= self.least), key=lambda k: -saved[k] * len(self.texts[k]))
+            winner, closed = None, set()
+            for k in ranked:
+                places = self.wording(k, left)
+                if not places:
+                    closed.add(k)
+                elif winner is None or not any(d == 0 for *_, d in winner[1]) and any(d == 0 for *_, d in places):
+                    winner = k, places
+                    if any(d == 0 for *_, d in places):
+                        break
+            if winner is None:
+                break
+            k, places = winner
+            # Of its places that share words, the one with the fewest differences.
+            for a, b, differing in sorted(places, key=lambda p: (p[2], p[0])):
+                if TAKEN not in left[a:b]:
+                    found.append((a, b, k, saved[k], differing))
+                    left[a:b] = [TAKEN] * (b - a)
+            still = [j for j in still if j not in closed and (j != k or len(self.words[k]) > 15)]
         return found
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float, int]]:

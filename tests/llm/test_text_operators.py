@@ -414,6 +414,34 @@ def test_published_license_wording(text, want):
     assert {f[2] for f in license_scan.LicenseScanner().scan("x = 1\n" * 50 + text + "\nx = 2" * 50)} == want
 
 
+def test_compression_proposes_licenses():
+    class Counted(license_scan.LicenseScanner):
+        asked: list = []
+
+        def savings(self, words, wanted):
+            self.asked.append(len(wanted))
+            return super().savings(words, wanted)
+
+    text = "Licensed under the MIT License. " + "some words between " * 9 + "Licensed under the Apache License, Version 2.0."
+    scan = Counted()
+    assert [f[2] for f in scan.scan(text)] == ["MIT", "Apache-2.0"]
+    # Every template is compressed, again after each winner; none stands in what is left.
+    assert scan.asked[0] == len(scan.templates) and len(scan.asked) >= 3
+    # What no template shortens enough is not looked for.
+    assert license_scan.LicenseScanner(least=2.0).scan(text) == []
+
+
+def test_ranking_loses_nothing_that_literal_search_finds():
+    rng, scan = random.Random(12), license_scan.LicenseScanner()
+    filler = "the ships of spring went far over licensed seas while nobody asked for copyright or permission".split()
+    for k, (name, notice) in enumerate(license_scan.TEMPLATES):
+        words = [rng.choice(filler) for _ in range(60)]
+        other = rng.choice(license_scan.TEMPLATES)
+        text = " ".join([*words[:30], notice, *words[30:], other[1]])
+        assert {name, other[0]} <= {f[2] for f in scan.scan(text)}, (k, name, other)
+
+
+
 def test_codecs_are_released_and_built_anew(spark):
     docs = spark.createDataFrame([(k, f"some text {k} Ünïcode") for k in range(20)], "doc_id long, text string")
     kept = {r.doc_id: bytes(r.ids) for r in byte_bpe.encode_documents(docs, cache=1000).collect()}
