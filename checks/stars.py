@@ -10,7 +10,7 @@ from driftline.functions import classify as C
 from driftline.functions.classify import johnson_v
 from driftline.functions.sky import edge_distance, unit_vector, vector_position
 from driftline.operators import stars as S
-from driftline.operators.ordered import cut_lineage
+from driftline.operators.ordered import cut_lineage, spread
 from driftline.operators.quality import mask_state
 
 # A wide footprint for the stars' sky, corners given crosswise.
@@ -156,7 +156,8 @@ def edge_distances(spark, sf):
     """Each star's distance from the nearest footprint edge, and V from two
     bands, of which the second is missing for some."""
     points = ", ".join(f"named_struct('ra', {a!r}D, 'dec', {b!r}D)" for a, b in WIDE)
-    rows = data.stars(spark, sf).selectExpr(
+    # A star is few bytes and much work: spread them first.
+    rows = spread(data.stars(spark, sf), "star_id").selectExpr(
         "*", f"array({points}) AS corners", "mod(CAST(split(star_id,'-')[1] AS BIGINT),7) AS k"
     ).selectExpr("*", "if(k=2, NULL, v_mag + k/1e1) AS bt_mag")
     return rows.selectExpr(

@@ -195,15 +195,21 @@ def project_points(points, ra0, dec0, projection=gnomonic) -> str:
     return f"transform({points}, p -> named_struct('x', {x}, 'y', {y}))"
 
 
+def let(name: str, value: str, body: str) -> str:
+    """``body``, in which ``name`` stands for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def sort_around_centre(points) -> str:
     """Polygon corners ordered by angle about their mean."""
-    mx = f"({array_sum(f'transform({points}, p -> p.x)')} / size({points}))"
-    my = f"({array_sum(f'transform({points}, p -> p.y)')} / size({points}))"
+    mx = f"({array_sum('transform(_pts, p -> p.x)')} / size(_pts))"
+    my = f"({array_sum('transform(_pts, p -> p.y)')} / size(_pts))"
     keyed = (
-        f"transform({points}, p -> named_struct('a', atan2(p.y - {my}, p.x - {mx}),"
+        "transform(_pts, p -> named_struct('a', atan2(p.y - _mid.y, p.x - _mid.x),"
         " 'x', p.x, 'y', p.y))"
     )
-    return f"transform(array_sort({keyed}), p -> named_struct('x', p.x, 'y', p.y))"
+    ordered = f"transform(array_sort({keyed}), p -> named_struct('x', p.x, 'y', p.y))"
+    return let("_pts", points, let("_mid", f"named_struct('x', {mx}, 'y', {my})", ordered))
 
 
 def polygon_edges(points) -> str:
@@ -272,7 +278,8 @@ def edge_distance(ra, dec, corners) -> str:
         "(pow(e.x2 - e.x1, 2) + pow(e.y2 - e.y1, 2)), 0D), 1D)"
     )
     reach = f"hypot(e.x1 + {t} * (e.x2 - e.x1), e.y1 + {t} * (e.y2 - e.y1))"
-    return f"(degrees(array_min(transform({polygon_edges(plane)}, e -> {reach}))) * 3600D)"
+    nearest = f"array_min(transform({polygon_edges('_plane')}, e -> {reach}))"
+    return f"(degrees({let('_plane', plane, nearest)}) * 3600D)"
 
 
 def display_pixel(ra, dec, g: dict) -> tuple[str, str]:

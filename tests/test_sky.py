@@ -79,3 +79,8 @@ def test_ecliptic_latitude(spark):
     assert one(spark, sky.ecliptic_latitude(90.0, sky.OBLIQUITY_J2000)) == pytest.approx(0.0, abs=1e-9)
     pole = one(spark, sky.ecliptic_latitude(270.0, 90 - sky.OBLIQUITY_J2000))
     assert pole == pytest.approx(90.0, abs=1e-4)
+
+
+def test_edge_distance_projects_the_corners_once():
+    text = sky.edge_distance("ra", "dec", "corners")
+    assert text.count(sky.project_points("corners", "ra", "dec")) == 1
