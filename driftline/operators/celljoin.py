@@ -13,6 +13,11 @@ cells are left to the adaptive skew join, which splits them by map output.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +25,8 @@ from driftline.functions.sky import separation
 
 # Guards the cell arithmetic against rounding at cell borders.
 _PAD = "1.000000001D"
+# Fixed value: pairs of a cell that are judged at once.
+CELL_PAIRS = 2_000_000
 
 
 def _radius(radius) -> str:
@@ -120,3 +127,82 @@ def cell_join(
     if how != "inner":
         return joined.drop("_zone", "_cell")
     return joined.withColumn(name, F.expr(exact)).drop("_zone", "_cell", *renamed.values())
+
+
+def cell_groups(
+    left: DataFrame,
+    right: DataFrame,
+    radius: float,
+    on: list[str],
+    judge: Callable[[pa.Table, pa.Table], pa.Table],
+    schema: str,
+    left_pos: tuple[str, str] = ("ra", "dec"),
+    right_pos: tuple[str, str] = ("ra2", "dec2"),
+    cell_factor: float = 4.0,
+) -> DataFrame:
+    """What ``judge`` makes of the left rows of each cell and the right rows
+    whose circles touch it, for results per left row that need many pairs: no
+    pair becomes a row, so none is sorted or shuffled.
+
+    Every left row is judged once, with all right rows within ``radius`` (and
+    others near them). A task holds the rows of one cell, not their pairs.
+    """
+    keys = [*on, "_zone", "_cell"]
+    # No pair has a null key.
+    some = right.dropna(subset=on) if on else right
+    lcol = with_cell(left, *left_pos, radius, cell_factor)
+    rcol = with_touched_cells(some, *right_pos, radius, cell_factor)
+    # Cells without a left row would be most of them where the left side is clustered.
+    rcol = rcol.join(lcol.select(*keys).distinct(), keys, "left_semi")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return judge(a, b)
+
+    return lcol.groupBy(*keys).cogroup(rcol.groupBy(*keys)).applyInArrow(run, schema)
+
+
+def _angles(table: pa.Table, pos: tuple[str, str]) -> list[np.ndarray]:
+    return [np.radians(table[name].to_numpy().astype(float)) for name in pos]
+
+
+def chords(
+    table: pa.Table, others: pa.Table, pos: tuple[str, str], other_pos: tuple[str, str]
+) -> Iterator[tuple[slice, np.ndarray]]:
+    """Squared chords on the unit sphere between all rows of two tables, in
+    blocks of rows of the first one; NaN without a position. They grow with the
+    separation and are as exact as it is, also where it is small."""
+
+    def vectors(rows, names):
+        ra, dec = _angles(rows, names)
+        return np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)
+
+    here, there = vectors(table, pos), vectors(others, other_pos)
+    step = max(1, CELL_PAIRS // max(1, others.num_rows))
+    for at in range(0, table.num_rows, step):
+        rows = slice(at, at + step)
+        yield rows, sum(np.square(a[rows, None] - b) for a, b in zip(here, there, strict=True))
+
+
+def separations(table: pa.Table, others: pa.Table, pos: tuple[str, str], other_pos: tuple[str, str]) -> np.ndarray:
+    """Separation (arcsec) of each row of a table from that of another one, as
+    ``functions.sky.separation``."""
+    (ra1, d1), (ra2, d2) = _angles(table, pos), _angles(others, other_pos)
+    along = np.cos(d2) * np.cos(ra2 - ra1)
+    across = np.hypot(np.cos(d2) * np.sin(ra2 - ra1), np.cos(d1) * np.sin(d2) - np.sin(d1) * along)
+    return np.degrees(np.arctan2(across, np.sin(d1) * np.sin(d2) + np.cos(d1) * along)) * 3600.0
+
+
+def within(
+    radius: float, table: pa.Table, others: pa.Table, pos: tuple[str, str], other_pos: tuple[str, str]
+) -> Iterator[tuple[slice, np.ndarray]]:
+    """Whether rows of two tables are within ``radius`` arcsec (inclusive), in
+    blocks of rows of the first one. Pairs at the border are judged by their
+    separation, as a join does."""
+    limit = 4.0 * math.sin(math.radians(min(radius / 3600.0, 180.0)) / 2.0) ** 2
+    for rows, apart in chords(table, others, pos, other_pos):
+        close = apart <= limit * (1.0 + 1e-9)
+        i, j = np.nonzero(close & (apart >= limit * (1.0 - 1e-9)))
+        if len(i):
+            pair = table.take(pa.array(i + rows.start)), others.take(pa.array(j))
+            close[i, j] = separations(*pair, pos, other_pos) <= radius
+        yield rows, close

@@ -6,6 +6,8 @@ per-frame metadata has ``center_ra, center_dec, corners, maglimit``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from driftline.functions.sky import (
     pair_separations,
     predicted_motion,
 )
-from driftline.operators.celljoin import cell_join
-from driftline.operators.ordered import first_per_group, quantiles
+from driftline.operators.celljoin import cell_groups, cell_join, within
+from driftline.operators.ordered import first_per_group, quantiles, stored
 
 # The target rule and the trace radii.
 PRIMARY_MARGIN = 0.5
@@ -147,28 +149,17 @@ def frame_traces(
     """Target by frame: expected brightness, local depth, nearest source, and
     whether that source is a moving candidate. ``marked`` are detections with
     ``is_stationary``; ``metadata`` adds ``filter_code`` and ``maglimit``."""
-    positions = target_positions(targets)
-    near = nearest_detections(
-        positions,
-        marked.select(*FRAME, "det_no", "ra", "dec", "magnitude", "snr", "mask_bits", "is_stationary"),
+    # Stored, because the nearest source and the depth both read them.
+    marked = stored(
+        marked.select(*FRAME, "det_no", "ra", "dec", "magnitude", "snr", "mask_bits", "is_stationary"), "marked"
     )
-    low, high = LOCAL_DEPTH_SNR
-    around = cell_join(
-        marked.where(f"snr >= {low!r}D AND snr <= {high!r}D").select(*FRAME, "ra", "dec", "magnitude", "snr"),
-        positions,
-        LOCAL_DEPTH_RADIUS,
-        on=FRAME,
-        right_pos=("t_ra", "t_dec"),
-        cell_factor=1.0,
-    )
-    depth = around.groupBy(*TARGET, "frame_no").agg(depth_column().alias("local_depth_mag"))
+    near = nearest_detections(stored(local_depths(target_positions(targets), marked), "depths"), marked)
     offset = "CASE filter_code " + " ".join(
         f"WHEN '{b}' THEN {o!r}D" for b, o in BAND_OFFSET.items()
     ) + " ELSE 0D END"
     found = f"coalesce(nearest_arcsec <= {config.match_radius_arcsec!r}D, false)"
     joined = (
-        near.join(depth, [*TARGET, "frame_no"], "left")
-        .join(metadata.select(*FRAME, "filter_code", "maglimit"), FRAME)
+        near.join(metadata.select(*FRAME, "filter_code", "maglimit"), FRAME)
         .join(targets.select(*TARGET, "v_magnitude"), TARGET)
         .selectExpr("*", f"{found} AS detected", f"v_magnitude + {offset} AS expected_mag")
     )
@@ -182,13 +173,40 @@ def frame_traces(
     )
 
 
-def depth_column():
-    """Median 5-sigma depth of sources in the SNR window; null below five.
+def _depth_in_cell(names: list[str]):
+    """Columns ``names`` of each position and the median ``depth`` of the
+    sources around it; null below the least number of sources."""
 
-    Used on bounded neighbourhoods (one circle of one frame).
-    """
-    value = "magnitude + 2.5D * log10(snr / 5D)"
-    return F.expr(f"if(count(*) >= {LOCAL_DEPTH_MIN_SOURCES}, median({value}), NULL)")
+    def judge(positions: pa.Table, sources: pa.Table) -> pa.Table:
+        sources = sources.sort_by("depth")
+        value = sources["depth"].drop_null().to_numpy()
+        found = np.full(positions.num_rows, np.nan)
+        none = np.ones(positions.num_rows, bool)
+        for rows, close in within(LOCAL_DEPTH_RADIUS, positions, sources, ("t_ra", "t_dec"), ("ra", "dec")):
+            upto = close[:, : len(value)].cumsum(axis=1, dtype=np.int32)
+            n = upto[:, -1] if len(value) else np.zeros(len(close), np.int32)
+            none[rows] = (n == 0) | (close.sum(axis=1) < LOCAL_DEPTH_MIN_SOURCES)
+            if len(value):
+                low, high = ((upto >= k[:, None]).argmax(axis=1) for k in ((n + 1) // 2, n // 2 + 1))
+                found[rows] = 0.5 * value[low] + 0.5 * value[high]
+        return positions.select(names).append_column("local_depth_mag", pa.array(found, mask=none))
+
+    return judge
+
+
+def local_depths(positions: DataFrame, detections: DataFrame) -> DataFrame:
+    """Positions with ``local_depth_mag``, the median 5-sigma depth of the
+    sources of the SNR window within ``LOCAL_DEPTH_RADIUS`` of each, null below
+    ``LOCAL_DEPTH_MIN_SOURCES`` of them."""
+    low, high = LOCAL_DEPTH_SNR
+    sources = detections.where(f"snr >= {low!r}D AND snr <= {high!r}D").selectExpr(
+        *FRAME, "ra", "dec", "magnitude + 2.5D * log10(snr / 5D) AS depth"
+    )
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in positions.schema)
+    return cell_groups(
+        positions, sources, LOCAL_DEPTH_RADIUS, FRAME, _depth_in_cell(positions.columns),
+        f"{kinds}, local_depth_mag double", left_pos=("t_ra", "t_dec"), right_pos=("ra", "dec"),
+    )
 
 
 def frame_depths(detections: DataFrame) -> DataFrame:
