@@ -2,16 +2,22 @@
 
 A scan reads only the partitions (day, area) that a cone touches: the touched
 ones are a small table that prunes the stored one at run time. What is read
-meets the cones in cells of their size, at their epoch, and is tested exactly.
+meets the cones in cells of their size, at their epoch, and is tested exactly,
+cone by cone in numpy: pairs of one cell are never rows until they are a result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from driftline.functions.sky import separation
-from driftline.operators.celljoin import cell_join
+from driftline.operators.celljoin import separations, with_cell, with_touched_cells
 from driftline.operators.guards import require
 from driftline.operators.identify import covering_cone
 
@@ -27,6 +33,8 @@ _ZONES, _CELLS = 180 // _ZONE, 360 // _CELL
 # Cones are joined in classes of size, powers of two from a quarter degree to
 # 16 degrees: seven at most.
 _LEAST_REACH_ARCSEC = 900.0
+# Rows of a cone scan's result that a task holds at once.
+_OUTPUT_ROWS = 200_000
 _IN_RANGE = (
     "center_ra >= 0D AND center_ra < 360D AND center_dec BETWEEN -90D AND 90D AND radius_deg > 0D"
     f" AND radius_deg <= {MAX_RADIUS_DEGREES!r}D AND epoch_jd BETWEEN {FIRST_EPOCH_JD!r}D AND {LAST_EPOCH_JD!r}D"
@@ -83,6 +91,69 @@ def touched_partitions(cones: DataFrame) -> DataFrame:
     )
 
 
+def _cones_of_cell(rows: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Each cone of a cell (its row) with the rows of the predictions inside."""
+    place = {c: rows[c].to_numpy() for c in ("_ra", "_dec", "_reach")}
+    is_cone = ~np.isnan(place["_reach"])
+    at = np.flatnonzero(~is_cone)
+    at = at[np.argsort(place["_dec"][at], kind="stable")]
+
+    def vectors(i):
+        ra, dec = np.radians(place["_ra"][i]), np.radians(place["_dec"][i])
+        return np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], axis=1)
+
+    there, decs = vectors(at), place["_dec"][at]
+    cones = np.flatnonzero(is_cone)
+    for cone, center in zip(cones, vectors(cones), strict=True):
+        reach = place["_reach"][cone]
+        near = reach / 3600.0 * (1.0 + 1e-9) + 1e-12
+        low, high = np.searchsorted(decs, [place["_dec"][cone] - near, place["_dec"][cone] + near], side="left")
+        # Squared chords from cosines: rounding moves them by less than 1e-14.
+        chord = 2.0 - 2.0 * (there[low:high] @ center)
+        limit = 4.0 * np.sin(np.radians(min(reach / 3600.0, 180.0)) / 2.0) ** 2
+        margin = limit * 1e-9 + 1e-14
+        inside = chord <= limit - margin
+        border = np.flatnonzero((chord <= limit + margin) & ~inside)
+        if len(border):
+            pair = rows.take(pa.array(at[low + border])), rows.take(pa.array(np.full(len(border), cone)))
+            inside[border] = separations(*pair, ("_ra", "_dec"), ("_ra", "_dec")) <= reach
+        yield cone, at[low:high][inside]
+
+
+def _count_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``applyInArrow``: the cones of a cell and how much of it they hold."""
+    rows = pa.Table.from_batches(list(batches))
+    found = [(cone, len(inside)) for cone, inside in _cones_of_cell(rows)]
+    own = rows["_cone"].combine_chunks().take(pa.array([f[0] for f in found], pa.int64()))
+    yield pa.RecordBatch.from_arrays([*own.flatten(), pa.array([f[1] for f in found], pa.int64())], [*[f.name for f in own.type], "objects"])
+
+
+def _objects_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For ``applyInArrow``: each cone of a cell with each prediction inside."""
+    rows = pa.Table.from_batches(list(batches))
+    cones, objects = rows["_cone"].combine_chunks(), rows["_object"].combine_chunks()
+    names = [f.name for f in cones.type] + [f.name for f in objects.type]
+    held, size = [], 0
+
+    def out():
+        cone = np.repeat([c for c, _ in held], [len(i) for _, i in held])
+        inside = np.concatenate([i for _, i in held])
+        for at in range(0, len(inside), _OUTPUT_ROWS):
+            part = slice(at, at + _OUTPUT_ROWS)
+            columns = [*cones.take(pa.array(cone[part])).flatten(), *objects.take(pa.array(inside[part])).flatten()]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    for cone, inside in _cones_of_cell(rows):
+        if len(inside):
+            held.append((cone, inside))
+            size += len(inside)
+            if size >= _OUTPUT_ROWS:
+                yield from out()
+                held, size = [], 0
+    if held:
+        yield from out()
+
+
 def cone_scan(ephemerides: DataFrame, cones: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(objects, fields): predictions inside each cone at its epoch, and one
     row per cone with their number, 0 for an empty one.
@@ -112,15 +183,37 @@ def cone_scan(ephemerides: DataFrame, cones: DataFrame, keys: list[str]) -> tupl
     classes = sorted(r[0] for r in sized.select("_class").distinct().collect())
     sizes = ", ".join(f"{c!r}D" for c in classes) or "1D"
     placed = seen.selectExpr("*", "CAST(round(epoch_jd * 86400e3) AS BIGINT) AS _epoch", f"explode(array({sizes})) AS _class")
-    objects = cell_join(
-        placed, sized, "_class", on=["_epoch", "_class"], left_pos=("predicted_ra", "predicted_dec"),
-        right_pos=("center_ra", "center_dec"), cell_factor=1.0,
-        extra=f"{separation('predicted_ra', 'predicted_dec', 'center_ra', 'center_dec')} <= radius_deg * 3600D",
-    ).select(*keys, *payload)
-    counts = objects.groupBy(*keys).agg(F.count("*").alias("objects"))
+    cell = ["_epoch", "_class", "_zone", "_cell"]
+    touched = with_touched_cells(sized, "center_ra", "center_dec", "_class", 1.0)
+    # Cells that no cone touches would be most of the small ones.
+    held = with_cell(placed, "predicted_ra", "predicted_dec", "_class", 1.0).join(touched.select(*cell).distinct(), cell, "left_semi")
+
+    own = asked.select(F.struct(*keys).alias("_cone")).schema["_cone"].dataType
+    carried = seen.select(F.struct(*payload).alias("_object")).schema["_object"].dataType
+    cone_rows = touched.select(
+        *cell, F.expr("CAST(center_ra AS DOUBLE) AS _ra"), F.expr("CAST(center_dec AS DOUBLE) AS _dec"),
+        F.expr("CAST(radius_deg * 3600D AS DOUBLE) AS _reach"), F.struct(*keys).alias("_cone"),
+    )
+    object_rows = held.select(
+        *cell, F.expr("CAST(predicted_ra AS DOUBLE) AS _ra"), F.expr("CAST(predicted_dec AS DOUBLE) AS _dec"),
+        F.lit(None).cast("double").alias("_reach"), F.lit(None).cast(own).alias("_cone"), F.struct(*payload).alias("_object"),
+    )
+    per_cell = cone_rows.unionByName(object_rows.drop("_object")).groupBy(*cell).applyInArrow(
+        _count_in_cell, StructType([*_nullable(own), StructField("objects", LongType())])
+    )
+    objects = (
+        cone_rows.withColumn("_object", F.lit(None).cast(carried))
+        .unionByName(object_rows)
+        .groupBy(*cell).applyInArrow(_objects_in_cell, StructType([*_nullable(own), *_nullable(carried)]))
+    )
+    counts = per_cell.groupBy(*keys).agg(F.sum("objects").alias("objects"))
     return objects, asked.join(counts, keys, "left").fillna(0, ["objects"])
 
 
+def _nullable(fields: StructType) -> list[StructField]:
+    return [StructField(f.name, f.dataType) for f in fields]
+
+
 def quadrant_cones(metadata: DataFrame, margin_arcsec: float = QUADRANT_MARGIN_ARCSEC) -> DataFrame:
     """A cone over each whole quadrant: ``product_id, epoch_jd`` and the cone.
 

@@ -80,3 +80,23 @@ def test_cones_of_quadrants_and_tracklets(spark):
     got = E.tracklet_cones(members, times, 3.0).orderBy("frame_no").collect()
     assert [(r.build_id, r.frame_no, r.epoch_jd) for r in got] == [(1, 0, JD), (1, 2, JD + 0.2)]
     assert got[0].radius_deg == pytest.approx(0.1 + 3 / 3600)
+
+
+def test_pairs_of_a_cell_are_no_rows_before_they_are_a_result(spark, predictions):
+    table = E.with_partition(spark.createDataFrame(predictions, EPHEMERIS))
+    found = E.cone_scan(table, spark.createDataFrame([(1, 0.0, 0.0, 2.0, JD)], CONE), ["cone_id"])
+    for df in found:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Inner" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_many_objects_around_one_cone_come_in_blocks(spark):
+    """More than one block of rows; objects on the border count."""
+    rows = [(f"o{k}", JD, 10.0 + k / 1e5, 0.0, None) for k in range(E._OUTPUT_ROWS // 400)]
+    rows += [("border", JD, 9.0, 0.0, None), ("outside", JD, 8.9999999, 0.0, None)]
+    table = E.with_partition(spark.createDataFrame(rows, EPHEMERIS)).crossJoin(spark.range(450).withColumnRenamed("id", "copy"))
+    cones = spark.createDataFrame([(1, 10.0, 0.0, 1.0, JD), (2, 190.0, 0.0, 1.0, JD)], CONE)
+    objects, fields = E.cone_scan(table, cones, ["cone_id"])
+    names = {r.designation: r["count"] for r in objects.groupBy("designation").count().collect()}
+    assert set(names) == {r[0] for r in rows} - {"outside"} and set(names.values()) == {450}
+    assert {r.cone_id: r.objects for r in fields.collect()} == {1: 450 * (len(rows) - 1), 2: 0}
