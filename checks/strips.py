@@ -227,7 +227,7 @@ _SHORT = """(SELECT field_id, tracklet_id, (rank() OVER (PARTITION BY field_id O
     ),
 )
 def sealed_sample(spark, sf):
-    comparator = M.rank_positives(feature_scores(spark, sf), ["ranker"]).where("ranker = 'quantity'")
+    comparator = M.rank_positives(feature_scores(spark, sf).where("ranker = 'quantity'"), ["ranker"])
     missed = M.missed_positives(positives(spark, sf), comparator)
     shortlist = data.scored(spark, sf).transform(M.shortlist_background)
     ids = data.scored(spark, sf).select("field_id", "tracklet_no", "tracklet_id").distinct()
