@@ -308,7 +308,7 @@ def shortlist_background(spark, sf):
     ),
 )
 def missed_positives(spark, sf):
-    comparator = M.rank_positives(feature_scores(spark, sf), ["ranker"]).where("ranker = 'quantity'")
+    comparator = M.rank_positives(feature_scores(spark, sf).where("ranker = 'quantity'"), ["ranker"])
     return M.missed_positives(positives(spark, sf), comparator).selectExpr(
         "field_id", "designation", "tracklet_no", "round(q,9) AS q", "round(comparator_q,9) AS comparator_q"
     )
@@ -322,7 +322,7 @@ def missed_positives(spark, sf):
     ),
 )
 def ranker_disagreements(spark, sf):
-    comparator = M.rank_positives(feature_scores(spark, sf), ["ranker"]).where("ranker = 'quantity'")
+    comparator = M.rank_positives(feature_scores(spark, sf).where("ranker = 'quantity'"), ["ranker"])
     return M.disagreements(positives(spark, sf), comparator).select("field_id", "designation", "only")
 
 
@@ -334,7 +334,7 @@ def ranker_disagreements(spark, sf):
     ),
 )
 def weak_fields(spark, sf):
-    pos = M.rank_positives(feature_scores(spark, sf), ["ranker"]).where("ranker = 'tax'")
+    pos = M.rank_positives(feature_scores(spark, sf).where("ranker = 'tax'"), ["ranker"])
     return M.weak_fields(pos, []).selectExpr("field_id", *_round(["positives", "auc"]))
 
 

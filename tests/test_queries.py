@@ -29,3 +29,24 @@ def test_equals_sql(spark, name):
 
 def test_every_oracle_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["missed_positives", "ranker_disagreements", "sealed_sample", "weak_fields"])
+def test_lists_rank_no_ranker_that_they_do_not_use(spark, monkeypatch, name):
+    from driftline.operators import metrics
+
+    rank, seen = metrics.rank_positives, []
+
+    def spied(scored, rankers=None):
+        out = rank(scored, rankers)
+        if rankers:
+            seen.append({r.ranker for r in out.select("ranker").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(metrics, "rank_positives", spied)
+    df = entry.queries()[name](spark, SF)
+    got = [tuple(r) for r in df.collect()]
+    assert [len(s) for s in seen] == [1]
+    cursor = connect(SF).execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    assert rows_of(df.columns, got) == rows_of(columns, cursor.fetchall())
