@@ -132,13 +132,14 @@ def cell_join(
 def cell_groups(
     left: DataFrame,
     right: DataFrame,
-    radius: float,
+    radius,
     on: list[str],
     judge: Callable[[pa.Table, pa.Table], pa.Table],
-    schema: str,
+    schema,
     left_pos: tuple[str, str] = ("ra", "dec"),
     right_pos: tuple[str, str] = ("ra2", "dec2"),
     cell_factor: float = 4.0,
+    limits: tuple[int, int] | None = None,
 ) -> DataFrame:
     """What ``judge`` makes of the left rows of each cell and the right rows
     whose circles touch it, for results per left row that need many pairs: no
@@ -146,6 +147,10 @@ def cell_groups(
 
     Every left row is judged once, with all right rows within ``radius`` (and
     others near them). A task holds the rows of one cell, not their pairs.
+    ``radius`` is a number or the name of a column of both sides that is in ``on``.
+
+    With ``limits`` (left and right rows) a crowded cell is dealt to several groups,
+    in each of which ``judge`` sees a share of the left and a share of the right rows.
     """
     keys = [*on, "_zone", "_cell"]
     # No pair has a null key.
@@ -158,9 +163,37 @@ def cell_groups(
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         return judge(a, b)
 
+    if limits:
+        lcol, rcol = _dealt(lcol, rcol, keys, limits)
+        keys += ["_left_part", "_right_part"]
+        # So many tasks whatever the bytes: the work grows with the pairs.
+        n = int(lcol.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        lcol, rcol = lcol.repartition(n, *keys), rcol.repartition(n, *keys)
     return lcol.groupBy(*keys).cogroup(rcol.groupBy(*keys)).applyInArrow(run, schema)
 
 
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str], limits: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_left_part, _right_part``: each row in one part of its own
+    side and, for each part of the other side in its cell, one copy."""
+    parts = []
+    for df, rows, name in ((left, limits[0], "_left_parts"), (right, limits[1], "_right_parts")):
+        sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+        # Few by definition: each has more than ``rows`` rows.
+        parts.append(F.broadcast(sizes.selectExpr(*keys, f"ceil(_n / {rows}) AS {name}")))
+
+    def deal(df: DataFrame, own: str, other: str) -> DataFrame:
+        numbered = df.withColumn("_row", F.xxhash64(*df.columns))
+        for p in parts:
+            numbered = numbered.join(p, keys, "left")
+        return numbered.selectExpr(
+            *df.columns,
+            f"pmod(_row, coalesce(_{own}_parts, 1L)) AS _{own}_part",
+            f"explode(sequence(0L, coalesce(_{other}_parts, 1L) - 1L)) AS _{other}_part",
+        )
+
+    return deal(left, "left", "right"), deal(right, "right", "left")
+
+
 def _angles(table: pa.Table, pos: tuple[str, str]) -> list[np.ndarray]:
     return [np.radians(table[name].to_numpy().astype(float)) for name in pos]
 
