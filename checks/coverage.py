@@ -107,4 +107,4 @@ def _axis(a, b):
     ),
 )
 def box_searches(spark, sf):
-    return C.box_searches(positions(spark, sf), exposures(spark, sf), ["star_id"]).select("star_id", "pid")
+    return C.box_searches(positions(spark, sf), exposures(spark, sf), ["star_id"], columns=["pid"]).select("star_id", "pid")
