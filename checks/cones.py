@@ -20,10 +20,10 @@ _CONE = {
 }
 
 
-def scan(spark, sf):
+def scan(spark, sf, columns=None):
     predictions = data.read(spark, sf, "orders").selectExpr(*[f"{e} AS {n}" for n, e in _PREDICTION.items()])
     cones = data.read(spark, sf, "supplier").selectExpr(*[f"{e} AS {n}" for n, e in _CONE.items()])
-    return E.cone_scan(E.with_partition(predictions), cones, ["cone_id"])
+    return E.cone_scan(E.with_partition(predictions), cones, ["cone_id"], columns)
 
 
 cte("kpred", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _PREDICTION.items()) + " FROM orders")
@@ -37,7 +37,7 @@ cte(
 
 @query("known_objects_in_cones", with_ctes("SELECT cone_id, designation FROM kin"))
 def known_objects_in_cones(spark, sf):
-    return scan(spark, sf)[0].select("cone_id", "designation")
+    return scan(spark, sf, ["designation"])[0].select("cone_id", "designation")
 
 
 @query(

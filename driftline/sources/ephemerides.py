@@ -30,11 +30,11 @@ QUADRANT_MARGIN_ARCSEC = 60.0
 # Areas of 15 degrees of declination and 30 degrees of right ascension.
 _ZONE, _CELL = 15, 30
 _ZONES, _CELLS = 180 // _ZONE, 360 // _CELL
-# Cones are joined in classes of size, powers of two from a quarter degree to
-# 16 degrees: seven at most.
+# Cones are joined in classes of size, powers of four from a quarter degree to
+# 16 degrees: four at most, for each of which a prediction is copied.
 _LEAST_REACH_ARCSEC = 900.0
 # Rows of a cone scan's result that a task holds at once.
-_OUTPUT_ROWS = 200_000
+_OUTPUT_ROWS, _BATCH_ROWS = 1_000_000, 200_000
 _IN_RANGE = (
     "center_ra >= 0D AND center_ra < 360D AND center_dec BETWEEN -90D AND 90D AND radius_deg > 0D"
     f" AND radius_deg <= {MAX_RADIUS_DEGREES!r}D AND epoch_jd BETWEEN {FIRST_EPOCH_JD!r}D AND {LAST_EPOCH_JD!r}D"
@@ -129,7 +129,10 @@ def _count_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
 
 
 def _objects_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For ``applyInArrow``: each cone of a cell with each prediction inside."""
+    """For ``applyInArrow``: each cone of a cell with each prediction inside.
+
+    The cones of a prediction follow one another, so that a stored result repeats
+    its values in runs, which compress."""
     rows = pa.Table.from_batches(list(batches))
     cones, objects = rows["_cone"].combine_chunks(), rows["_object"].combine_chunks()
     names = [f.name for f in cones.type] + [f.name for f in objects.type]
@@ -138,8 +141,10 @@ def _objects_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[
     def out():
         cone = np.repeat([c for c, _ in held], [len(i) for _, i in held])
         inside = np.concatenate([i for _, i in held])
-        for at in range(0, len(inside), _OUTPUT_ROWS):
-            part = slice(at, at + _OUTPUT_ROWS)
+        order = np.argsort(inside, kind="stable")
+        cone, inside = cone[order], inside[order]
+        for at in range(0, len(inside), _BATCH_ROWS):
+            part = slice(at, at + _BATCH_ROWS)
             columns = [*cones.take(pa.array(cone[part])).flatten(), *objects.take(pa.array(inside[part])).flatten()]
             yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -154,9 +159,12 @@ def _objects_in_cell(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[
         yield from out()
 
 
-def cone_scan(ephemerides: DataFrame, cones: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def cone_scan(
+    ephemerides: DataFrame, cones: DataFrame, keys: list[str], columns: list[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(objects, fields): predictions inside each cone at its epoch, and one
-    row per cone with their number, 0 for an empty one.
+    row per cone with their number, 0 for an empty one. ``columns``: what is
+    told of a prediction, everything by default; nothing else is shuffled.
 
     ``ephemerides``: ``epoch_jd, predicted_ra, predicted_dec`` and any others,
     with ``day, area`` as stored; ``cones``: ``keys`` (which name a cone),
@@ -170,13 +178,14 @@ def cone_scan(ephemerides: DataFrame, cones: DataFrame, keys: list[str]) -> tupl
     if clash:
         raise ValueError(f"columns of both tables: {sorted(clash)}")
     asked = checked_cones(cones).select(*keys, "center_ra", "center_dec", "radius_deg", "epoch_jd")
-    payload = [c for c in ephemerides.columns if c not in ("day", "area")]
+    payload = [c for c in ephemerides.columns if c not in ("day", "area")] if columns is None else columns
+    needed = list(dict.fromkeys([*payload, "epoch_jd", "predicted_ra", "predicted_dec"]))
     # A cone's epoch may be rounded over midnight: the day before or after it.
     step = 1.0 / 86400e3
     # The check below stops wrong cones; inside this plan it would end the pruning.
     around = cones.where(_IN_RANGE).withColumn("epoch_jd", F.explode(F.array(*[F.col("epoch_jd") + d for d in (-step, step)])))
-    seen = ephemerides.join(F.broadcast(touched_partitions(around)), ["day", "area"], "left_semi").select(*payload)
-    reach = f"greatest({_LEAST_REACH_ARCSEC!r}D, 900D * pow(2D, ceil(log2(radius_deg * 4D))))"
+    seen = ephemerides.join(F.broadcast(touched_partitions(around)), ["day", "area"], "left_semi").select(*needed)
+    reach = f"greatest({_LEAST_REACH_ARCSEC!r}D, 900D * pow(4D, ceil(log2(radius_deg * 4D) / 2D)))"
     sized = asked.selectExpr(
         *keys, "center_ra", "center_dec", "radius_deg", f"{reach} AS _class", "CAST(round(epoch_jd * 86400e3) AS BIGINT) AS _epoch"
     )

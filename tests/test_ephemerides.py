@@ -100,3 +100,22 @@ def test_many_objects_around_one_cone_come_in_blocks(spark):
     names = {r.designation: r["count"] for r in objects.groupBy("designation").count().collect()}
     assert set(names) == {r[0] for r in rows} - {"outside"} and set(names.values()) == {450}
     assert {r.cone_id: r.objects for r in fields.collect()} == {1: 450 * (len(rows) - 1), 2: 0}
+
+
+def test_a_scan_tells_what_is_asked_in_runs(spark):
+    """Only the named columns travel, the sizes of cones copy a prediction four times
+    at most, and the cones of a prediction follow one another."""
+    predictions = spark.createDataFrame([(f"o{k}", JD, 10.0 + k / 1e3, 0.0, f"long text {k}") for k in range(50)], "designation string, epoch_jd double, predicted_ra double, predicted_dec double, note string")
+    radii = (0.1, 0.26, 0.6, 1.1, 2.1, 4.1, 9.0)
+    cones = spark.createDataFrame([(c, 10.0 + c / 1e4, 0.0, radii[c % 7], JD) for c in range(70)], "cone_id long, center_ra double, center_dec double, radius_deg double, epoch_jd double")
+    objects, fields = E.cone_scan(E.with_partition(predictions), cones, ["cone_id"], ["designation"])
+    assert objects.columns == ["cone_id", "designation"]
+    plan = objects._jdf.queryExecution().optimizedPlan().toString()
+    assert "note#" not in plan.split("FlatMapGroupsInArrow")[0] and "14400.0" in plan and "1800.0" not in plan
+    whole = E.cone_scan(E.with_partition(predictions), cones, ["cone_id"])[0]
+    got = [tuple(r) for r in objects.collect()]
+    assert sorted(got) == sorted((r.cone_id, r.designation) for r in whole.collect()) and len(got) == 70 * 50
+    assert sum(r.objects for r in fields.collect()) == len(got)
+    # One cell of the largest cones: each prediction's cones in one run.
+    large = E.cone_scan(E.with_partition(predictions), cones.where("radius_deg > 4"), ["cone_id"], ["designation"])[0].coalesce(1).collect()
+    assert sum(a.designation != b.designation for a, b in zip(large, large[1:])) < len(large) / 5
