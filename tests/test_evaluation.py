@@ -1,9 +1,11 @@
 """A sealed run on a small table: metrics, intervals, difference, verdict."""
 
+import math
 import random
 
 import pytest
 
+from driftline.operators import metrics as M
 from driftline.plans import evaluation as E
 
 STRATA = "field_id string, designation string, role string, near_star string, proximity_group string, depth_margin string, crowding string, filters string, speed string, mask_state string, population string, star_class string"
@@ -42,3 +44,28 @@ def test_sealed_run(spark):
     found = {(r.ranker, r.key, r.value) for r in run.strata.collect()}
     assert ("M1", "star_class", "none") in found and ("B1:x", "role", "marginal") in found
     assert run.fields.count() == 12 and run.guards.count() == 4
+
+
+@pytest.mark.parametrize("limit", [None, 1])
+def test_features_ranked_by_field_equal_the_long_table(spark, limit):
+    """Ties, missing values, NaN, fields without background or positives, copies of an object."""
+    rng = random.Random(3)
+    rows = [
+        (f"F{n % 4}", n // 2, rng.choice(["D1", "D2", None]), "positive" if n % 4 == 3 else rng.choice(["positive", "background", "auxiliary"]) if n % 4 else "background",
+         f"N{n % 3}", rng.choice([None, 1.0, 2.0, -0.0, 0.0, math.nan]), rng.random(), rng.choice([True, False, None]))
+        for n in range(300)
+    ]
+    t = spark.createDataFrame(rows, "field_id string, tracklet_no long, designation string, label string, night string, a double, b double, flag boolean")
+    features = [("a", 1), ("b", -1)]
+    scored = E.long_scores(t, features)
+    got = M.ranked_features(t, scored, features, {"alone": "flag"}, limit)
+    want = M.ranked_best(scored, ["ranker", "field_id"], {"alone": "flag"})
+    shown = ["ranker", "field_id", "designation", "score", "rank", "q", "q_alone"]
+    as_rows = lambda df: sorted(map(str, df.selectExpr(*shown[:3], *[f"round({c}, 12) AS {c}" for c in shown[3:]]).collect()))
+    assert as_rows(got) == as_rows(want) and set(got.columns) == set(want.columns) and got.count() > 10
+
+
+def test_features_of_a_run_are_no_rows_when_ranked(spark):
+    t = spark.createDataFrame([("F", 1, "D", "positive", "N", 1.0)], "field_id string, tracklet_no long, designation string, label string, night string, a double")
+    plan = M._ranked_features_in_task(t, [("a", 1)], {"bg": "true"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan and "FlatMapGroupsInArrow" in plan
